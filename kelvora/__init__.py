@@ -1 +1 @@
-"""Spark-native cost-field analytics."""
+"""Asymmetric-cost energy fields over gridded terrain and street networks, as Spark plans."""

@@ -1 +1 @@
-"""Spark-native cost-field analytics."""
+"""Column expressions and scalar models."""

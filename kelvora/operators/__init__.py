@@ -1 +1 @@
-"""Spark-native cost-field analytics."""
+"""Operators over DataFrames: moves, edges, search, trees, rasters, networks, sampling."""

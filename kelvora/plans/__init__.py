@@ -1 +1 @@
-"""Spark-native cost-field analytics."""
+"""Canonical views, the registered queries and their SQL."""

@@ -1 +1 @@
-"""Spark-native cost-field analytics."""
+"""Readers and writers."""

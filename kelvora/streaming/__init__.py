@@ -1 +1 @@
-"""Spark-native cost-field analytics."""
+"""Session and state operators, as batches and as streams."""
