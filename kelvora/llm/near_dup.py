@@ -1,16 +1,18 @@
 """MinHash near-duplicates with odd sketches.
 
 A document's set is its distinct shingles of five words. Documents of equal sets are one class. Every class has MinHash
-samples, banded for candidates, and an odd sketch: a bitmap whose bits are flipped by each sample, so that the XOR of two
-bitmaps counts the samples in which the sets differ, most precisely where similarity is high. Candidates whose sketches
-are far from the threshold go; the others are confirmed on their full sets, so a link is never taken from a sketch.
+samples, banded for candidates, and an odd sketch: the least shingle of each of SAMPLES ranges of hashes flips a bit of a
+bitmap, so that the XOR of two bitmaps counts the samples in which the sets differ, most precisely where similarity is
+high. Candidates whose sketches are far from the threshold go; the others are confirmed on their full sets, so a link is
+never taken from a sketch.
 
 No bucket is expanded into its pairs. First every class of a bucket is held against the bucket's first class, and
-components are formed of confirmed links. Then only buckets that still hold several components are searched on, block
-against block, for candidates across components, until no such candidate is left.
+components are formed of confirmed links. Only buckets that still hold several components are searched on, block against
+block: twice for each class's likeliest partner in another component, which joins nearly all that belong together, and
+then for all candidates across components that are left.
 
 BANDS bands of ROWS samples miss a pair of similarity 0.75 with a probability of (1 - 0.75**3)**28, or 2e-7. FLOOR is six
-standard deviations below the threshold of a sketch's estimate.
+standard deviations of a sketch's estimate below the threshold.
 
 Defined results: null or empty texts and texts without words have an empty set, are linked with nothing and are their
 own component; rows that repeat are one class and all have the smallest doc_id; null doc_ids come last and are a
@@ -32,14 +34,16 @@ from kelvora.llm.shingles import mix64, shingle_sets, slices
 
 SHARE = (75, 100)
 BANDS, ROWS = 28, 3
-SKETCH_LONGS = 16
-FLOOR = 0.45
+SAMPLES, SKETCH_BITS = 2048, 2048
+FLOOR = 0.66
+#: Samples that a pair may have lost to others of their range; it counts for small sets only.
+SLACK = 2
 #: Classes of a bucket that are compared as one block.
 BLOCK = 256
 _rng = np.random.default_rng(9)
 _MULTIPLY = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-_SIGNATURE = "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>"
+_SIGNATURE = "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, samples int, sketch binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,14 +65,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(BANDS):
                 a, b, c = (mixed[:, k * ROWS + j] for j in range(ROWS))
                 keys[:, k] = mix64(a * np.uint64(3) + b * np.uint64(5) + c * np.uint64(7) + np.uint64(k))
-            bits = np.zeros((len(some), SKETCH_LONGS * 64), bool)
-            for k in range(BANDS * ROWS):
-                bits[np.arange(len(some)), (mixed[:, k] % np.uint64(SKETCH_LONGS * 64)).astype(np.int64)] ^= True
-            sketch = np.packbits(bits, axis=1).view(np.int64)
+            row_of = np.repeat(np.arange(len(n)), n)
+            slot = row_of * SAMPLES + (sets >> np.uint64(64 - (SAMPLES - 1).bit_length())).astype(np.int64)
+            least = np.ones(len(sets), bool)
+            least[1:] = slot[1:] != slot[:-1]  # sets are in order, so the first of a range is its least
+            sample_row = row_of[least]
+            bits = np.bincount(sample_row * SKETCH_BITS + (mix64(sets[least] + np.uint64(3)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(n) * SKETCH_BITS) & 1
+            sketch = np.packbits(bits.astype(bool).reshape(len(n), SKETCH_BITS), axis=1)
             listed = lambda x, w: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, w, 0))]).astype(np.int32)), pa.array(x.view(np.int64).ravel()))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[row:end], pa.array(n, pa.int64()), pa.array([x.tobytes() for x in nodes], pa.binary()), listed(keys, BANDS), listed(sketch, SKETCH_LONGS)],
-                ["doc_id", "n_shingles", "node", "bands", "sketch"],
+                [batch.column(0)[row:end], pa.array(n, pa.int64()), pa.array([x.tobytes() for x in nodes], pa.binary()), listed(keys, BANDS), pa.array(np.bincount(sample_row, minlength=len(n)), pa.int32()), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                ["doc_id", "n_shingles", "node", "bands", "samples", "sketch"],
             )
 
 
@@ -77,12 +84,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, _SIGNATURE)
 
 
-def estimate(a: str, b: str):
-    """Similarity from the XOR of two odd sketches."""
-    odd = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x).cast("double")
-    bits, samples = SKETCH_LONGS * 64.0, float(BANDS * ROWS)
-    # |difference| from odd bits: -bits / 2 * ln(1 - 2 * odd / bits); a sample that differs flips a bit for either set.
-    return F.when(2 * odd >= bits, F.lit(0.0)).otherwise(1 + bits / (4 * samples) * F.log(1 - 2 * odd / bits))
+def likely(odd: np.ndarray, samples: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a pair may be a link, its estimated similarity) from the odd bits of its sketches' XOR and the sums of its
+    samples and sizes. Samples in common are half of what remains of the sum without the difference."""
+    left = np.maximum(1e-9, 1 - 2 * odd / SKETCH_BITS)
+    both = (samples + SKETCH_BITS / 2 * np.log(left)) / 2
+    whole = SAMPLES * (1 - (1 - 1 / SAMPLES) ** (sizes / (1 + FLOOR)))  # ranges that the union fills, at the floor
+    return both + SLACK >= FLOOR * whole, both / whole
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(x)).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for x in ("ka", "kb"))
+        na, nb, sa, sb = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("na", "nb", "sa", "sb"))
+        fine = likely(np.bitwise_count(a ^ b).sum(1, dtype=np.int64), sa + sb, na + nb)[0] & (SHARE[1] * np.minimum(na, nb) >= SHARE[0] * np.maximum(na, nb))
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in ("a", "b")], ["a", "b"]).filter(pa.array(fine))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,58 +124,64 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary, linked boolean").where("linked").select("a", "b")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates between components, of one cell (a block of a bucket against a block) a row."""
-    bits, samples = SKETCH_LONGS * 64, BANDS * ROWS
-    most = bits / 2 * (1 - np.exp((FLOOR - 1) * 4 * samples / bits))
-    for batch in batches:
-        for i in range(batch.num_rows):
-            one, two = batch.column(0)[i].values, batch.column(1)[i].values
-            same = batch.column(2)[i].as_py()
-            read = lambda x: (x.field("node"), np.array(x.field("label").to_pylist(), object), x.field("n").to_numpy(), np.stack(x.field("sketch").to_pylist()).astype(np.int64).view(np.uint64))
-            (na, la, sa, ka), (nb, lb, sb, kb) = read(one), read(two)
-            out: list[tuple] = []
-            for j in range(len(na)):
-                odd = np.bitwise_count(kb ^ ka[j]).sum(1)
-                small, large = np.minimum(sb, sa[j]), np.maximum(sb, sa[j])
-                hit = (odd <= most) & (lb != la[j]) & (SHARE[1] * small >= SHARE[0] * large)
-                if same:
-                    hit[: j + 1] = False
-                out += [(na[j].as_py(), nb[int(m)].as_py()) for m in np.flatnonzero(hit)]
-            if out:
-                a, b = zip(*[(min(p), max(p)) for p in out], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def _across(best: bool):
+    """Candidates between components, of one cell (a block of a bucket against a block) a row; best: of each class only the
+    likeliest. A pair is told in the first band that its classes share."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same, band = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                sides = []
+                for k in (0, 1):
+                    x = batch.column(k)[i].values
+                    bands = x.field("bands").flatten().to_numpy().reshape(len(x), -1)[:, :band]
+                    sketch = np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint64).reshape(len(x), -1)
+                    sides.append((x.field("node").to_pylist(), np.array(x.field("label").to_pylist(), object), x.field("n").to_numpy(), x.field("samples").to_numpy(), sketch, bands))
+                (na, la, sa, ma, ka, ba), (nb, lb, sb, mb, kb, bb) = sides
+                out: list[tuple] = []
+                for j in range(len(na)):
+                    small, large = np.minimum(sb, sa[j]), np.maximum(sb, sa[j])
+                    hit = (lb != la[j]) & (SHARE[1] * small >= SHARE[0] * large) & ~(bb == ba[j]).any(1)
+                    if same:
+                        hit[: j + 1] = False
+                    at = np.flatnonzero(hit)
+                    fine, share = likely(np.bitwise_count(kb[at] ^ ka[j]).sum(1, dtype=np.int64), mb[at] + ma[j], sb[at] + sa[j])
+                    at, share = at[fine], share[fine]
+                    if best and len(at):
+                        at = at[[share.argmax()]]
+                    out += [(min(na[j], nb[m]), max(na[j], nb[m])) for m in at]
+                if out:
+                    a, b = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return find
 
 
 def _cells(members: DataFrame) -> DataFrame:
     """Members of each bucket in hashed blocks, and a row per pair of blocks."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = dealt.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "label", "n", "sketch")).alias("rows"))
-    one = blocks.select("key", F.col("block").alias("x"), F.col("rows").alias("one"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"))
+    blocks = dealt.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.first("band").alias("band"), F.collect_list(F.struct("node", "label", "n", "samples", "sketch", "bands")).alias("rows"))
+    one = blocks.select("key", "band", F.col("block").alias("x"), F.col("rows").alias("one"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"))
     two = blocks.select("key", F.col("block").alias("y"), F.col("rows").alias("two"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"))
-    return one.join(two, ["key", "x", "y"]).select("one", "two", (F.col("x") == F.col("y")).alias("same"))
+    return one.join(two, ["key", "x", "y"]).select("one", "two", (F.col("x") == F.col("y")).alias("same"), "band")
 
 
 def classify(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, component_id, kept), a row per document."""
     signed = materialise(signatures(docs), "signatures")
     classes = materialise(
-        signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
+        signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bands", "bands"), ("samples", "samples"), ("sketch", "sketch"))]), "classes"
     )
-    keys = classes.select("node", F.explode("bands").alias("key"))
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     # Of each bucket the class with the smallest node; alike in all bands, so a group has few such classes.
     firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = materialise(keys.join(firsts, "key"), "buckets")
     pairs = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    sized = classes.select("node", "n", "sketch")
-    near = (
-        pairs.join(sized.toDF("a", "na", "ka"), "a")
-        .join(sized.toDF("b", "nb", "kb"), "b")
-        .where((SHARE[1] * F.least("na", "nb") >= SHARE[0] * F.greatest("na", "nb")) & (estimate("ka", "kb") >= FLOOR))
-        .select("a", "b")
-    )
-    near = materialise(near, "near")
+    sized = classes.select("node", "n", "samples", "sketch")
+    both = pairs.join(sized.toDF("a", "na", "sa", "ka"), "a").join(sized.toDF("b", "nb", "sb", "kb"), "b")
+    near = materialise(both.mapInArrow(_likely, "a binary, b binary"), "near")
     # Only texts of classes that stand in a shared bucket go on: one document's for each, told by its own set.
     wanted = shared.select("node").distinct().join(classes.select("node", "rep"), "node")
     held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -167,14 +189,17 @@ def classify(docs: DataFrame) -> DataFrame:
     links = materialise(verified(near, texts), "confirmed")
     labels = components(links)
     # What is left to see: candidates of one bucket in different components.
-    told = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    members = told.join(mixed, "key").join(sized, "node")
-    rest = _cells(members).mapInArrow(_across, "a binary, b binary").distinct()
     seen = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = materialise(verified(rest.join(seen, ["a", "b"], "left_anti"), texts), "late")
-    if late.limit(1).count():
-        labels = components(links.union(late))
+    for best in (True, True, False):
+        told = shared.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        members = told.join(mixed, "key").join(classes.select("node", "n", "samples", "sketch", "bands"), "node")
+        fresh = materialise(_cells(members).mapInArrow(_across(best), "a binary, b binary").distinct().join(seen, ["a", "b"], "left_anti"), "fresh")
+        late = materialise(verified(fresh, texts), "late")
+        if late.limit(1).count():
+            links = links.union(late)
+            labels = components(links)
+        seen = seen.union(fresh)
     found = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = found.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_node = found.join(smallest, "label").select("node", "component_id")
