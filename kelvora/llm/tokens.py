@@ -1,8 +1,9 @@
 """Token ids by the public tokenizers, with a bounded cache of pieces.
 
 A byte-level BPE splits a text into pre-tokens before it merges. No pre-token reaches across a space that follows
-a character other than white space, so a text cut before such spaces has the ids of its parts one after another.
-Parts repeat, and each is encoded by the library once per worker while the cache has room.
+a character other than white space, across either side of a lone line feed, or from a letter into a mark, so a text cut
+there has the ids of its parts one after another. Parts repeat, and each is encoded by the library once per worker while
+the cache has room.
 """
 
 from __future__ import annotations
@@ -12,11 +13,17 @@ import re
 import numpy as np
 
 #: Parts kept per worker; the older half of the uses is dropped beyond that. Longer parts aren't kept.
-CACHE_PARTS = 250_000
-LONGEST_PART = 48
-_SPACED = re.compile(r"\s ")
+CACHE_PARTS = 600_000
+LONGEST_PART = 24
+MARKS = frozenset(".,;:!?")
+_SPACED = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
+#: Byte-level vocabularies write a byte that prints in Latin-1 as itself, and the others, in order, as characters from 256 on.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_OTHERS = [b for b in range(256) if b not in _PRINTS]
+_AS_CHAR = {b: chr(b) for b in _PRINTS} | {b: chr(256 + k) for k, b in enumerate(_OTHERS)}
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -29,10 +36,12 @@ class _Parts(dict):
 
     def __init__(self, tokenizer, prefix: str):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.model, self.prefix, self.marks = tokenizer, tokenizer.model, prefix, {}
 
     def __missing__(self, part: str) -> bytes:
-        out = np.array(self.tokenizer.encode(self.prefix + part, add_special_tokens=False).ids, "<u4").tobytes()
+        if part[-1:] in MARKS and part[-2:-1].isalpha():
+            return self[part[:-1]] + self.mark(part[-1])
+        out = self.ids(self.prefix + part)
         if len(part) <= LONGEST_PART:
             if len(self) >= CACHE_PARTS:
                 for key in list(self)[: CACHE_PARTS // 2]:
@@ -40,8 +49,21 @@ class _Parts(dict):
             self[part] = out
         return out
 
+    def ids(self, text: str) -> bytes:
+        """Letters alone, with a space before them or not, are one pre-token: the library's model takes it as it is."""
+        if text[text[:1] == " " :].isalpha():
+            return np.array([t.id for t in self.model.tokenize("".join(map(_AS_CHAR.__getitem__, text.encode())))], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def mark(self, char: str) -> bytes:
+        if char not in self.marks:
+            self.marks[char] = self.ids(char)
+        return self.marks[char]
+
 
 class Encoder:
+    """For byte-level BPE files; ``path`` is such a file of the tokenizers library."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -54,8 +76,11 @@ class Encoder:
             return b""
         if _SPACED.search(text):
             return b"".join(map(self.first.__getitem__, _CUT.split(text)))
-        head, *rest = text.split(" ")
-        return (self.first[head] if head else b"") + b"".join(map(self.later.__getitem__, rest))
+        out, feed, first, later = [], self.first.mark("\n"), self.first, self.later.__getitem__
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out.append((first[head] if head else b"") + b"".join(map(later, rest)))
+        return feed.join(out)
 
 
 _ENCODERS: dict[str, Encoder] = {}
