@@ -7,8 +7,9 @@ two in a window. An anchor's hull is all that the strings around it reach: up to
 
 1. Anchors whose whole hull repeats are settled by counting hulls, with sums before the shuffle: copies and the inside
    of shared passages never go further, but for one of each.
-2. The others whose gram repeats, at the edges of what is shared, go with their hull's bytes to the index, dealt by gram.
-   A partition keeps a family of suffix arrays: a batch that comes in is sorted by what follows its anchors and by what
+2. The others whose gram repeats, at the edges of what is shared, are candidates: of the strings around an anchor, all that
+   begin in one quarter of its reach have most of their bytes in common, and a hash of that part has to repeat too. They
+   go with their hull's bytes to the index, dealt by gram. A partition keeps a family of suffix arrays: a batch that comes in is sorted by what follows its anchors and by what
    precedes them, merge-scanned against every level for strings of LENGTH bytes that both sides hold, and then levels of
    equal size are merged, so that n suffixes stand in about log(n) levels.
 3. A gram with more than ``HOT`` hulls isn't put into one partition. Its strings are counted by hash, in segments: a
@@ -38,8 +39,11 @@ from kelvora.llm.shingles import _BYTE, _powers, mix64, slices
 LENGTH, GRAM = 400, 96
 REACH = LENGTH - GRAM
 BATCH_ROWS = 16_384
-HOT = 1_000
+#: A group of so many hulls is some 50 MB in the index.
+HOT = 50_000
 SEGMENT = 16
+#: A string begins 0 to REACH bytes before its anchor: those of each quarter have LENGTH - QUARTER bytes in common.
+QUARTER = REACH // 4
 
 
 def _sliding(x: np.ndarray, width: int, take, fill: int) -> np.ndarray:
@@ -65,10 +69,11 @@ def _hash(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, position, begin and stop of the hull within the row, hash of the gram, hash of the hull) of a slice."""
+    """(row, position, begin and stop of the hull within the row, hash of the gram, hash of the hull, hashes of the quarters'
+    common parts: 0 where a text's end leaves none) of a slice."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, np.zeros((0, 4), np.int32)
     sums, down = _sums(data)
     n = len(data)
     at = np.arange(n - GRAM + 1)
@@ -83,7 +88,12 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     row = np.searchsorted(offsets, pos, side="right") - 1
     begin, stop = np.maximum(pos - REACH, offsets[row]), np.minimum(pos + LENGTH, offsets[row + 1])
     hull = _hash(sums, down, begin, stop) ^ mix64((pos - begin).astype(np.uint64) + np.uint64(77))
-    return row, pos - offsets[row], begin - offsets[row], stop - offsets[row], gram[pos].view(np.int64), hull.view(np.int64)
+    cores = np.zeros((len(pos), 4), np.int32)
+    for q in range(4):
+        a, b = pos - QUARTER * q, pos - QUARTER * (q + 1) + LENGTH
+        fits = (a >= offsets[row]) & (b <= offsets[row + 1])
+        cores[fits, q] = (_hash(sums, down, a[fits], b[fits]) >> np.uint64(32)).astype(np.uint32).view(np.int32) | 1
+    return row, pos - offsets[row], begin - offsets[row], stop - offsets[row], gram[pos].view(np.int64), hull.view(np.int64), cores
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -95,15 +105,15 @@ def anchors(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in slices(batch.column(2)):
-                row, pos, begin, stop, gram, hull = anchors_of(data, offsets)
+                row, pos, begin, stop, gram, hull, cores = anchors_of(data, offsets)
                 if len(row):
                     own = pa.array(row + first)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x, pa.int32()) for x in (pos, begin, stop)), pa.array(gram), pa.array(hull)],
-                        ["doc_id", "h", "pos", "begin", "stop", "gram", "hull"],
+                        [batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x, pa.int32()) for x in (pos, begin, stop)), pa.array(gram), pa.array(hull), *(pa.array(cores[:, q]) for q in range(4))],
+                        ["doc_id", "h", "pos", "begin", "stop", "gram", "hull", "q0", "q1", "q2", "q3"],
                     )
 
-    return _keyed(docs).mapInArrow(find, "doc_id bigint, h bigint, pos int, begin int, stop int, gram bigint, hull bigint")
+    return _keyed(docs).mapInArrow(find, "doc_id bigint, h bigint, pos int, begin int, stop int, gram bigint, hull bigint, q0 int, q1 int, q2 int, q3 int")
 
 
 class Level:
@@ -314,19 +324,27 @@ def _hot_ranges(contexts: DataFrame) -> DataFrame:
     return settled.union(live.join(twice, "string").select("gram", "hull", "d", F.col("d").alias("d2")))
 
 
+def _candidates(edges: DataFrame) -> DataFrame:
+    """Hulls one of whose quarters has its common part in another hull of the same gram, too."""
+    cores = edges.select("gram", "hull", F.posexplode(F.array("rep.q0", "rep.q1", "rep.q2", "rep.q3")).alias("q", "core")).where("core != 0")
+    twice = cores.groupBy("gram", "q", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "q", "core")
+    fine = cores.join(twice, ["gram", "q", "core"]).select("gram", "hull").distinct()
+    return materialise(edges.join(fine, ["gram", "hull"]).select("gram", "hull", "rep", (F.col("hulls") > HOT).alias("hot")), "edges")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, h, ranges array<struct<a, b>>): bytes to remove, per row of docs that has any; ranges may overlap."""
     found = anchors(docs)
-    hulls = found.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos", "begin", "stop")).alias("rep"))
+    hulls = found.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos", "begin", "stop", "q0", "q1", "q2", "q3")).alias("rep"))
     grams = hulls.groupBy("gram").agg(F.count("*").alias("hulls"))
     groups = materialise(hulls.join(grams, "gram").where("n > 1 or hulls > 1"), "hulls")
-    edges = groups.where("hulls > 1").select("gram", "hull", "rep", (F.col("hulls") > HOT).alias("hot"))
-    contexts = materialise(_contexts(docs, edges), "contexts")
-    dealt = contexts.where("not hot").repartition("gram").select("gram", "hull", "left", "right")
-    ranges = dealt.mapInArrow(_index, _RANGE)
-    hot = contexts.where("hot")
-    if hot.limit(1).count():
-        ranges = ranges.union(_hot_ranges(hot.select("gram", "hull", "left", "right")))
+    edges = _candidates(groups.where("hulls > 1"))
+    hot = edges.where("hot").limit(1).count() > 0
+    contexts = _contexts(docs, edges)
+    contexts = materialise(contexts, "contexts") if hot else contexts
+    ranges = contexts.where("not hot").repartition("gram").select("gram", "hull", "left", "right").mapInArrow(_index, _RANGE)
+    if hot:
+        ranges = ranges.union(_hot_ranges(contexts.where("hot").select("gram", "hull", "left", "right")))
     marks = ranges.groupBy("gram", "hull").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     full = groups.where("n > 1").select("gram", "hull", F.lit(True).alias("full"))
     settled = materialise(full.join(marks, ["gram", "hull"], "full"), "marks")

@@ -47,7 +47,7 @@ def write_shard(ids: np.ndarray, bits: int) -> bytes:
         ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
         rank = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u4")
         both = [pack.compress(plane.tobytes()), pack.compress(rank.tobytes())]
-        now = np.concatenate([now[~bit], now[bit]])
+        now = np.concatenate([np.compress(~bit, now), np.compress(bit, now)])
         heads.append(_PLANE.pack(n - int(ones.sum()), *map(len, both)))
         frames += both
     return b"".join([_HEAD.pack(b"WVM1", n, bits), *heads, *frames])
