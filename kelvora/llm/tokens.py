@@ -9,11 +9,10 @@ the cache has room.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import struct
 
 #: Parts kept per worker; the older half of the uses is dropped beyond that. Longer parts aren't kept.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 1_000_000
 LONGEST_PART = 24
 MARKS = frozenset(".,;:!?")
 _SPACED = re.compile(r"\s\s")
@@ -52,8 +51,10 @@ class _Parts(dict):
     def ids(self, text: str) -> bytes:
         """Letters alone, with a space before them or not, are one pre-token: the library's model takes it as it is."""
         if text[text[:1] == " " :].isalpha():
-            return np.array([t.id for t in self.model.tokenize("".join(map(_AS_CHAR.__getitem__, text.encode())))], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            found = [t.id for t in self.model.tokenize("".join([_AS_CHAR[b] for b in text.encode()]))]
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
     def mark(self, char: str) -> bytes:
         if char not in self.marks:
