@@ -43,26 +43,29 @@ def clip_weights(sectors: DataFrame, x0: float, y0: float, x1: float, y1: float)
     """sectors (cd, pop, ring) whose clipped part has weight: pop * clipped / whole area. Boxes that don't meet go first."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     near = sectors.where((F.array_max(xs) >= x0) & (F.array_min(xs) <= x1) & (F.array_max(ys) >= y0) & (F.array_min(ys) <= y1))
-    for name, axis, bound, less in (("c1", "x", x0, False), ("c2", "x", x1, True), ("c3", "y", y0, False), ("c4", "y", y1, True)):
-        before = "ring" if name == "c1" else f"c{int(name[1]) - 1}"
-        near = near.withColumn(name, _one_side(F.col(before), axis, bound, less))
-    return near.withColumn("w", F.col("pop") * area(F.col("c4")) / area(F.col("ring"))).where("w > 0").select("cd", "pop", "ring", "w")
-
-
-def _one_side(ring: Column, axis: str, bound: float, less: bool) -> Column:
-    """What of a ring (array of (x, y), not closed) lies on one side of a bound."""
-    b, other = F.lit(float(bound)), "y" if axis == "x" else "x"
-    inside = lambda p: p[axis] <= b if less else p[axis] >= b
-
-    def each(p: Column, j: Column) -> Column:
-        q = F.element_at(ring, F.when(j == 0, F.lit(-1)).otherwise(j).cast("int"))
-        along = q[other] + (b - q[axis]) / (p[axis] - q[axis]) * (p[other] - q[other])
-        cut = F.struct((b if axis == "x" else along).alias("x"), (along if axis == "x" else b).alias("y"))
-        own = F.struct(p["x"].alias("x"), p["y"].alias("y"))
-        none = F.array().cast("array<struct<x:double,y:double>>")
-        return F.when(inside(p), F.when(inside(q), F.array(own)).otherwise(F.array(cut, own))).otherwise(F.when(inside(q), F.array(cut)).otherwise(none))
-
-    return F.flatten(F.transform(ring, each))
+    part = clip("ring", x0, y0, x1, y1)
+    return near.withColumn("w", F.col("pop") * area(part) / area(F.col("ring"))).where("w > 0").select("cd", "pop", "ring", "w")
+
+
+def clip(ring: str, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """A ring (array of (x, y), not closed) cut to a rectangle: a fold over its four sides, each of which cuts what is left."""
+    sides = F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(float(b)).alias("b"), F.lit(less).alias("less")) for axis, b, less in (("x", x0, False), ("x", x1, True), ("y", y0, False), ("y", y1, True))])
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def cut(now: Column, side: Column) -> Column:
+        own = lambda p: F.when(side["axis"] == "x", p["x"]).otherwise(p["y"])
+        inner = lambda p: F.when(side["less"], own(p) <= side["b"]).otherwise(own(p) >= side["b"])
+
+        def each(p: Column, j: Column) -> Column:
+            q = F.element_at(now, F.when(j == 0, F.lit(-1)).otherwise(j).cast("int"))
+            t = (side["b"] - own(q)) / (own(p) - own(q))
+            at = lambda n: F.when(side["axis"] == n, side["b"]).otherwise(q[n] + t * (p[n] - q[n])).alias(n)
+            crossing, corner = F.array(F.struct(at("x"), at("y"))), F.array(F.struct(p["x"].alias("x"), p["y"].alias("y")))
+            return F.when(inner(p) & inner(q), corner).when(inner(p), F.concat(crossing, corner)).when(inner(q), crossing).otherwise(none)
+
+        return F.flatten(F.transform(now, each))
+
+    return F.aggregate(sides, F.col(ring), cut)
 
 
 def cdf_selection(weights: DataFrame, draws: DataFrame) -> DataFrame:

@@ -557,7 +557,7 @@ _PLANAR = """cut AS MATERIALIZED (
   SELECT arg_min(a, (s, t)) AS a, arg_min(b, (s, t)) AS b FROM prt WHERE a <> b GROUP BY least(a, b), greatest(a, b)
 )"""
 _NETPROF = f"""npt AS MATERIALIZED (
-  SELECT e.a, e.b, n, len_m, j, greatest(0e0, least((SELECT h - 1 FROM dim), x.r + dr * (j / n) - 0.5e0)) AS r, greatest(0e0, least(49e0, x.c + dc * (j / n) - 0.5e0)) AS c
+  SELECT e.a, e.b, e.n, e.len_m, j, greatest(0e0, least((SELECT h - 1 FROM dim), x.r + e.dr * (j / e.n) - 0.5e0)) AS r, greatest(0e0, least(49e0, x.c + e.dc * (j / e.n) - 0.5e0)) AS c
   FROM (SELECT ned.a, ned.b, x.r, x.c, y.r - x.r AS dr, y.c - x.c AS dc, greatest(1, ceil(sqrt((y.r - x.r) * (y.r - x.r) + (y.c - x.c) * (y.c - x.c)) / 1e0))::BIGINT AS n,
       sqrt((y.r - x.r) * 30e0 * ((y.r - x.r) * 30e0) + (y.c - x.c) * 30e0 * ((y.c - x.c) * 30e0)) AS len_m FROM ned JOIN nod x ON x.n = ned.a JOIN nod y ON y.n = ned.b) e
   JOIN nod x ON x.n = e.a, LATERAL (SELECT unnest(range(0, e.n + 1)) AS j)
