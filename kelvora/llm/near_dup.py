@@ -40,6 +40,8 @@ FLOOR = 0.66
 SLACK = 2
 #: Classes of a bucket that are compared as one block.
 BLOCK = 256
+#: Pairs whose sets are held at a time.
+VERIFIED_ROWS = 512
 _rng = np.random.default_rng(9)
 _MULTIPLY = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -103,7 +105,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     share, whole = SHARE
-    for batch in batches:
+    for batch in (b.slice(at, VERIFIED_ROWS) for b in batches for at in range(0, b.num_rows, VERIFIED_ROWS)):
         linked = np.zeros(batch.num_rows, bool)
         sides = [[None] * batch.num_rows for _ in range(2)]
         for side, name in enumerate(("text_a", "text_b")):

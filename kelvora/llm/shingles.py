@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-#: Documents are taken together up to so many bytes; a longer one is taken alone.
+#: Documents are taken together up to so many bytes and rows; a longer one is taken alone.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -41,6 +42,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1)
+        end = min(end, row + SLICE_ROWS)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

@@ -12,7 +12,7 @@ import re
 import struct
 
 #: Parts kept per worker; the older half of the uses is dropped beyond that. Longer parts aren't kept.
-CACHE_PARTS = 350_000
+CACHE_PARTS = 200_000
 LONGEST_PART = 24
 MARKS = frozenset(".,;:!?")
 _SPACED = re.compile(r"\s\s")
