@@ -33,10 +33,13 @@ def recovery(tracks: DataFrame, cost: Cost) -> DataFrame:
     """(track, eps): drops of 30 m cells of the raw profile, each weighted by what its grade lets one recover."""
     sized = tracks.withColumn("nc", F.floor((F.element_at("x", -1) - F.col("x")[0]) / CELL_M).cast("int"))
     seg = sized.where("nc >= 2").select("track", "nc", F.explode(F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda j: F.struct(j.alias("j"), F.col("x")[j - 1].alias("x0"), F.col("x")[j].alias("x1"), F.col("h")[j - 1].alias("h0"), F.col("h")[j].alias("h1")))).alias("s")).select("track", "nc", "s.*")
-    # A place belongs to the first segment whose end isn't before it: each segment lists the marks it holds.
-    held = seg.where("x1 > x0").withColumn("k", F.explode(F.when(F.floor(F.col("x1") / CELL_M) > F.floor(F.col("x0") / CELL_M), F.sequence((F.floor(F.col("x0") / CELL_M) + 1).cast("int"), F.floor(F.col("x1") / CELL_M).cast("int"))).otherwise(F.array().cast("array<int>")))).where("k <= nc")
-    f = (F.col("k") * CELL_M - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    marks = held.select("track", "k", (F.col("h0") * (1 - f) + F.col("h1") * f).alias("hk")).union(sized.where("nc >= 2").select("track", F.lit(0), F.col("h")[0]))
+    # A place belongs to the first segment whose end isn't before it: each segment lists the marks it holds, the first also 0.
+    none = F.array().cast("array<int>")
+    begun, ended = F.floor(F.col("x0") / CELL_M).cast("int"), F.floor(F.col("x1") / CELL_M).cast("int")
+    own = F.concat(F.when(F.col("j") == 1, F.array(F.lit(0))).otherwise(none), F.when(ended > begun, F.sequence(begun + 1, ended)).otherwise(none))
+    held = seg.withColumn("k", F.explode(own)).where("k <= nc")
+    f = F.when(F.col("k") == 0, F.lit(0.0)).otherwise((F.col("k") * CELL_M - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    marks = held.select("track", "k", (F.col("h0") * (1 - f) + F.col("h1") * f).alias("hk"))
     drop = -(F.col("hk") - F.lag("hk").over(Window.partitionBy("track").orderBy("k")))
     part = marks.withColumn("drop", drop).where("drop > 0").groupBy("track").agg(F.sum("drop").alias("hd"), F.sum(F.col("drop") * F.least(F.lit(1.0), F.lit(cost.ab_ratio) / (F.col("drop") / CELL_M))).alias("ew"))
     eps = F.when(F.coalesce("hd", F.lit(0.0)) < 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("ew") / F.col("hd") - cost.eps_offset)))
