@@ -225,3 +225,34 @@ def hillshade(pairs: DataFrame, azimuth: float = 315.0, altitude: float = 45.0)
 
 def percentiles(cells: DataFrame, shares: Sequence[float] = (0.1, 0.9)) -> DataFrame:
     return cells.where("m").agg(F.percentile_approx(F.col("h").cast("double"), list(shares), 10_000).alias("p"))
+
+
+def assemble_rings(ways: DataFrame, tol: float = 1e-7) -> DataFrame:
+    """(rel, ring, seq, x, y) from a relation's ways (rel, way, seq, x, y): ways that share an end are joined, either way round,
+    until they close; what stays open is dropped. A task holds one relation's ways."""
+    import pandas as pd
+
+    def stitch(key, group: pd.DataFrame) -> pd.DataFrame:
+        end = lambda p: (round(p[0] / tol), round(p[1] / tol))
+        left = {w: list(zip(own["x"], own["y"], strict=True)) for w, own in group.sort_values("seq").groupby("way")}
+        at: dict = {}
+        for w, own in left.items():
+            for p in (own[0], own[-1]):
+                at.setdefault(end(p), []).append(w)
+        rows, ring = [], 0
+        for w in sorted(left):
+            if w not in left:
+                continue
+            chain = left.pop(w)
+            while end(chain[0]) != end(chain[-1]):
+                follow = next((x for x in at[end(chain[-1])] if x in left), None)
+                if follow is None:
+                    break
+                own = left.pop(follow)
+                chain += own[1:] if end(own[0]) == end(chain[-1]) else own[-2::-1]
+            if len(chain) >= 3 and end(chain[0]) == end(chain[-1]):
+                rows += [(key[0], ring, j, x, y) for j, (x, y) in enumerate(chain)]
+                ring += 1
+        return pd.DataFrame(rows, columns=["rel", "ring", "seq", "x", "y"])
+
+    return ways.groupBy("rel").applyInPandas(stitch, "rel bigint, ring int, seq int, x double, y double")

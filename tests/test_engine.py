@@ -158,6 +158,15 @@ def test_supercover_and_fill(spark):
     assert got == {(r, c) for r in range(4) for c in range(4)} - {(r, c) for r in (1, 2) for c in (1, 2)}
 
 
+def test_rings(spark):
+    ways = [(1, 0, [(0, 0), (4, 0)]), (1, 1, [(0, 4), (4, 4), (4, 0)]), (1, 2, [(0, 4), (0, 0)]), (1, 3, [(9, 9), (8, 8)]), (2, 0, [(0, 0), (1, 0), (1, 1), (0, 0)])]
+    df = spark.createDataFrame([(r, w, j, float(x), float(y)) for r, w, own in ways for j, (x, y) in enumerate(own)], "rel long, way long, seq long, x double, y double")
+    by = {}
+    for r in raster.assemble_rings(df).orderBy("rel", "ring", "seq").collect():
+        by.setdefault((r.rel, r.ring), []).append((r.x, r.y))
+    assert by == {(1, 0): [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], (2, 0): [(0, 0), (1, 0), (1, 1), (0, 0)]}
+
+
 def lines_frame(spark, *lines):
     return spark.createDataFrame([(k, j, float(p[0]), float(p[1]), float(p[2]) if len(p) > 2 else None) for k, own in enumerate(lines) for j, p in enumerate(own)], "line long, seq long, r double, c double, z double")
 
