@@ -33,6 +33,8 @@ END_ID = 2
 #: A shard is closed at the first document that brings it to so many ids.
 SHARD_IDS = 1 << 20
 BLOCK = 512
+#: Token parts that a worker keeps, some 150 bytes each.
+PARTS = 800_000
 _HEAD, _PLANE = struct.Struct("<4sQI"), struct.Struct("<QII")
 
 
@@ -146,7 +148,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHA
     schema = "part int, shard int, doc_ids array<bigint>, n_tokens array<bigint>, total bigint, data binary"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part, k = encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        encode, end, part, k = encoder(path, PARTS), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         doc_ids, lengths, held, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:

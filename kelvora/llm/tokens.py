@@ -33,8 +33,9 @@ def default_path() -> str:
 class _Parts(dict):
     """Little-endian 32-bit ids of prefix + part, as bytes."""
 
-    def __init__(self, tokenizer, prefix: str):
+    def __init__(self, tokenizer, prefix: str, most: int):
         super().__init__()
+        self.most = most
         self.tokenizer, self.model, self.prefix, self.marks = tokenizer, tokenizer.model, prefix, {}
 
     def __missing__(self, part: str) -> bytes:
@@ -42,8 +43,8 @@ class _Parts(dict):
             return self[part[:-1]] + self.mark(part[-1])
         out = self.ids(self.prefix + part)
         if len(part) <= LONGEST_PART:
-            if len(self) >= CACHE_PARTS:
-                for key in list(self)[: CACHE_PARTS // 2]:
+            if len(self) >= self.most:
+                for key in list(self)[: self.most // 2]:
                     del self[key]
             self[part] = out
         return out
@@ -65,11 +66,11 @@ class _Parts(dict):
 class Encoder:
     """For byte-level BPE files; ``path`` is such a file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, parts: int = CACHE_PARTS):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.first, self.later = _Parts(tokenizer, ""), _Parts(tokenizer, " ")
+        self.first, self.later = _Parts(tokenizer, "", parts), _Parts(tokenizer, " ", parts)
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a whole text (null: none), as little-endian 32-bit numbers."""
@@ -84,11 +85,11 @@ class Encoder:
         return feed.join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, parts: int = CACHE_PARTS) -> Encoder:
+    """One per worker, file and size of cache."""
+    if (path, parts) not in _ENCODERS:
+        _ENCODERS[path, parts] = Encoder(path, parts)
+    return _ENCODERS[path, parts]
