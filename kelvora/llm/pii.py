@@ -12,7 +12,7 @@ a and b are, so no value leaves its format and none has to be walked back into i
   ip       four octets up to 255: the 32 bits are permuted
   date     yyyy-mm-dd of 1900 to 2099 that the calendar has: its day is permuted among those days
   email    the local part: letters and digits are moved within their kind; the domain stays
-  secret   access keys, passwords and tokens with a named prefix: as the local part
+  secret   access keys, passwords and tokens with a named prefix, in small letters or capitals: as the local part
 
 Candidates that fail their check (an octet of 256, 30 February) stay as they are.
 
@@ -34,7 +34,7 @@ PATTERN = "|".join(
     (
         r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9.\-]{0,251}[A-Za-z0-9])?\.[A-Za-z]{2,24}",
         r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-        r"(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_\-]{8,128}",
+        r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_\-]{8,128}",
         r"\+\d{1,3}[ \-.]?\(?\d{3}\)?[ \-.]?\d{3}[ \-.]?\d{4}(?!\d)",
         r"(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
         r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
@@ -169,14 +169,14 @@ def email(m: Column, key: str) -> Column:
 
 
 def secret(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^(?:AKIA|[a-z_]+ ?[=:] ?\"?)", 0)
+    head = F.regexp_extract(m, r"^(?:AKIA|[A-Za-z_]+ ?[=:] ?\"?)", 0)
     return F.concat(head, letters(F.substring(m, F.length(head) + 1, F.length(m)), "secret", key))
 
 
 #: Kinds in the order in which a match is told apart.
 KINDS = (
     ("email", lambda m: m.contains("@"), email),
-    ("secret", lambda m: m.rlike(r"^(?:AKIA|password|passwd|token|secret|api_key)"), secret),
+    ("secret", lambda m: m.rlike(r"^(?:AKIA|(?i:password|passwd|token|secret|api_key))"), secret),
     ("phone", lambda m: m.rlike(r"^[+(]"), phone),
     ("ip", lambda m: m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ip),
     ("date", lambda m: m.rlike(r"^\d{4}-\d\d-\d\d$"), date),
@@ -205,7 +205,7 @@ def _count(kinds: str, name: str) -> Column:
 
 def apply(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
     """docs with pseudonyms in text. counts adds pii_<kind>, values changed of each kind, and pii_values, their number."""
-    maybe = F.col("text").rlike("[0-9@]|password|passwd|token|secret|api_key")
+    maybe = F.col("text").rlike("[0-9@]|(?i:password|passwd|token|secret|api_key)")
     none = F.array().cast("array<string>")
     found = docs.withColumn("_m", F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), 0)).otherwise(none))
     new = found.withColumn("_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key))).otherwise(none))
