@@ -47,7 +47,7 @@ def lines(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, seq, d, dh): an order's lines as segments of whole metres and quarter-metre rises."""
-    own = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    own = table(spark, sf_dir, "lineitem")
     return own.groupBy(F.col("l_orderkey").alias("track"), F.col("l_linenumber").cast("long").alias("seq")).agg(F.min(F.col("l_quantity") * 8.0 + 20.0).alias("d"), F.min(F.pmod(F.col("l_partkey"), F.lit(41)) * 0.25 - 5.0).alias("dh"))
 
 
