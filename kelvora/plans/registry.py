@@ -115,7 +115,7 @@ _PORTAL = f"""portal AS MATERIALIZED (
 def _portals(spark, d, g):
     n = F.lit(g.rows * g.cols)
     s = F.col("s_suppkey")
-    return V.table(spark, d, "supplier").where(s < 10).select(F.pmod(s * 31, n).alias("u"), F.pmod(s * 57 + 9, n).alias("v"), (100.0 + s * 8.0).alias("len_m"), F.when(s % 2 == 0, 712.0).alias("hu"), F.when(s % 3 == 0, 700.0).alias("hv"))
+    return V.table(spark, d, "supplier").select(F.pmod(s * 31, n).alias("u"), F.pmod(s * 57 + 9, n).alias("v"), (100.0 + s * 8.0).alias("len_m"), F.when(s % 2 == 0, 712.0).alias("hu"), F.when(s % 3 == 0, 700.0).alias("hv"))
 
 
 @query(V.with_(V.CELL, _PORTAL) + "SELECT u, v, round(w, 6) AS w FROM pedge")
@@ -307,7 +307,7 @@ _MATRIX = V.with_(*_MULTI, f"ids AS (SELECT s_suppkey AS k, (s_suppkey * 17) % (
 
 def _matrix(spark, d):
     cells, g, edge, refs = _multi(spark, d)
-    ids = V.table(spark, d, "supplier").where(F.col("s_suppkey") < V.REFS).select(F.col("s_suppkey").alias("k"), F.pmod(F.col("s_suppkey") * 17, F.lit(g.rows * g.cols)).alias("i"))
+    ids = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.pmod(F.col("s_suppkey") * 17, F.lit(g.rows * g.cols)).alias("i"))
     return density.matrix(search.field(edge, refs, 20.0), ids)
 
 
@@ -338,7 +338,7 @@ def scenario_difference(spark, d):
 def deck_passes(spark, d):
     cells, g, edge = _edges(spark, d)
     n, s = F.lit(g.rows * g.cols), F.col("s_suppkey")
-    decks = V.table(spark, d, "supplier").where(s < 10).select(s.alias("deck"), F.pmod(s * 31, n).alias("u"), F.pmod(s * 57 + 9, n).alias("v"))
+    decks = V.table(spark, d, "supplier").select(s.alias("deck"), F.pmod(s * 31, n).alias("u"), F.pmod(s * 57 + 9, n).alias("v"))
     return density.deck_passes(search.tree(edge, V.first_seed(cells)), decks)
 
 
@@ -813,7 +813,7 @@ def leases(spark, d):
 
 @query(f"WITH {_LEASE}, st AS (SELECT event_id AS id, user_id AS client, ts FROM events WHERE event_type = 'error' OR event_id % 10 = 0) SELECT id, EXISTS (SELECT 1 FROM ls WHERE ls.client <> st.client AND begin_ <= st.ts AND st.ts < end_) AS blocked FROM st")
 def other_active_lease(spark, d):
-    stops = V.table(spark, d, "events").where("event_type = 'error' or event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    stops = V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
     lease = lifecycle.leases(V.beats(spark, d)).select("client", F.col("begin").cast("timestamp").alias("begin"), F.col("end").cast("timestamp").alias("end"))
     return lifecycle.other_active(stops, lease)
 
@@ -832,7 +832,7 @@ def idle_gaps(spark, d):
 
 @query("WITH RECURSIVE r AS (SELECT user_id AS client, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, least(5e0, greatest(0.2e0, (1 + event_id % 7) / (1 + event_id % 3))) AS q FROM events WHERE event_id % 4 = 0), e(client, j, corr) AS (SELECT DISTINCT client, 0::BIGINT, 1e0 FROM r UNION ALL SELECT e.client, r.j, greatest(0.2e0, least(5e0, 0.5e0 * corr + 0.5e0 * q)) FROM e JOIN r ON r.client = e.client AND r.j = e.j + 1) SELECT client, round(arg_max(corr, j), 6) AS corr FROM e GROUP BY client")
 def ema_correction(spark, d):
-    runs = V.table(spark, d, "events").where("event_id % 4 = 0").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), (1.0 + F.col("event_id") % 7).alias("actual"), (1.0 + F.col("event_id") % 3).alias("predicted"))
+    runs = V.table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), (1.0 + F.col("event_id") % 7).alias("actual"), (1.0 + F.col("event_id") % 3).alias("predicted"))
     return lifecycle.ema(runs).select("client", r6("corr", "corr"))
 
 

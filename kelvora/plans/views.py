@@ -29,9 +29,9 @@ def terrain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
     return part.select("i", r.alias("r"), c.alias("c"), h.cast("float").alias("h"), (F.col("p_size") != 50).alias("m")), Grid(-(-n // COLS), COLS, DX, DY)
 
 
-def refs(spark: SparkSession, sf_dir: str, cells: DataFrame, grid: Grid, k: int = REFS) -> DataFrame:
-    """(k, i): the first suppliers' cells; those on masked cells are dropped, the others keep their number."""
-    own = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") < k).select(F.col("s_suppkey").alias("k"), F.pmod(F.col("s_suppkey") * 17, F.lit(grid.rows * grid.cols)).alias("i"))
+def refs(spark: SparkSession, sf_dir: str, cells: DataFrame, grid: Grid) -> DataFrame:
+    """(k, i): the suppliers' cells; those on masked cells are dropped, the others keep their number."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.pmod(F.col("s_suppkey") * 17, F.lit(grid.rows * grid.cols)).alias("i"))
     return own.join(cells.where("m").select("i"), "i", "left_semi").select("k", "i")
 
 
