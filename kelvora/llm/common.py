@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/kelvora-shared"
+    return f"file://{_session_dir(spark.sparkContext.applicationId)}"
+
+
+@cache
+def _session_dir(application: str) -> str:
+    """A fresh folder of this process for a local session without a shared one; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix=f"kelvora-{application}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -34,6 +46,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores where df has such a column, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: str | Column) -> Column:
     """The words of a text (null: none), in order."""
     c = F.col(text) if isinstance(text, str) else text

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from kelvora.llm.common import materialise
 
-MOST_ROUNDS = 60
-
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of (a, b): label is the smallest node that it reaches.
@@ -18,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     join are links and one row per node, and minima are taken before the shuffle."""
     both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(MOST_ROUNDS):
+    while True:  # labels only get smaller, so it ends
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
@@ -26,4 +24,3 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if after.where("old != label").limit(1).count() == 0:
             return labels
-    raise RuntimeError("labels still change")

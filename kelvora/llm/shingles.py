@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-#: Documents are taken together up to so many bytes and rows; a longer one is taken alone.
-SLICE_BYTES = 1 << 20
+#: Documents are taken together up to so many bytes and rows; a longer one is taken alone. Work space is some 60 bytes a byte.
+SLICE_BYTES = 1 << 18
 SLICE_ROWS = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
-_POWERS: list[np.ndarray] = []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -24,12 +25,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size, back = max(n, SLICE_BYTES + 1), np.uint64(pow(int(_BASE), -1, 2**64))
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (_BASE, back)]
-    return _POWERS[0], _POWERS[1]
+def _series(base: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+
+
+@cache
+def _kept(base: int) -> np.ndarray:
+    return _series(np.uint64(base), SLICE_BYTES + 1)
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """base**i, or base**-i, modulo 2**64, for i up to n at least. What a longer text needs is made for it and not kept."""
+    base = pow(int(_BASE), -1, 2**64) if inverse else int(_BASE)
+    return _kept(base) if n <= SLICE_BYTES + 1 else _series(np.uint64(base), n)
+
+
+def trimmed(make):
+    """make, a function of an iterator of batches, that hands freed memory back when its input ends: Python workers are
+    reused, and a later stage finds what an earlier one has kept."""
+
+    def run(batches):
+        yield from make(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,14 +79,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edges = offsets[1:-1]
     edges = edges[edges < len(data)]
     begins[edges] = solid[edges]
-    ends = solid.copy()
-    ends[:-1] &= ~solid[1:]
-    ends[edges[edges > 0] - 1] = solid[edges[edges > 0] - 1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    low = np.where((data >= 65) & (data <= 90), data + 32, data)
-    up, down = _powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * up[: len(data)])])
-    hashes = mix64((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    # Bytes of words, one after another: a byte's weight is its value's number times a power for its place in its word.
+    own = np.flatnonzero(solid)
+    low = data[own]
+    low = np.where((low >= 65) & (low <= 90), low + 32, low)
+    first = np.searchsorted(own, start)
+    size = np.diff(first, append=len(own))
+    place = np.arange(len(own)) - np.repeat(first, size)
+    hashes = mix64(np.add.reduceat(_BYTE[low] * powers(int(size.max()))[place], first) + size.astype(np.uint64))
     return hashes, np.searchsorted(start, offsets, side="left")
 
 
