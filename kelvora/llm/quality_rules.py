@@ -1,12 +1,14 @@
 """Quality rules with cross-document line frequency, as DataFrame expressions only.
 
 Base rules look at one text. The corpus rule hashes each normalised line, counts in how many distinct
-texts of the same host (``source``) it stands, takes lines above the limit out, and rejects a document of
-which too little is left.
+documents of the same host (``source``) it stands, takes lines above the limit out, and rejects a document of
+which too little is left. Copies are documents like others: a text that a host has more often than the limit
+says nothing of its own, and all its copies go, near or exact.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; rows
-that repeat are judged alike and stay repeated; copies of one text count once towards a line's frequency, so
-that a document isn't rejected for having copies; extra columns are ignored by ``judge`` and kept by ``apply``.
+that repeat are judged alike and stay repeated, and count as one document where their doc_id is the same; all
+rows without a doc_id count as one; very long texts are judged whole; a table without rows gives none; extra
+columns are ignored by ``judge`` and kept by ``apply``, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelvora.llm.common import materialise, words_of
+from kelvora.llm.common import materialise, table, unused, words_of
 
-#: A line may stand in so many distinct texts of its host, or in that share of them if this is more.
-LINE_TEXTS = 20
+#: A line may stand in so many documents of its host, or in that share of them if this is more, but not in more than
+#: the last: on a host of any size, what that many documents have in common is not their own.
+LINE_DOCS = 20
 LINE_SHARE = 0.05
+LINE_MOST = 1000
 #: At least this share of a document's line characters has to be left.
 LEAST_LEFT = 0.3
 MIN_WORDS = 50
@@ -57,7 +61,7 @@ def _covered(windows: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(line), r"[\x20\x09-\x0D]+", " "))
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -78,19 +82,20 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(measured: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, h) of lines above their host's limit. A text that repeats counts once; every count combines on the map side."""
-    texts = measured.select("host", "text_hash", F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("h"))
-    limits = texts.select("host", "text_hash").distinct().groupBy("host").agg(F.greatest(F.lit(float(line_texts)), F.lit(line_share) * F.count("*")).alias("most"))
-    counts = texts.select("host", "text_hash", F.explode("h").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_texts)
-    return counts.join(limits.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n") > F.col("most")).select("host", "h")
+def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST) -> DataFrame:
+    """(host, h) of lines above their host's limit. A document counts once; every count combines on the map side."""
+    docs = measured.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    limits = docs.select(F.col("host").alias("host_"), F.greatest(F.lit(float(line_docs)), F.least(F.lit(float(line_most)), F.lit(line_share) * F.col("docs"))).alias("most"))
+    once = measured.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
+    counts = once.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
+    return counts.join(limits, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n") > F.col("most")).select("host", "h")
 
 
-def judge(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST, least_left: float = LEAST_LEFT) -> DataFrame:
     """Measures and verdicts, a row per document: the base measures, n_lines_removed, share_left, base_failed, kept,
     and frequent (the hashes of its lines above the limit)."""
     measured = materialise(measures(docs), "quality")
-    above = frequent_lines(measured, line_texts, line_share).withColumnRenamed("host", "host_").withColumnRenamed("h", "h_").withColumn("hit", F.lit(True))
+    above = frequent_lines(measured, line_docs, line_share, line_most).withColumnRenamed("host", "host_").withColumnRenamed("h", "h_")
     lines = measured.select("doc_id", "host", "text_hash", F.explode("lines").alias("x")).select("doc_id", "host", "text_hash", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     # Inner: documents that have no such line never take part in the second shuffle.
     lost = (
@@ -117,10 +122,12 @@ def judge(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LIN
 
 def apply(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that judge keeps, without their lines above the limit; n_chars follows the text where it is a column."""
-    told = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("doc_"), F.col("text_hash").alias("text_"), F.col("host").alias("host_"), "frequent").dropDuplicates(["doc_", "text_", "host_"])
-    kept = docs.withColumn("h_", F.xxhash64(F.coalesce("text", F.lit("")))).join(told, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("h_") == F.col("text_")) & F.col("source").eqNullSafe(F.col("host_")))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("frequent", F.xxhash64(normalised(x)))), "\n")
-    changed = kept.withColumn("text", F.when(F.col("frequent").isNull(), F.col("text")).otherwise(left))
+    own = {c: unused(docs, f"quality_{c}") for c in ("doc_id", "text_hash", "host", "frequent", "hash")}
+    told = judge(docs, **limits).where("kept").select(*[F.col(c).alias(own[c]) for c in ("doc_id", "text_hash", "host", "frequent")]).dropDuplicates([own[c] for c in ("doc_id", "text_hash", "host")])
+    hashed = docs.withColumn(own["hash"], F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(told, F.col("doc_id").eqNullSafe(F.col(own["doc_id"])) & (F.col(own["hash"]) == F.col(own["text_hash"])) & F.col("source").eqNullSafe(F.col(own["host"])))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(own["frequent"], F.xxhash64(normalised(x)))), "\n")
+    changed = kept.withColumn("text", F.when(F.col(own["frequent"]).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -141,12 +148,12 @@ WITH d AS (
 ), rep AS (
   SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + j AS p FROM twice, (SELECT unnest([0, 1, 2]) AS j)) GROUP BY rid
 ), ln AS (
-  SELECT rid, host, text, length(x) AS n, lower(regexp_replace(trim(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
-  FROM (SELECT rid, host, text, unnest(l) AS x FROM w)
+  SELECT rid, doc_id, host, length(x) AS n, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k
+  FROM (SELECT rid, doc_id, host, text, unnest(l) AS x FROM w)
 ), lim AS (
-  SELECT host, greatest({float(LINE_TEXTS)}, {LINE_SHARE} * count(DISTINCT text)) AS most FROM d GROUP BY host
+  SELECT host, greatest({LINE_DOCS}, least({LINE_MOST}, {LINE_SHARE} * (count(DISTINCT doc_id) + max((doc_id IS NULL)::INT)))) AS most FROM d GROUP BY host
 ), freq AS (
-  SELECT c.host, c.k FROM (SELECT host, k, count(DISTINCT text) AS n FROM ln GROUP BY host, k) c
+  SELECT c.host, c.k FROM (SELECT host, k, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS n FROM ln GROUP BY host, k) c
   JOIN lim ON c.host IS NOT DISTINCT FROM lim.host WHERE n > most
 ), left_ AS (
   SELECT rid, sum(CASE WHEN f.k IS NULL THEN 0 ELSE ln.n END) AS gone, sum(ln.n) AS chars
@@ -169,6 +176,4 @@ FROM b
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from kelvora.llm.common import table
-
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
