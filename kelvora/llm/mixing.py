@@ -5,7 +5,8 @@ Sizes (words) are summed per source. Each source's target is its weight's share
 document is emitted floor(rate) times and once more with the fraction as probability, by a keyed hash of its id.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; a source of size 0 has target
-0 and takes nothing; rows with the same doc_id are drawn alike; a null doc_id is drawn as the empty string.
+0 and takes nothing; rows with the same doc_id are drawn alike; rows without one are drawn by their text; a very long
+text counts whole; a table without rows gives none; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelvora.llm.common import table, words_of
+from kelvora.llm.common import table, unused, words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -48,25 +49,32 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float =
     return level.withColumn("at", first).select("source", "source_size", F.when(F.col("at").isNull() | (F.col("cap") <= F.col("w") * F.col("at")), F.col("cap")).otherwise(F.col("w") * F.col("at")).alias("target"))
 
 
-def plan(docs: DataFrame, **how) -> DataFrame:
-    """docs with size, source_size, target and copies."""
-    sized = docs.select("*", F.size(words_of("text")).cast("long").alias("_size"))
-    told = targets(sized.select("source", F.col("_size").alias("size")), **how).withColumnRenamed("source", "_source").withColumnRenamed("source_size", "_source_size").withColumnRenamed("target", "_target")
+NAMES = ("size", "source_size", "target", "copies")
+
+
+def plan(docs: DataFrame, names: Sequence[str] = NAMES, **how) -> DataFrame:
+    """docs with size, source_size, target and copies, under these names."""
+    size, whole, target, copies = names
+    sized = docs.select("*", F.size(words_of("text")).cast("long").alias(size))
+    source = unused(sized, "mixed_source")
+    told = targets(sized.select("source", F.col(size).alias("size")), **how).select(F.col("source").alias(source), F.col("source_size").alias(whole), F.col("target").alias(target))
     # A row per source, but hosts have no proven bound: Spark decides on its own whether to broadcast.
-    joined = sized.join(told, F.col("source").eqNullSafe(F.col("_source")))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(uniform(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("_copies", copies.cast("long")).drop("_source")
+    joined = sized.join(told, F.col("source").eqNullSafe(F.col(source)))
+    rate = F.when(F.col(whole) > 0, F.col(target) / F.col(whole)).otherwise(F.lit(0.0))
+    drawn = uniform(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    return joined.withColumn(copies, (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")).drop(source)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    return plan(docs, **how).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [unused(docs, f"mixed_{n}") for n in NAMES]
+    taken = plan(docs, names, **how).where(F.col(names[-1]) > 0)
+    return taken.withColumn(unused(docs, "mixed_copy"), F.explode(F.sequence(F.lit(1), F.col(names[-1]).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS drawn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), weighed AS (
@@ -82,7 +90,7 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN lambda0 IS NULL OR cap <= w * lambda0 THEN cap ELSE w * lambda0 END AS target FROM level, found
 ), rate AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+    ('0x' || substr(md5('{SEED}:' || drawn), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
   FROM d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
@@ -91,6 +99,5 @@ SELECT doc_id, size, source_size, target,
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return plan(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken")
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -133,7 +133,7 @@ def test_mixing_handles_odd_rows(spark, odd):
     df = spark.createDataFrame(rows, DOC)
     plan = mixing.plan(df)
     assert plan.count() == len(rows)
-    per = plan.groupBy("source").agg(F.first("_target").alias("t"), F.first("_source_size").alias("n"), F.sum(F.col("_size") * F.col("_copies")).alias("got")).collect()
+    per = plan.groupBy("source").agg(F.first("target").alias("t"), F.first("source_size").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("got")).collect()
     total = sum(r.n for r in per)
     assert sum(r.t for r in per) == pytest.approx(1.5 * total) and all(r.t <= 2 * r.n + 1e-9 for r in per)
     assert all(abs(r.got - r.t) < 0.15 * r.t + 300 for r in per)
