@@ -5,19 +5,22 @@ value has the same pseudonym in every document and no table of values is kept. N
 modulo a and b, and each half in turn is moved by a keyed hash of the other: a permutation of 0 .. a*b-1 whatever
 a and b are, so no value leaves its format and none has to be walked back into it.
 
-  card     13 to 19 digits, in one run or in groups: all but the last digit are permuted, and the last keeps the
-           number's Luhn remainder, so valid numbers stay valid
-  phone    +country and ten digits: the ten are permuted, signs stay
-  ssn      three, two and four digits: the nine are permuted
-  ip       four octets up to 255: the 32 bits are permuted
-  date     yyyy-mm-dd of 1900 to 2099 that the calendar has: its day is permuted among those days
+  card     13 to 19 digits in one run, or in groups as on cards, that pass the Luhn test: all but the last digit are
+           permuted, and the last makes the number pass again
+  iban     country, two check digits that hold and the rest: the rest is moved within its kinds, the check is made anew
+  phone    +country and ten digits, (three) and seven, or three-three-four: the ten are permuted, signs stay
+  ssn      three, two and four digits of an assigned range: permuted among the numbers of such ranges
+  ip       four octets up to 255: the 32 bits are permuted; eight groups of hexadecimal digits, or fewer around one ::,
+           digits moved
+  date     yyyy-mm-dd, yyyy/mm/dd or dd.mm.yyyy of 1900 to 2099 that the calendar has: permuted among those days
   email    the local part: letters and digits are moved within their kind; the domain stays
   secret   access keys, passwords and tokens with a named prefix, in small letters or capitals: as the local part
 
-Candidates that fail their check (an octet of 256, 30 February) stay as they are.
+Candidates that fail their check (a Luhn sum, an octet of 256, 30 February, an SSN of area 000) stay as they are.
 
-Defined results: a null text stays null; a text without candidates is returned as it is; empty and very long texts have
-no special way; rows that repeat get the same text; columns other than text are kept, with n_chars following the text.
+Defined results: a null text stays null; a text without candidates is returned as it is; empty and very long texts, values
+of any length among them, have no special way; rows that repeat get the same text; a table without rows gives none;
+columns other than text are kept, whatever their names, with n_chars following the text.
 """
 
 from __future__ import annotations
@@ -25,22 +28,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelvora.llm.common import table
+from kelvora.llm.common import table, unused
 
 KEY = "kelvora"
 ROUNDS = 6
 #: What may be personal, one alternative a kind; a match is told apart by its own form below.
 PATTERN = "|".join(
     (
-        r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9.\-]{0,251}[A-Za-z0-9])?\.[A-Za-z]{2,24}",
         r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-        r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_\-]{8,128}",
+        r"(?<![A-Za-z0-9])(?i:password|passwd) ?[=:] ?\"?[^\s\"]{7,}[^\s\".,;:!?)]",
+        r"(?<![A-Za-z0-9])(?i:token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_\-]{8,}+",
+        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]{0,251}[A-Za-z0-9])?\.[A-Za-z]{2,24}",
         r"\+\d{1,3}[ \-.]?\(?\d{3}\)?[ \-.]?\d{3}[ \-.]?\d{4}(?!\d)",
         r"(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+        r"(?<![\w\-.])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w\-]|\.\d)",
         r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+        r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+        r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])",
         r"(?<![\d\-])(?:19|20)\d\d-\d\d-\d\d(?![\d\-])",
+        r"(?<![\d/])(?:19|20)\d\d/\d\d/\d\d(?![\d/])",
+        r"(?<![\d.])\d\d\.\d\d\.(?:19|20)\d\d(?!\d|\.\d)",
         r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-        r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+        r"(?<![\w\-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?![\w\-])",
     )
 )
 _CALENDAR_DAYS = 73_049  # 1900-01-01 to 2099-12-31, 319 * 229
@@ -109,9 +119,27 @@ def card(m: Column, key: str) -> Column:
     own = F.lit(None).cast("string")
     for n in range(12, 19):
         own = F.when(F.length(digits) == n + 1, _number(F.substring(digits, 1, n), n, "card", key)).otherwise(own)
-    # The last digit isn't doubled, so it alone brings the sum to the remainder that the number had.
-    last = F.pmod(_luhn(digits) - _luhn(F.concat(own, F.lit("0"))), F.lit(10))
-    return _put(m, F.concat(own, last.cast("string")))
+    # The last digit isn't doubled, so it alone makes the sum pass.
+    last = F.pmod(-_luhn(F.concat(own, F.lit("0"))), F.lit(10))
+    return F.when(_luhn(digits) == 0, _put(m, F.concat(own, last.cast("string")))).otherwise(m)
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder of letters as 10 to 35 and digits as themselves, one after another."""
+
+    def add(acc: Column, c: Column) -> Column:
+        v = F.ascii(c)
+        return F.pmod(F.when(v >= 65, acc * 100 + v - 55).otherwise(acc * 10 + v - 48), F.lit(97))
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def iban(m: Column, key: str) -> Column:
+    country, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+    valid = _mod97(F.concat(rest, F.substring(m, 1, 4))) == 1
+    new = letters(rest, "iban", key)
+    made = F.transform(F.array(new), lambda r: F.concat(country, _pad(98 - _mod97(F.concat(r, country, F.lit("00"))), 2), r))[0]
+    return F.when(valid, made).otherwise(m)
 
 
 def phone(m: Column, key: str) -> Column:
@@ -121,7 +149,16 @@ def phone(m: Column, key: str) -> Column:
 
 
 def ssn(m: Column, key: str) -> Column:
-    return _put(m, _number(_digits(m), 9, "ssn", key))
+    """Areas 001 to 899 but 666, groups 01 to 99 and serials 0001 to 9999, as one number."""
+    area, group, serial = F.substring(m, 1, 3).cast("int"), F.substring(m, 5, 2).cast("int"), F.substring(m, 8, 4).cast("int")
+    x = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
+
+    def put(s: Column) -> Column:
+        n = F.floor(s["x"] / 99) + 1
+        return F.concat_ws("-", _pad(n + F.when(n >= 666, 1).otherwise(0), 3), _pad(F.pmod(s["x"], F.lit(99)) + 1, 2), _pad(s["y"] + 1, 4))
+
+    fine = (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
+    return F.when(fine, _feistel(x, serial - 1, 898 * 99, 9999, "ssn", key, ROUNDS, put)).otherwise(m)
 
 
 def ip(m: Column, key: str) -> Column:
@@ -132,15 +169,28 @@ def ip(m: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x.cast("int") <= 255), dotted).otherwise(m)
 
 
+def ip6(m: Column, key: str) -> Column:
+    groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+    return F.when((groups == 8) & ~m.contains("::") | (groups <= 7) & m.contains("::"), letters(m, "ip6", key, hexadecimal=True)).otherwise(m)
+
+
+#: How a date is written: a test of the match, and Spark's pattern.
+DATES = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d\d\.", "dd.MM.yyyy"))
+
+
 def date(m: Column, key: str) -> Column:
-    parsed = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
-    number = F.date_diff(parsed, F.lit("1900-01-01").cast("date")).cast("long")
-    new = feistel(number, 319, 229, "date", key)
-    return F.when(parsed.isNull() | (number < 0) | (number >= _CALENDAR_DAYS), m).otherwise(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), new.cast("int")), "yyyy-MM-dd"))
+    out = m
+    for like, form in DATES:
+        parsed = F.try_to_timestamp(m, F.lit(form)).cast("date")
+        number = F.date_diff(parsed, F.lit("1900-01-01").cast("date")).cast("long")
+        moved = F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), feistel(number, 319, 229, "date", key).cast("int")), form)
+        out = F.when(m.rlike(like), F.when(parsed.isNull() | (number < 0) | (number >= _CALENDAR_DAYS), m).otherwise(moved)).otherwise(out)
+    return out
 
 
-def letters(m: Column, tweak: str, key: str) -> Column:
-    """Characters moved within their kind (a-z, A-Z, 0-9), half against half; all else stays in its place."""
+def letters(m: Column, tweak: str, key: str, hexadecimal: bool = False) -> Column:
+    """Characters moved within their kind (a-z, A-Z, 0-9; or hexadecimal digits), half against half; all else stays in its
+    place. Hexadecimal digits come out in small letters, so capitals have to be made small before they are compared."""
     n = F.length(m)
     cut = F.floor(n / 2).cast("int")
 
@@ -151,6 +201,8 @@ def letters(m: Column, tweak: str, key: str) -> Column:
             step = F.conv(F.substring(F.sha2(F.concat_ws("|", pad, F.floor(j / 16).cast("string")), 256), F.pmod(j, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
             code = F.ascii(c)
             shift = lambda low, size: F.char(F.pmod(code - low + step, F.lit(size)) + low)
+            if hexadecimal:
+                return F.when(c == ":", c).otherwise(F.lower(F.hex(F.pmod(F.conv(c, 16, 10).cast("int") + step, F.lit(16)))))
             return F.when(c.rlike("[a-z]"), shift(97, 26)).when(c.rlike("[A-Z]"), shift(65, 26)).when(c.rlike("[0-9]"), shift(48, 10)).otherwise(c)
 
         return F.when(F.length(own) == 0, own).otherwise(F.array_join(F.transform(F.split(own, ""), one), ""))
@@ -160,7 +212,8 @@ def letters(m: Column, tweak: str, key: str) -> Column:
         return F.struct(F.when(even, moved(s["x"], s["y"], i)).otherwise(s["x"]).alias("x"), F.when(even, s["y"]).otherwise(moved(s["y"], s["x"], i)).alias("y"))
 
     # A single character has no other half; the pad then hangs on the key alone, still a permutation.
-    start = F.struct(F.substring(m, F.lit(1), cut).alias("x"), F.substring(m, cut + 1, n).alias("y"))
+    text = F.lower(m) if hexadecimal else m
+    start = F.struct(F.substring(text, F.lit(1), cut).alias("x"), F.substring(text, cut + 1, n).alias("y"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["x"], s["y"]))
 
 
@@ -175,12 +228,14 @@ def secret(m: Column, key: str) -> Column:
 
 #: Kinds in the order in which a match is told apart.
 KINDS = (
+    ("secret", lambda m: m.rlike(r"^(?:AKIA[A-Z0-9]{16}$|(?i:password|passwd|token|secret|api_key) ?[=:])"), secret),
     ("email", lambda m: m.contains("@"), email),
-    ("secret", lambda m: m.rlike(r"^(?:AKIA|(?i:password|passwd|token|secret|api_key))"), secret),
-    ("phone", lambda m: m.rlike(r"^[+(]"), phone),
+    ("phone", lambda m: m.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"), phone),
     ("ip", lambda m: m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ip),
-    ("date", lambda m: m.rlike(r"^\d{4}-\d\d-\d\d$"), date),
+    ("ip6", lambda m: m.contains(":"), ip6),
+    ("date", lambda m: m.rlike(r"^\d{4}[-/]\d\d[-/]\d\d$|^\d\d\.\d\d\.\d{4}$"), date),
     ("ssn", lambda m: m.rlike(r"^\d{3}-\d\d-\d{4}$"), ssn),
+    ("iban", lambda m: m.rlike(r"^[A-Z]{2}\d\d"), iban),
     ("card", lambda m: m.rlike(r"^\d(?:[ \-]?\d){12,18}$"), card),
 )
 
@@ -205,20 +260,21 @@ def _count(kinds: str, name: str) -> Column:
 
 def apply(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
     """docs with pseudonyms in text. counts adds pii_<kind>, values changed of each kind, and pii_values, their number."""
-    maybe = F.col("text").rlike("[0-9@]|(?i:password|passwd|token|secret|api_key)")
+    m, p, k = (unused(docs, f"pii_{x}") for x in ("found", "made", "kinds"))
+    maybe = F.col("text").rlike("[0-9@]|(?i:password|passwd|token|secret|api_key)|[0-9A-Fa-f]:")
     none = F.array().cast("array<string>")
-    found = docs.withColumn("_m", F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), 0)).otherwise(none))
-    new = found.withColumn("_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key))).otherwise(none))
+    found = docs.withColumn(m, F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), 0)).otherwise(none))
+    new = found.withColumn(p, F.when(F.size(m) > 0, F.transform(m, lambda x: pseudonym(x, key))).otherwise(none))
     parts = F.split("text", PATTERN)
-    text = F.when(F.size("_m") > 0, F.array_join(F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, F.array(p)).otherwise(F.array(F.get(F.col("_p"), i - 1), p)))), "")).otherwise(F.col("text"))
+    text = F.when(F.size(m) > 0, F.array_join(F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, F.array(x)).otherwise(F.array(F.get(F.col(p), i - 1), x)))), "")).otherwise(F.col("text"))
     out = new.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     kept = [F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        changed = F.zip_with("_m", "_p", lambda m, p: F.when(m != p, kind_of(m)))
-        counted = out.withColumn("_k", F.when(F.size("_m") > 0, changed).otherwise(none))
-        kept += [_count("_k", n).alias(f"pii_{n}") for n, _, _ in KINDS] + [F.size(F.filter("_k", lambda k: k.isNotNull())).cast("long").alias("pii_values")]
+        changed = F.zip_with(m, p, lambda x, y: F.when(x != y, kind_of(x)))
+        counted = out.withColumn(k, F.when(F.size(m) > 0, changed).otherwise(none))
+        kept += [_count(k, n).alias(f"pii_{n}") for n, _, _ in KINDS] + [F.size(F.filter(k, lambda x: x.isNotNull())).cast("long").alias("pii_values")]
         return counted.select(*kept)
     return out.select(*kept)
 
