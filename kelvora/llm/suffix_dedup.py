@@ -9,9 +9,10 @@ two in a window. An anchor's hull is all that the strings around it reach: up to
    of shared passages never go further, but for one of each.
 2. The others whose gram repeats, at the edges of what is shared, are candidates: of the strings around an anchor, all that
    begin in one quarter of its reach have most of their bytes in common, and a hash of that part has to repeat too. They
-   go with their hull's bytes to the index, dealt by gram. A partition keeps a family of suffix arrays: a batch that comes in is sorted by what follows its anchors and by what
-   precedes them, merge-scanned against every level for strings of LENGTH bytes that both sides hold, and then levels of
-   equal size are merged, so that n suffixes stand in about log(n) levels.
+   go with their hull's bytes to the index, dealt and sorted by gram. A gram's anchors go through a family of suffix
+   arrays: a batch that comes in is sorted by what follows its anchors and by what precedes them, merge-scanned against
+   every level for strings of LENGTH bytes that both sides hold, and then levels of equal size are merged, so that n
+   suffixes stand in about log(n) levels. Grams of few anchors share a batch.
 3. A gram with more than ``HOT`` hulls isn't put into one partition. Its strings are counted by hash, in segments: a
    segment whose reach repeats is settled, one whose common part doesn't is dropped, and the strings of the others are
    counted one by one.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelvora.llm.common import materialise, table
-from kelvora.llm.shingles import _BYTE, _powers, mix64, slices
+from kelvora.llm.shingles import _BYTE, mix64, powers, slices, trimmed
 
 LENGTH, GRAM = 400, 96
 REACH = LENGTH - GRAM
@@ -59,8 +60,8 @@ def _sliding(x: np.ndarray, width: int, take, fill: int) -> np.ndarray:
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(len(data) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])]), down
+    n = len(data) + 1
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(n)[: len(data)])]), powers(n, inverse=True)
 
 
 def _hash(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                         ["doc_id", "h", "pos", "begin", "stop", "gram", "hull", "q0", "q1", "q2", "q3"],
                     )
 
-    return _keyed(docs).mapInArrow(find, "doc_id bigint, h bigint, pos int, begin int, stop int, gram bigint, hull bigint, q0 int, q1 int, q2 int, q3 int")
+    return _keyed(docs).mapInArrow(trimmed(find), "doc_id bigint, h bigint, pos int, begin int, stop int, gram bigint, hull bigint, q0 int, q1 int, q2 int, q3 int")
 
 
 class Level:
@@ -228,21 +229,54 @@ def _ranges(gram, hull, first, last) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(hull, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["gram", "hull", "first", "last"])
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    family = Family()
-    for whole in batches:
-        for a in range(0, whole.num_rows, BATCH_ROWS):
-            batch = whole.slice(a, BATCH_ROWS)
-            right, n_right = _matrix(batch.column(3), LENGTH)
-            left, n_left = _matrix(batch.column(2), REACH)
-            names = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            family.add(Level(right, left, n_right, n_left, names, np.zeros((len(names), REACH + 1), bool)))
+def _level(rows: list[pa.RecordBatch]) -> Level:
+    batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    right, n_right = _matrix(batch.column(3), LENGTH)
+    left, n_left = _matrix(batch.column(2), REACH)
+    names = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+    return Level(right, left, n_right, n_left, names, np.zeros((len(names), REACH + 1), bool))
+
+
+def _marked(family: Family) -> Iterator[pa.RecordBatch]:
     for level in family.levels.values():
         row, first, last = _runs(level.marks)
         if len(row):
             yield _ranges(level.names[row, 0], level.names[row, 1], first, last)
 
 
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of their grams, and only anchors of one gram share strings. So whole grams go through a family
+    together up to BATCH_ROWS rows, and one that has more goes through a family of its own, batch by batch: work is as the
+    rows, and what is held is the largest gram's."""
+    family, held, n, first = Family(), [], 0, None
+
+    def put() -> None:
+        nonlocal held, n
+        if n:
+            family.add(_level(held))
+            held, n = [], 0
+
+    for batch in batches:
+        grams = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if first is not None and grams[a] != first and (n + b - a > BATCH_ROWS or family.levels):
+                put()
+                yield from _marked(family)
+                family = Family()
+            first = grams[a]
+            for c in range(a, b, BATCH_ROWS):
+                d = min(b, c + BATCH_ROWS)
+                if n and n + d - c > BATCH_ROWS:
+                    put()
+                held.append(batch.slice(c, d - c))
+                n += d - c
+    put()
+    yield from _marked(family)
+
+
 def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(gram, hull, left reversed, right) of one anchor of each hull."""
 
@@ -264,7 +298,7 @@ def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     by_doc = reps.groupBy(F.col("rep.doc_id").alias("doc_"), F.col("rep.h").alias("h_")).agg(F.collect_list(F.struct("gram", "hull", F.col("rep.pos").alias("pos"), F.col("rep.begin").alias("begin"), F.col("rep.stop").alias("stop"), "hot")).alias("places"))
     joined = _keyed(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("h") == F.col("h_")))
-    return joined.select("text", "places").mapInArrow(_joined(cut), "gram bigint, hull bigint, left binary, right binary, hot boolean")
+    return joined.select("text", "places").mapInArrow(trimmed(_joined(cut)), "gram bigint, hull bigint, left binary, right binary, hot boolean")
 
 
 def _joined(make, rows: int = BATCH_ROWS):
@@ -307,7 +341,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot_ranges(contexts: DataFrame) -> DataFrame:
     """_RANGE of hot grams, by counts. A segment that a text's end cuts has no core and always goes to its strings."""
-    seg = contexts.mapInArrow(_joined(_segments), "gram bigint, hull bigint, first int, last int, core bigint, whole bigint, strings array<bigint>")
+    seg = contexts.mapInArrow(trimmed(_joined(_segments)), "gram bigint, hull bigint, first int, last int, core bigint, whole bigint, strings array<bigint>")
     seg = materialise(seg, "segments")
     cut = seg.where("core is null").select(F.explode("strings").alias("string")).distinct()
     cores = seg.where("core is not null").groupBy("core").agg(F.count("*").alias("n"))
@@ -342,7 +376,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     hot = edges.where("hot").limit(1).count() > 0
     contexts = _contexts(docs, edges)
     contexts = materialise(contexts, "contexts") if hot else contexts
-    ranges = contexts.where("not hot").repartition("gram").select("gram", "hull", "left", "right").mapInArrow(_index, _RANGE)
+    ranges = contexts.where("not hot").select("gram", "hull", "left", "right").repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_index), _RANGE)
     if hot:
         ranges = ranges.union(_hot_ranges(contexts.where("hot").select("gram", "hull", "left", "right")))
     marks = ranges.groupBy("gram", "hull").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
@@ -387,7 +421,7 @@ def apply(docs: DataFrame) -> DataFrame:
 
     told = repeated(docs).withColumnRenamed("doc_id", "doc_").withColumnRenamed("h", "h_")
     joined = _keyed(docs).join(told, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("h") == F.col("h_")), "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(trimmed(cut), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def _out(rows: list[tuple]) -> pa.RecordBatch:
@@ -396,4 +430,6 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return apply(table(spark, sf_dir, "documents")).drop("kept")
+    """The contract's columns, and text: the remaining bytes as text, with a mark where a cut has parted a character."""
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return apply(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text)
