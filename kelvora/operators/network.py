@@ -1,7 +1,9 @@
 """Street networks: polylines to a planar graph with directed costs, and searches on it.
 
 Coordinates are fractional cells (r, c); a cell's value stands at its centre. Candidate pairs come from an equi-join on
-buckets of one cell, so no pair of far segments is ever formed, and a bucket that is hot is split by the engine.
+the cells that segments pass through, so no pair of far segments is ever formed. A pair that meets in several cells is
+told in the cell of the point where it meets, so that nothing has to be made distinct, and a cell that is hot is split by
+the engine.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from kelvora.functions.cost import Cost, edge_cost
 from kelvora.operators import raster
 from kelvora.operators.grid import Grid
+from kelvora.operators.search import written
 
 
 @dataclass(frozen=True)
@@ -45,10 +48,31 @@ def segments(vertices: DataFrame) -> DataFrame:
     return out.select((F.col("line") * (1 << 20) + F.col("seq")).alias("s"), "*", (F.sum(d).over(by.rowsBetween(Window.unboundedPreceding, 0)) - d).alias("arc"))
 
 
-def _buckets(seg: DataFrame) -> DataFrame:
-    n = F.greatest(F.lit(1), (F.ceil(F.abs(F.col("r2") - F.col("r1"))) + F.ceil(F.abs(F.col("c2") - F.col("c1")))).cast("int"))
-    cell = lambda i: F.struct(F.floor(F.col("r1") + (F.col("r2") - F.col("r1")) * (i / n)).alias("r"), F.floor(F.col("c1") + (F.col("c2") - F.col("c1")) * (i / n)).alias("c"))
-    return seg.withColumn("at", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), n), cell))))
+#: What is added to a segment's reach, in cells, against rounding.
+COVER_EPS = 1e-6
+
+
+def _covered() -> Column:
+    """The cells (r, c) that a segment passes through, row by row."""
+    e, r1, c1, r2, c2 = F.lit(COVER_EPS), *map(F.col, ("r1", "c1", "r2", "c2"))
+    low, high = F.least(r1, r2), F.greatest(r1, r2)
+    at = lambda r: F.when(r1 == r2, c1).otherwise(c1 + (c2 - c1) * ((r - r1) / (r2 - r1)))
+
+    def row(k: Column) -> Column:
+        a, b = at(F.greatest(k - e, low)), at(F.least(k + 1 + e, high))
+        left = F.floor(F.when(r1 == r2, F.least(c1, c2)).otherwise(F.least(a, b)) - e)
+        right = F.floor(F.when(r1 == r2, F.greatest(c1, c2)).otherwise(F.greatest(a, b)) + e)
+        return F.transform(F.sequence(left, right), lambda c: F.struct(k.cast("long").alias("r"), c.cast("long").alias("c")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low - e), F.floor(high + e)), row))
+
+
+_GEOMETRY = ("s", "line", "r1", "c1", "z1", "r2", "c2", "z2")
+
+
+def _in_cells(seg: DataFrame) -> DataFrame:
+    """(br, bc, _GEOMETRY), a row per cell that a segment passes through."""
+    return seg.select(*_GEOMETRY, F.explode(_covered()).alias("at")).select(F.col("at.r").alias("br"), F.col("at.c").alias("bc"), *_GEOMETRY)
 
 
 def _around() -> Column:
@@ -57,20 +81,19 @@ def _around() -> Column:
 
 def crossings(seg: DataFrame, rules: Rules = Rules(), meta: DataFrame | None = None) -> DataFrame:
     """(a, b, t, u): proper intersections of segments of different lines. meta (line, deck, layer) keeps levels apart."""
-    wide = _buckets(seg).withColumn("o", _around()).select("s", (F.col("at.r") + F.col("o.a")).alias("br"), (F.col("at.c") + F.col("o.b")).alias("bc")).distinct()
-    pairs = wide.withColumnRenamed("s", "a").join(wide.withColumnRenamed("s", "b"), ["br", "bc"]).where("a < b").select("a", "b").distinct()
-    side = lambda n: seg.select(F.col("s").alias(n), F.struct("line", "r1", "c1", "z1", "r2", "c2", "z2").alias(f"x{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("xa.line != xb.line")
-    dra, dca, drb, dcb = (F.col(x) - F.col(y) for x, y in (("xa.r2", "xa.r1"), ("xa.c2", "xa.c1"), ("xb.r2", "xb.r1"), ("xb.c2", "xb.c1")))
-    dr, dc = F.col("xb.r1") - F.col("xa.r1"), F.col("xb.c1") - F.col("xa.c1")
+    cells = _in_cells(seg)
+    side = lambda n: cells.select("br", "bc", *[F.col(x).alias(f"{x}_{n}") for x in _GEOMETRY])
+    both = side("a").join(side("b"), ["br", "bc"]).where("s_a < s_b and line_a != line_b")
+    dra, dca, drb, dcb = (F.col(x) - F.col(y) for x, y in (("r2_a", "r1_a"), ("c2_a", "c1_a"), ("r2_b", "r1_b"), ("c2_b", "c1_b")))
+    dr, dc = F.col("r1_b") - F.col("r1_a"), F.col("c1_b") - F.col("c1_a")
     hit = both.withColumn("den", dra * dcb - dca * drb).where(F.abs("den") >= 1e-12).withColumn("t", (dr * dcb - dc * drb) / F.col("den")).withColumn("u", (dr * dca - dc * dra) / F.col("den"))
     inner = lambda x: (F.col(x) > rules.eps) & (F.col(x) < 1 - rules.eps)
-    hit = hit.where(inner("t") & inner("u"))
-    za, zb = F.col("xa.z1") + (F.col("xa.z2") - F.col("xa.z1")) * F.col("t"), F.col("xb.z1") + (F.col("xb.z2") - F.col("xb.z1")) * F.col("u")
+    hit = hit.where(inner("t") & inner("u") & (F.floor(F.col("r1_a") + dra * F.col("t")) == F.col("br")) & (F.floor(F.col("c1_a") + dca * F.col("t")) == F.col("bc")))
+    za, zb = F.col("z1_a") + (F.col("z2_a") - F.col("z1_a")) * F.col("t"), F.col("z1_b") + (F.col("z2_b") - F.col("z1_b")) * F.col("u")
     hit = hit.where(~F.coalesce(F.abs(za - zb) > rules.z_tol, F.lit(False)))
     if meta is not None:
-        hit = _same_level(hit, meta, F.col("xa.line"), F.col("xb.line"))
-    return hit.select("a", "b", "t", "u")
+        hit = _same_level(hit, meta, F.col("line_a"), F.col("line_b"))
+    return hit.select(F.col("s_a").alias("a"), F.col("s_b").alias("b"), "t", "u")
 
 
 def _same_level(df: DataFrame, meta: DataFrame, one: Column, two: Column) -> DataFrame:
@@ -86,12 +109,15 @@ def t_junctions(vertices: DataFrame, seg: DataFrame, rules: Rules = Rules(), met
     z = F.col("z").cast("double") if "z" in vertices.columns else F.lit(None).cast("double")
     ends = vertices.select(F.col("line").alias("pl"), "seq", F.col("r").alias("pr"), F.col("c").alias("pc"), z.alias("pz"))
     lone = ends.groupBy("pl").agg(F.count("*").alias("n")).where("n >= 2").select("pl")
-    near = ends.join(lone, "pl").withColumn("o", _around()).withColumn("o2", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))).select("pl", "seq", "pr", "pc", "pz", (F.floor("pr") + F.col("o.a") + F.col("o2.a")).alias("br"), (F.floor("pc") + F.col("o.b") + F.col("o2.b")).alias("bc")).distinct()
-    held = _buckets(seg).select("s", "line", "r1", "c1", "z1", "r2", "c2", "z2", F.col("at.r").alias("br"), F.col("at.c").alias("bc"))
-    both = near.join(held, ["br", "bc"]).where("pl != line").drop("br", "bc").distinct()
+    # A vertex is put in the cells within reach; the point of the segment that is nearest to it lies in one of them.
+    reach = F.lit(rules.snap_tol + COVER_EPS)
+    span = lambda x: F.sequence(F.floor(F.col(x) - reach), F.floor(F.col(x) + reach))
+    near = ends.join(lone, "pl").select("*", F.explode(span("pr")).alias("br")).select("*", F.explode(span("pc")).alias("bc"))
+    both = near.join(_in_cells(seg), ["br", "bc"]).where("pl != line")
     dr, dc = F.col("r2") - F.col("r1"), F.col("c2") - F.col("c1")
     both = both.withColumn("t", ((F.col("pr") - F.col("r1")) * dr + (F.col("pc") - F.col("c1")) * dc) / (dr * dr + dc * dc)).where((F.col("t") > rules.eps) & (F.col("t") < 1 - rules.eps))
     qr, qc = F.col("r1") + dr * F.col("t"), F.col("c1") + dc * F.col("t")
+    both = both.where((F.floor(qr) == F.col("br")) & (F.floor(qc) == F.col("bc")))
     both = both.where((F.col("pr") - qr) * (F.col("pr") - qr) + (F.col("pc") - qc) * (F.col("pc") - qc) <= rules.snap_tol * rules.snap_tol)
     both = both.where(~F.coalesce(F.abs(F.col("pz") - (F.col("z1") + (F.col("z2") - F.col("z1")) * F.col("t"))) > rules.z_tol, F.lit(False)))
     if meta is not None:
@@ -191,19 +217,25 @@ def edge_passes(costs: DataFrame, tree: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, nodes: DataFrame, cell: float = 4.0) -> DataFrame:
     """(p, n, d2): the nearest node of points (p, r, c), ties to the smaller node. Buckets around a point are searched first;
-    points that find nothing there, or nothing nearer than the buckets reach, widen their search until they do."""
-    left, out, reach = points, None, cell
+    points that find nothing there, or nothing nearer than the buckets reach, widen their search until they do. Points whose
+    place is null or not a number have none."""
+    held = written(nodes.select("n", F.col("r").alias("nr"), F.col("c").alias("nc")), "nodes")
+    left = points.where(F.coalesce(F.abs(F.col("r") + F.col("c")) < float("inf"), F.lit(False)) & ~F.isnan(F.col("r") + F.col("c"))).select("p", "r", "c")
+    if held.limit(1).count() == 0:
+        return left.limit(0).select("p", F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("d2"))
+    out, reach = None, cell
     while True:
         at = lambda x, reach=reach: F.floor(F.col(x) / reach)
         near = left.withColumn("o", _around()).select("p", "r", "c", (at("r") + F.col("o.a")).alias("br"), (at("c") + F.col("o.b")).alias("bc"))
-        held = nodes.select("n", F.col("r").alias("nr"), F.col("c").alias("nc")).withColumn("br", F.floor(F.col("nr") / reach)).withColumn("bc", F.floor(F.col("nc") / reach))
+        dealt = held.withColumn("br", F.floor(F.col("nr") / reach)).withColumn("bc", F.floor(F.col("nc") / reach))
         d2 = (F.col("nr") - F.col("r")) * (F.col("nr") - F.col("r")) + (F.col("nc") - F.col("c")) * (F.col("nc") - F.col("c"))
-        found = near.join(held, ["br", "bc"]).groupBy("p").agg(F.min(F.struct(d2.alias("d2"), "n")).alias("x")).where(F.col("x.d2") <= reach * reach).select("p", F.col("x.n").alias("n"), F.col("x.d2").alias("d2"))
+        best = near.join(dealt, ["br", "bc"]).groupBy("p").agg(F.min(F.struct(d2.alias("d2"), "n")).alias("x")).where(F.col("x.d2") <= reach * reach)
+        found = written(best.select("p", F.col("x.n").alias("n"), F.col("x.d2").alias("d2")), "nearest")
         out = found if out is None else out.union(found)
-        left = left.join(found, "p", "left_anti")
-        reach *= 8
-        if reach > 1e7 or left.limit(1).count() == 0:
+        left = written(left.join(found, "p", "left_anti"), "left")
+        if left.limit(1).count() == 0:
             return out
+        reach *= 8
 
 
 def chained_decks(vertices: DataFrame, meta: DataFrame, decks: DataFrame, rules: Rules = Rules()) -> DataFrame:

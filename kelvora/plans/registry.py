@@ -103,7 +103,7 @@ def grade_dilation(spark, d):
 
 _PORTAL = f"""portal AS MATERIALIZED (
   SELECT (s_suppkey * 31) % (SELECT n FROM dim) AS u, (s_suppkey * 57 + 9) % (SELECT n FROM dim) AS v, 100e0 + s_suppkey * 8e0 AS len_m,
-    CASE WHEN s_suppkey % 2 = 0 THEN 712e0 END AS hu, CASE WHEN s_suppkey % 3 = 0 THEN 700e0 END AS hv FROM supplier WHERE s_suppkey < 10
+    CASE WHEN s_suppkey % 2 = 0 THEN 712e0 END AS hu, CASE WHEN s_suppkey % 3 = 0 THEN 700e0 END AS hv FROM supplier
 ), pe AS MATERIALIZED (
   SELECT p.u, p.v, p.len_m, coalesce(p.hu, a.h) AS hu, coalesce(p.hv, b.h) AS hv
   FROM portal p JOIN cell a ON a.i = p.u AND a.m JOIN cell b ON b.i = p.v AND b.m WHERE p.u <> p.v
@@ -302,7 +302,7 @@ def density_passes(spark, d):
     return density.density(search.tree(edge, refs, 20.0), n).select("i", F.round(F.col("density") * n * n).cast("long").alias("passes"), F.round("density", 9).alias("density"))
 
 
-_MATRIX = V.with_(*_MULTI, f"ids AS (SELECT s_suppkey AS k, (s_suppkey * 17) % (SELECT n FROM dim) AS i FROM supplier WHERE s_suppkey < {V.REFS})", "mx AS (SELECT a.k AS src, b.k AS dst, f.dist AS e FROM ids a CROSS JOIN ids b LEFT JOIN f ON f.k = a.k AND f.n = b.i)")
+_MATRIX = V.with_(*_MULTI, f"ids AS (SELECT s_suppkey AS k, (s_suppkey * 17) % (SELECT n FROM dim) AS i FROM supplier)", "mx AS (SELECT a.k AS src, b.k AS dst, f.dist AS e FROM ids a CROSS JOIN ids b LEFT JOIN f ON f.k = a.k AND f.n = b.i)")
 
 
 def _matrix(spark, d):
@@ -334,7 +334,7 @@ def scenario_difference(spark, d):
     return density.difference(search.field(closed, seed), search.field(edge, seed)).select("i", r6("constrained", "constrained"), r6("free", "free"), (F.round("delta", 6) + 0.0).alias("delta"))
 
 
-@query(_TREE + ", dk AS (SELECT s_suppkey AS deck, (s_suppkey * 31) % (SELECT n FROM dim) AS u, (s_suppkey * 57 + 9) % (SELECT n FROM dim) AS v FROM supplier WHERE s_suppkey < 10) SELECT deck, least(coalesce(a.passes, 0), coalesce(b.passes, 0)) AS passes FROM dk LEFT JOIN t_pass a ON a.i = dk.u LEFT JOIN t_pass b ON b.i = dk.v")
+@query(_TREE + ", dk AS (SELECT s_suppkey AS deck, (s_suppkey * 31) % (SELECT n FROM dim) AS u, (s_suppkey * 57 + 9) % (SELECT n FROM dim) AS v FROM supplier) SELECT deck, least(coalesce(a.passes, 0), coalesce(b.passes, 0)) AS passes FROM dk LEFT JOIN t_pass a ON a.i = dk.u LEFT JOIN t_pass b ON b.i = dk.v")
 def deck_passes(spark, d):
     cells, g, edge = _edges(spark, d)
     n, s = F.lit(g.rows * g.cols), F.col("s_suppkey")
@@ -530,17 +530,20 @@ def supercover(spark, d):
 # --- networks ----------------------------------------------------------------------------------------------------------
 
 _SEG = (V.CELL, V.LINES, "seg AS MATERIALIZED (SELECT line * 1048576 + seq AS s, line, seq, r AS r1, c AS c1, r2, c2 FROM (SELECT *, lead(r) OVER w AS r2, lead(c) OVER w AS c2 FROM vert WINDOW w AS (PARTITION BY line ORDER BY seq)) WHERE r2 IS NOT NULL AND NOT (r = r2 AND c = c2))")
-_CROSS = """crs AS MATERIALIZED (
+# Pairs are made within bands of one row and told in the first that both reach; all else is by the definition.
+_CROSS = """bnd AS MATERIALIZED (SELECT *, floor(least(r1, r2))::BIGINT AS low, unnest(range(floor(least(r1, r2))::BIGINT, floor(greatest(r1, r2))::BIGINT + 1)) AS band FROM seg), crs AS MATERIALIZED (
   SELECT a, b, t, u FROM (
-    SELECT a.s AS a, b.s AS b, den, ((b.r1 - a.r1) * (b.c2 - b.c1) - (b.c1 - a.c1) * (b.r2 - b.r1)) / den AS t, ((b.r1 - a.r1) * (a.c2 - a.c1) - (b.c1 - a.c1) * (a.r2 - a.r1)) / den AS u
-    FROM (SELECT a.s AS x, b.s AS y, (a.r2 - a.r1) * (b.c2 - b.c1) - (a.c2 - a.c1) * (b.r2 - b.r1) AS den FROM seg a JOIN seg b ON a.s < b.s AND a.line <> b.line) p
-    JOIN seg a ON a.s = p.x JOIN seg b ON b.s = p.y WHERE abs(den) >= 1e-12
+    SELECT a.s AS a, b.s AS b, ((b.r1 - a.r1) * (b.c2 - b.c1) - (b.c1 - a.c1) * (b.r2 - b.r1)) / ((a.r2 - a.r1) * (b.c2 - b.c1) - (a.c2 - a.c1) * (b.r2 - b.r1)) AS t,
+      ((b.r1 - a.r1) * (a.c2 - a.c1) - (b.c1 - a.c1) * (a.r2 - a.r1)) / ((a.r2 - a.r1) * (b.c2 - b.c1) - (a.c2 - a.c1) * (b.r2 - b.r1)) AS u
+    FROM bnd a JOIN bnd b ON a.band = b.band AND a.s < b.s AND a.line <> b.line AND a.band = greatest(a.low, b.low)
+      AND least(a.c1, a.c2) <= greatest(b.c1, b.c2) AND least(b.c1, b.c2) <= greatest(a.c1, a.c2) AND abs((a.r2 - a.r1) * (b.c2 - b.c1) - (a.c2 - a.c1) * (b.r2 - b.r1)) >= 1e-12
   ) WHERE t > 1e-9 AND t < 1 - 1e-9 AND u > 1e-9 AND u < 1 - 1e-9
 )"""
 _TEE = """tee AS MATERIALIZED (
   SELECT s, t, line, seq, pr, pc FROM (
     SELECT g.s, v.line, v.seq, v.r AS pr, v.c AS pc, g.r1, g.c1, g.r2 - g.r1 AS dr, g.c2 - g.c1 AS dc, ((v.r - g.r1) * (g.r2 - g.r1) + (v.c - g.c1) * (g.c2 - g.c1)) / ((g.r2 - g.r1) * (g.r2 - g.r1) + (g.c2 - g.c1) * (g.c2 - g.c1)) AS t
-    FROM vert v JOIN seg g ON g.line <> v.line WHERE v.line IN (SELECT line FROM vert GROUP BY line HAVING count(*) >= 2)
+    FROM (SELECT *, floor(r - 0.5e0)::BIGINT AS low, unnest(range(floor(r - 0.5e0)::BIGINT, floor(r + 0.5e0)::BIGINT + 1)) AS band FROM vert WHERE line IN (SELECT line FROM vert GROUP BY line HAVING count(*) >= 2)) v
+    JOIN bnd g ON g.band = v.band AND g.line <> v.line AND v.band = greatest(v.low, g.low) AND v.c >= least(g.c1, g.c2) - 0.5e0 AND v.c <= greatest(g.c1, g.c2) + 0.5e0
   ) WHERE t > 1e-9 AND t < 1 - 1e-9 AND (pr - (r1 + dr * t)) * (pr - (r1 + dr * t)) + (pc - (c1 + dc * t)) * (pc - (c1 + dc * t)) <= 0.25e0
 )"""
 _PLANAR = """cut AS MATERIALIZED (
@@ -595,7 +598,7 @@ def segment_crossings(spark, d):
     return network.crossings(network.segments(V.lines(spark, d, g))).select("a", "b", r6("t", "t"), r6("u", "u"))
 
 
-@query(V.with_(*_SEG, _TEE) + "SELECT s, round(t, 6) AS t, line, seq FROM tee")
+@query(V.with_(*_SEG, _CROSS, _TEE) + "SELECT s, round(t, 6) AS t, line, seq FROM tee")
 def t_junctions(spark, d):
     _, g = V.terrain(spark, d)
     v = V.lines(spark, d, g)
@@ -811,7 +814,7 @@ def leases(spark, d):
     return lifecycle.leases(V.beats(spark, d)).select("client", F.unix_micros(F.col("begin").cast("timestamp")).alias("begin_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "beats")
 
 
-@query(f"WITH {_LEASE}, st AS (SELECT event_id AS id, user_id AS client, ts FROM events WHERE event_type = 'error' OR event_id % 10 = 0) SELECT id, EXISTS (SELECT 1 FROM ls WHERE ls.client <> st.client AND begin_ <= st.ts AND st.ts < end_) AS blocked FROM st")
+@query(f"WITH {_LEASE}, st AS (SELECT event_id AS id, user_id AS client, ts FROM events) SELECT id, EXISTS (SELECT 1 FROM ls WHERE ls.client <> st.client AND begin_ <= st.ts AND st.ts < end_) AS blocked FROM st")
 def other_active_lease(spark, d):
     stops = V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
     lease = lifecycle.leases(V.beats(spark, d)).select("client", F.col("begin").cast("timestamp").alias("begin"), F.col("end").cast("timestamp").alias("end"))
@@ -830,7 +833,7 @@ def idle_gaps(spark, d):
     return lifecycle.idle_gaps(V.beats(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))).select("client", F.unix_micros("ts").alias("ts_us"), "gap_s")
 
 
-@query("WITH RECURSIVE r AS (SELECT user_id AS client, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, least(5e0, greatest(0.2e0, (1 + event_id % 7) / (1 + event_id % 3))) AS q FROM events WHERE event_id % 4 = 0), e(client, j, corr) AS (SELECT DISTINCT client, 0::BIGINT, 1e0 FROM r UNION ALL SELECT e.client, r.j, greatest(0.2e0, least(5e0, 0.5e0 * corr + 0.5e0 * q)) FROM e JOIN r ON r.client = e.client AND r.j = e.j + 1) SELECT client, round(arg_max(corr, j), 6) AS corr FROM e GROUP BY client")
+@query("WITH RECURSIVE r AS (SELECT user_id AS client, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, least(5e0, greatest(0.2e0, (1 + event_id % 7) / (1 + event_id % 3))) AS q FROM events), e(client, j, corr) AS (SELECT DISTINCT client, 0::BIGINT, 1e0 FROM r UNION ALL SELECT e.client, r.j, greatest(0.2e0, least(5e0, 0.5e0 * corr + 0.5e0 * q)) FROM e JOIN r ON r.client = e.client AND r.j = e.j + 1) SELECT client, round(arg_max(corr, j), 6) AS corr FROM e GROUP BY client")
 def ema_correction(spark, d):
     runs = V.table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), (1.0 + F.col("event_id") % 7).alias("actual"), (1.0 + F.col("event_id") % 3).alias("predicted"))
     return lifecycle.ema(runs).select("client", r6("corr", "corr"))

@@ -11,8 +11,6 @@ from kelvora.operators.grid import Grid
 from kelvora.operators.moves import Move, build_moves
 
 COLS = 50
-REFS = 6
-NET_ORDERS = 24
 DX = DY = 30.0
 
 
@@ -40,9 +38,11 @@ def first_seed(cells: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
-    """(line, seq, r, c): a few orders' suppliers as polylines, shifted within their cells so that lines cross."""
-    own = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") < NET_ORDERS).select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("seq"), F.pmod(F.col("l_suppkey") * 17, F.lit(grid.rows * grid.cols)).alias("i"))
-    return own.select("line", "seq", (F.floor(F.col("i") / COLS) + 0.25 + F.pmod("line", F.lit(3)) * 0.25).alias("r"), (F.pmod("i", F.lit(COLS)) + 0.25 + F.pmod("line", F.lit(2)) * 0.5).alias("c")).groupBy("line", "seq").agg(F.min("r").alias("r"), F.min("c").alias("c"))
+    """(line, seq, r, c): every order as a polyline of its items around a cell of its own, in sixteenths of a cell."""
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_suppkey").alias("x"), F.pmod(F.col("l_orderkey") * 37, F.lit(grid.rows * grid.cols)).alias("i"))
+    r = F.floor(F.col("i") / COLS) + F.pmod(F.col("x") * 5 + F.col("seq") * 3, F.lit(17)) * 0.0625
+    c = F.pmod("i", F.lit(COLS)) + F.pmod(F.col("x") * 3 + F.col("seq") * 7, F.lit(17)) * 0.0625
+    return own.select("line", "seq", r.alias("r"), c.alias("c")).groupBy("line", "seq").agg(F.min("r").alias("r"), F.min("c").alias("c"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,18 +74,18 @@ CELL = f"""cell AS MATERIALIZED (
 ), dim AS MATERIALIZED (SELECT (max(i) + {COLS}) // {COLS} AS h, {COLS} AS w, ((max(i) + {COLS}) // {COLS}) * {COLS} AS n FROM cell)"""
 REF = f"""ref AS MATERIALIZED (
   SELECT s_suppkey AS k, (s_suppkey * 17) % (SELECT n FROM dim) AS i FROM supplier
-  WHERE s_suppkey < {REFS} AND (s_suppkey * 17) % (SELECT n FROM dim) IN (SELECT i FROM cell WHERE m)
+  WHERE (s_suppkey * 17) % (SELECT n FROM dim) IN (SELECT i FROM cell WHERE m)
 )"""
 SEED = "seed AS MATERIALIZED (SELECT 0::BIGINT AS k, min(i) AS i FROM cell WHERE m)"
 LINES = f"""vert AS MATERIALIZED (
   SELECT line, seq, min(r) AS r, min(c) AS c FROM (
-    SELECT line, seq, i // {COLS} + 0.25e0 + line % 3 * 0.25e0 AS r, i % {COLS} + 0.25e0 + line % 2 * 0.5e0 AS c
-    FROM (SELECT l_orderkey AS line, l_linenumber::BIGINT AS seq, (l_suppkey * 17) % (SELECT n FROM dim) AS i FROM lineitem WHERE l_orderkey < {NET_ORDERS})
+    SELECT line, seq, i // {COLS} + (x * 5 + seq * 3) % 17 * 0.0625e0 AS r, i % {COLS} + (x * 3 + seq * 7) % 17 * 0.0625e0 AS c
+    FROM (SELECT l_orderkey AS line, l_linenumber::BIGINT AS seq, l_suppkey AS x, (l_orderkey * 37) % (SELECT n FROM dim) AS i FROM lineitem)
   ) GROUP BY line, seq
 )"""
 PROFILES = """pseg AS MATERIALIZED (
   SELECT l_orderkey AS track, l_linenumber::BIGINT AS seq, min(l_quantity * 8e0 + 20e0) AS d, min(l_partkey % 41 * 0.25e0 - 5e0) AS dh
-  FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2
+  FROM lineitem GROUP BY 1, 2
 )"""
 
 
