@@ -19,29 +19,18 @@ def _offsets(pairs: Sequence[tuple]) -> Column:
 def chamfer(cells: DataFrame, seeds: DataFrame, grid: Grid) -> DataFrame:
     """(i, d): 3-4 distance in cells to the nearest seed (i), over all cells of the grid.
 
-    On a full grid the distance to one seed is 3 * longer + 1 * shorter side, so the transform is two passes of running
-    minima: along each row, then along each column for either slope. It takes no iteration and no search."""
-    at = cells.select("i", "r", "c").join(seeds.select("i", F.lit(1).alias("seed")).distinct(), "i", "left")
-    up_to = Window.partitionBy("r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    from_ = Window.partitionBy("r").orderBy("c").rowsBetween(0, Window.unboundedFollowing)
-    near = at.select("i", "r", "c", F.max(F.when(F.col("seed").isNotNull(), F.col("c"))).over(up_to).alias("left"), F.min(F.when(F.col("seed").isNotNull(), F.col("c"))).over(from_).alias("right"))
-    return _chamfer_columns(near, grid)
-
-
-def _chamfer_columns(near: DataFrame, grid: Grid) -> DataFrame:
-    """For each cell the least over rows q of cost(|r - q|, distance along row q), from each row's nearest seeds."""
-    per_column = near.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("r", "left", "right", "i"))).alias("col"))
-
-    def least(x: Column) -> Column:
-        def one(q: Column) -> Column:
-            dr = F.abs(q["r"] - x["r"])
-            cost = lambda side: F.when(side.isNotNull(), 3 * F.greatest(dr, F.abs(side - F.col("c"))) + F.least(dr, F.abs(side - F.col("c"))))
-            return F.least(F.coalesce(cost(q["left"]), cost(q["right"])), F.coalesce(cost(q["right"]), cost(q["left"])))
-
-        return F.array_min(F.transform("col", one))
-
-    out = per_column.select("c", F.explode(F.transform("col", lambda x: F.struct(x["i"].alias("i"), least(x).alias("d")))).alias("y"))
-    return out.where(F.col("y.d").isNotNull()).select(F.col("y.i").alias("i"), (F.col("y.d") / 3.0).alias("d"))
+    On a full grid a shortest way from a seed is diagonal steps and then straight ones, so the transform is running minima
+    along both diagonals and then along rows and columns, each in both directions. It takes no iteration and no search."""
+    seed = seeds.select("i", F.lit(0).alias("d")).distinct()
+    out = cells.select("i", "r", "c").join(seed, "i", "left")
+    for step, lines in ((4, (("r - c", "r"), ("r + c", "r"))), (3, (("r", "c"), ("c", "r")))):
+        near = [F.col("d")]
+        for line, along in lines:
+            for way in (1, -1):
+                before = Window.partitionBy(F.expr(line)).orderBy((F.col(along) * way).asc()).rowsBetween(Window.unboundedPreceding, 0)
+                near.append(F.min(F.col("d") - step * way * F.col(along)).over(before) + step * way * F.col(along))
+        out = out.select("i", "r", "c", F.least(*near).alias("d"))
+    return out.where("d is not null").select("i", (F.col("d") / 3.0).alias("d"))
 
 
 def idw_fill(cells: DataFrame, grid: Grid, max_distance: int) -> DataFrame:
@@ -53,9 +42,11 @@ def idw_fill(cells: DataFrame, grid: Grid, max_distance: int) -> DataFrame:
     own = cells.withColumn("seed", seed)
     for k, (line, order, step) in enumerate(lines):
         by = Window.partitionBy(F.expr(line)).orderBy(order)
-        for side, frame, pick in (("a", by.rowsBetween(Window.unboundedPreceding, -1), F.last), ("b", by.rowsBetween(1, Window.unboundedFollowing), F.first)):
-            own = own.withColumn(f"{side}{k}", pick("seed", ignorenulls=True).over(frame))
-            own = own.withColumn(f"{side}{k}", F.when(F.greatest(F.abs(F.col(f"{side}{k}.sr") - F.col("r")), F.abs(F.col(f"{side}{k}.sc") - F.col("c"))) <= max_distance, F.struct(F.col(f"{side}{k}.e").alias("e"), (F.greatest(F.abs(F.col(f"{side}{k}.sr") - F.col("r")), F.abs(F.col(f"{side}{k}.sc") - F.col("c"))) * F.lit(step)).alias("d"))))
+        away = lambda x: F.greatest(F.abs(x["sr"] - F.col("r")), F.abs(x["sc"] - F.col("c")))
+        for side, frame, pick in (("a", by.rangeBetween(-max_distance, -1), F.last), ("b", by.rangeBetween(1, max_distance), F.first)):
+            first = f"{side}{k}"
+            own = own.withColumn(first, pick("seed", ignorenulls=True).over(frame))
+            own = own.withColumn(first, F.when(F.col(first).isNotNull(), F.struct(F.col(first)["e"].alias("e"), (away(F.col(first)) * F.lit(step)).alias("d"))))
     hits = F.filter(F.array(*[F.col(f"{s}{k}") for k in range(4) for s in "ab"]), lambda x: x.isNotNull())
     weight = F.aggregate("hits", F.lit(0.0), lambda a, x: a + 1 / (x["d"] * x["d"]))
     mean = F.aggregate("hits", F.lit(0.0), lambda a, x: a + x["e"] / (x["d"] * x["d"])) / weight

@@ -3,17 +3,20 @@
 Two strategies give the same numbers: weights are not negative and float addition is monotone, so either returns the
 least left-to-right sum over all paths.
 
-* ``frontier``: all seeds relax in one DataFrame, a shuffle per round and a written table every few rounds. Needs no edge
-  list in one place; its rounds are the longest chain of hops.
-* ``kernel``: seeds are dealt to tasks that each hold the edges as arrays. Taken only when counting shows at most
-  ``KERNEL_EDGES`` edges, which bounds what is broadcast.
+* ``frontier``: all seeds relax in one DataFrame. What is settled stays where it lies, by (seed, node); a round moves only
+  the nodes that have changed and their edges. Needs no edge list in one place; its rounds are the longest chain of hops.
+* ``kernel``: seeds are dealt to tasks that each hold the edges as arrays, and relax them a front at a time. Taken only
+  when counting shows at most ``KERNEL_EDGES`` edges, which bounds what is broadcast.
 """
 
 from __future__ import annotations
 
-import heapq
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,40 +24,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KERNEL_EDGES = 4_000_000
-CUT_EVERY = 4
-MOST_ROUNDS = 20_000
 FIELD = "k bigint, i bigint, e double"
 TREE = "k bigint, i bigint, e double, parent bigint, depth int, passes double"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Lineage cut by a table in the folder that the cluster shares."""
-    spark = df.sparkSession
+    path = f"{_shared(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file:///tmp/kelvora-shared"
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        folder = f"file://{_session_dir(spark.sparkContext.applicationId)}"
+    return folder.rstrip("/")
+
+
+@cache
+def _session_dir(application: str) -> str:
+    """A fresh folder of this process for a local session without a shared one; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix=f"kelvora-{application}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def _settled(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """Lineage cut by a table in buckets of keys: a join on them leaves it where it lies."""
+    spark, name = df.sparkSession, f"kelvora_{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{_shared(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def frontier(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0) -> DataFrame:
-    """(k, i, e) from seeds (k, i). A budget of 0 is none; a path may cost exactly the budget."""
-    step = written(edge.select("u", "v", "w"), "edges")
-    field = written(seeds.select("k", "i").distinct().select("k", "i", F.lit(0.0).alias("e"), F.lit(True).alias("changed")), "field")
-    for turn in range(1, MOST_ROUNDS):
-        reach = field.where("changed").join(step.withColumnRenamed("u", "i"), "i").select("k", F.col("v").alias("i"), (F.col("e") + F.col("w")).alias("e"))
+    """(k, i, e) from seeds (k, i). A budget of 0 is none; a path may cost exactly the budget. Every round makes each node
+    that it reaches cheaper, so it ends."""
+    step = _settled(edge.select(F.col("u").alias("i"), "v", "w"), "edges", "i")
+    field = _settled(seeds.select("k", "i").distinct().select("k", "i", F.lit(0.0).alias("e"), F.lit(True).alias("changed")), "field", "k", "i")
+    while True:
+        reach = field.where("changed").join(step, "i").select("k", F.col("v").alias("i"), (F.col("e") + F.col("w")).alias("e"))
         if e_max > 0:
             reach = reach.where(F.col("e") <= e_max)
-        both = field.select("k", "i", "e", F.col("e").alias("old")).union(reach.select("k", "i", "e", F.lit(None).cast("double").alias("old")))
-        field = both.groupBy("k", "i").agg(F.min("e").alias("e"), F.min("old").alias("old")).select("k", "i", "e", (F.col("old").isNull() | (F.col("e") < F.col("old"))).alias("changed"))
-        if turn % CUT_EVERY == 0:
-            field = written(field, "field")
-            if field.where("changed").limit(1).count() == 0:
-                return field.select("k", "i", "e")
-    raise RuntimeError("no fixpoint")
+        # Only the best offer for a node is moved, to the bucket where the node is settled.
+        best = reach.groupBy("k", "i").agg(F.min("e").alias("offer"))
+        both = field.select("k", "i", "e").join(best, ["k", "i"], "full")
+        better = F.col("e").isNull() | (F.col("offer") < F.col("e"))
+        after = both.select("k", "i", F.least("e", "offer").alias("e"), F.coalesce(better & F.col("offer").isNotNull(), F.lit(False)).alias("changed"))
+        field = _settled(after, "field", "k", "i")
+        if field.where("changed").limit(1).count() == 0:
+            return field.select("k", "i", "e")
 
 
 class Arrays:
@@ -67,57 +89,88 @@ class Arrays:
         self.source, self.target, self.weight = a[order], b[order], w[order]
         self.head = np.searchsorted(self.source, np.arange(len(self.ids) + 1))
 
-    def distances(self, seed: int, e_max: float = 0.0) -> dict[int, float]:
-        """Node number to cost."""
-        at = int(np.searchsorted(self.ids, seed))
-        if at == len(self.ids) or self.ids[at] != seed:
-            return {}
-        head, target, weight = self.head.tolist(), self.target, self.weight
-        best, done, queue = {at: 0.0}, set(), [(0.0, at)]
-        while queue:
-            e, u = heapq.heappop(queue)
-            if u in done:
-                continue
-            done.add(u)
-            a, b = head[u], head[u + 1]
-            for v, t in zip(target[a:b].tolist(), (e + weight[a:b]).tolist(), strict=True):
-                if (e_max <= 0 or t <= e_max) and t < best.get(v, np.inf):
-                    best[v] = t
-                    heapq.heappush(queue, (t, v))
-        return best
-
-    def tree(self, best: dict[int, float], seed_at: int, include: set[int] | None = None) -> tuple[list[int], list[int], list[int], list[float]]:
-        """(nodes by cost, parents, depths, passes). A node's parent is the one with the least (cost through it, id);
-        passes are the included nodes of its subtree."""
-        e = np.full(len(self.ids), np.inf)
-        e[list(best)] = list(best.values())
-        through = e[self.source] + self.weight
-        order = np.lexsort((self.source, through, self.target))
+    def number(self, node: int) -> int | None:
+        at = int(np.searchsorted(self.ids, node))
+        return at if at < len(self.ids) and self.ids[at] == node else None
+
+    def edges_of(self, nodes: np.ndarray) -> np.ndarray:
+        """Places of all edges that leave nodes."""
+        n = self.head[nodes + 1] - self.head[nodes]
+        return np.repeat(self.head[nodes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def distances(self, at: int, e_max: float = 0.0, lower: np.ndarray | None = None, goal: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, costs) from node number ``at``. Fronts are relaxed whole, the cheaper part of a front first. With a goal
+        and a lower bound of what is left to it from each node, only nodes that can lie on a cheapest way are gone on with."""
+        best = np.full(len(self.ids), np.inf)
+        best[at] = 0.0
+        width = float(np.mean(self.weight)) * 4 if len(self.weight) else 0.0
+        front = np.array([at])
+        while len(front):
+            e = best[front]
+            if lower is not None:
+                fine = e + lower[front] <= best[goal] * (1 + 1e-12)
+                front, e = front[fine], e[fine]
+                if not len(front):
+                    break
+            near = e <= e.min() + width
+            now, later = front[near], front[~near]
+            own = self.edges_of(now)
+            offer = np.repeat(best[now], self.head[now + 1] - self.head[now]) + self.weight[own]
+            target = self.target[own]
+            fine = offer < best[target]
+            if e_max > 0:
+                fine &= offer <= e_max
+            target = target[fine]
+            np.minimum.at(best, target, offer[fine])
+            front = np.unique(np.concatenate([target, later]))
+        nodes = np.flatnonzero(best < np.inf)
+        return nodes, best[nodes]
+
+    def parents(self, nodes: np.ndarray, e: np.ndarray, at: int) -> np.ndarray:
+        """The node through which each is cheapest, by number, ties to the smaller id; -1 for the seed."""
+        best = np.full(len(self.ids), np.inf)
+        best[nodes] = e
+        own = self.edges_of(nodes)
+        own = own[best[self.target[own]] < np.inf]
+        source, target = self.source[own], self.target[own]
+        order = np.lexsort((source, best[source] + self.weight[own], target))
         first = np.ones(len(order), bool)
-        first[1:] = self.target[order][1:] != self.target[order][:-1]
-        parent = np.full(len(self.ids), -1)
-        parent[self.target[order[first]]] = self.source[order[first]]
-        nodes = sorted(best, key=lambda x: (best[x], x))
-        up = {x: int(parent[x]) for x in nodes if x != seed_at}
-        depth, todo = {seed_at: 0}, [x for x in nodes if x != seed_at]
-        for x in todo:
-            chain = [x]
-            while chain[-1] not in depth:
-                chain.append(up[chain[-1]])
-            d = depth[chain.pop()]
-            while chain:
-                d += 1
-                depth[chain.pop()] = d
-        passes = {x: 1.0 if include is None or x in include else 0.0 for x in nodes}
-        for x in sorted(todo, key=lambda x: -depth[x]):
-            passes[up[x]] += passes[x]
-        return nodes, [up.get(x, -1) for x in nodes], [depth[x] for x in nodes], [passes[x] for x in nodes]
+        first[1:] = target[order][1:] != target[order][:-1]
+        up = np.full(len(self.ids), -1)
+        up[target[order[first]]] = source[order[first]]
+        up[at] = -1
+        return up[nodes]
+
+    def tree(self, nodes: np.ndarray, e: np.ndarray, at: int, include: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(parents, depths, passes) of nodes; passes are the included nodes (all, or those flagged) of a subtree."""
+        up = self.parents(nodes, e, at)
+        place = np.full(len(self.ids), -1)
+        place[nodes] = np.arange(len(nodes))
+        jump = np.where(up < 0, np.arange(len(nodes)), place[up])
+        depth, far = (up >= 0).astype(np.int64), jump.copy()
+        while True:  # depths by doubling
+            more = depth[far]
+            if not more.any():
+                break
+            depth, far = depth + more, far[far]
+        passes = np.ones(len(nodes)) if include is None else include.astype(float)
+        for d in range(int(depth.max(initial=0)), 0, -1):
+            own = np.flatnonzero(depth == d) if len(nodes) < 4096 else None
+            own = self._level(depth, d) if own is None else own
+            np.add.at(passes, jump[own], passes[own])
+        return up, depth, passes
+
+    def _level(self, depth: np.ndarray, d: int) -> np.ndarray:
+        if getattr(self, "_of", None) is not depth:
+            self._order = np.argsort(depth, kind="stable")
+            self._heads, self._of = np.searchsorted(depth[self._order], np.arange(int(depth.max()) + 2)), depth
+        return self._order[self._heads[d] : self._heads[d + 1]]
 
 
 def arrays(edge: DataFrame) -> Arrays:
     """The edges on the driver: only after their count was checked."""
-    held = edge.select("u", "v", "w").toPandas()
-    return Arrays(held["u"].to_numpy(np.int64), held["v"].to_numpy(np.int64), held["w"].to_numpy(np.float64))
+    held = edge.select("u", "v", "w").toArrow()
+    return Arrays(*(held.column(c).to_numpy() for c in ("u", "v", "w")))
 
 
 def fits_kernel(edge: DataFrame) -> bool:
@@ -132,33 +185,37 @@ def kernel(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0, with_tree: boo
         net = held.value
         for batch in batches:
             for k, seed in zip(batch["k"], batch["i"], strict=True):
-                best = net.distances(int(seed), e_max)
-                if not best:  # a seed without edges reaches itself
+                at = net.number(int(seed))
+                if at is None:  # a seed without edges reaches itself
                     row = {"k": [k], "i": [seed], "e": [0.0]}
                     yield pd.DataFrame(row | ({"parent": [None], "depth": [0], "passes": [1.0]} if with_tree else {})).astype({"parent": "Int64"} if with_tree else {})
-                elif with_tree:
-                    nodes, up, depth, passes = net.tree(best, int(np.searchsorted(net.ids, seed)))
-                    yield pd.DataFrame({"k": k, "i": net.ids[nodes], "e": [best[x] for x in nodes], "parent": pd.array([None if x < 0 else int(net.ids[x]) for x in up], "Int64"), "depth": depth, "passes": passes})
-                else:
-                    nodes = list(best)
-                    yield pd.DataFrame({"k": k, "i": net.ids[nodes], "e": list(best.values())})
+                    continue
+                nodes, e = net.distances(at, e_max)
+                out = {"k": k, "i": net.ids[nodes], "e": e}
+                if with_tree:
+                    up, depth, passes = net.tree(nodes, e, at)
+                    out |= {"parent": pd.array(np.where(up < 0, 0, net.ids[up]), "Int64"), "depth": depth.astype(np.int32), "passes": passes}
+                    out["parent"][up < 0] = pd.NA
+                yield pd.DataFrame(out)
 
     some = max(1, min(seeds.sparkSession.sparkContext.defaultParallelism, 256))
     return seeds.select("k", "i").distinct().repartition(some, "k").mapInPandas(run, TREE if with_tree else FIELD)
 
 
 def field(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0) -> DataFrame:
-    """(k, i, e); absent rows are out of reach."""
-    return kernel(edge, seeds, e_max) if fits_kernel(edge) else frontier(edge, seeds, e_max)
+    """(k, i, e); absent rows are out of reach. Edges are made once, and counted in the table they are written to."""
+    held = written(edge.select("u", "v", "w"), "edges")
+    return kernel(held, seeds, e_max) if fits_kernel(held) else frontier(held, seeds, e_max)
 
 
 def tree(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0) -> DataFrame:
     """TREE of each seed, by arrays or by joins."""
-    if fits_kernel(edge):
-        return kernel(edge, seeds, e_max, with_tree=True)
+    held = written(edge.select("u", "v", "w"), "edges")
+    if fits_kernel(held):
+        return kernel(held, seeds, e_max, with_tree=True)
     from kelvora.operators.tree import tree_of
 
-    return tree_of(edge, frontier(edge, seeds, e_max), seeds)
+    return tree_of(held, frontier(held, seeds, e_max), seeds)
 
 
 def round_trip(there: DataFrame, back: DataFrame, cap: float = 0.0) -> DataFrame:

@@ -19,18 +19,14 @@ def parents(edge: DataFrame, field: DataFrame, seeds: DataFrame) -> DataFrame:
     return field.join(best, ["k", "i"], "left").join(seed, ["k", "i"], "left").select("k", "i", "e", F.when(F.col("seed").isNull(), F.col("parent")).alias("parent"))
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(k, i, anc, hops) by doubling: log2(depth) joins, not one per level."""
-    step = written(tree.where("parent is not null").select("k", "i", F.col("parent").alias("anc"), F.lit(1).alias("hops")), "up")
-    pairs, jump = step, step
-    while True:
-        more = pairs.join(jump.select("k", F.col("i").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("h")), ["k", "anc"]).select("k", "i", F.col("next").alias("anc"), (F.col("hops") + F.col("h")).alias("hops"))
-        grown = written(pairs.union(more).distinct(), "up")
-        jump = jump.join(jump.select("k", F.col("i").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("h")), ["k", "anc"]).select("k", "i", F.col("next").alias("anc"), (F.col("hops") + F.col("h")).alias("hops"))
-        jump = written(jump, "jump")
-        pairs = grown
-        if jump.limit(1).count() == 0:
-            return pairs
+def _doubled(up: DataFrame) -> DataFrame:
+    """(k, i, anc, hops), each node's way up made twice as long; it ends at the root, which is its own ancestor."""
+    other = up.select("k", F.col("i").alias("anc"), F.col("anc").alias("next"), F.col("hops").alias("more"))
+    return written(up.join(other, ["k", "anc"]).select("k", "i", F.col("next").alias("anc"), (F.col("hops") + F.col("more")).alias("hops")), "up")
+
+
+def _ways_up(tree: DataFrame) -> DataFrame:
+    return written(tree.select("k", "i", F.coalesce("parent", "i").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops")), "up")
 
 
 def tree_of(edge: DataFrame, field: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -40,14 +36,25 @@ def tree_of(edge: DataFrame, field: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def passes(tree: DataFrame, include: DataFrame | None = None) -> DataFrame:
-    """Adds depth and passes, the included nodes (all, or those of include (k, i)) in a node's subtree."""
-    up = ancestors(tree)
-    depth = up.groupBy("k", "i").agg(F.max("hops").alias("depth"))
-    pairs = up.select("k", "i", "anc").union(tree.select("k", "i", F.col("i").alias("anc")))
+    """Adds depth and passes, the included nodes (all, or those of include (k, i)) in a node's subtree.
+
+    What is less than 2 n hops below a node is what is less than n hops below it and below the nodes n hops below it, so
+    sums and ways up double together: a row a node and as many rounds as the depth has bits."""
+    up, n = _ways_up(tree), 1
+    sums = tree.select("k", "i", F.lit(1.0).alias("passes"))
     if include is not None:
-        pairs = pairs.join(include.select("k", "i").distinct(), ["k", "i"], "left_semi")
-    count = pairs.groupBy("k", F.col("anc").alias("i")).agg(F.count("*").cast("double").alias("passes"))
-    return tree.join(depth, ["k", "i"], "left").join(count, ["k", "i"], "left").select("k", "i", "e", "parent", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("passes", F.lit(0.0)).alias("passes"))
+        flags = include.select("k", "i", F.lit(1.0).alias("flag")).distinct()
+        sums = tree.select("k", "i").join(flags, ["k", "i"], "left").select("k", "i", F.coalesce("flag", F.lit(0.0)).alias("passes"))
+    sums = written(sums, "passes")
+    while True:
+        exact = up.where(F.col("hops") == n)
+        if exact.limit(1).count() == 0:
+            break
+        below = exact.join(sums, ["k", "i"]).groupBy("k", F.col("anc").alias("i")).agg(F.sum("passes").alias("below"))
+        sums = written(sums.join(below, ["k", "i"], "left").select("k", "i", (F.col("passes") + F.coalesce("below", F.lit(0.0))).alias("passes")), "passes")
+        up, n = _doubled(up), 2 * n
+    depth = up.select("k", "i", F.col("hops").cast("int").alias("depth"))
+    return tree.select("k", "i", "e", "parent").join(depth, ["k", "i"]).join(sums, ["k", "i"]).select("k", "i", "e", "parent", "depth", "passes")
 
 
 def stamped(tree: DataFrame, edge: DataFrame, moves: Sequence[Move], cols: int) -> DataFrame:
@@ -61,10 +68,18 @@ def stamped(tree: DataFrame, edge: DataFrame, moves: Sequence[Move], cols: int)
 
 
 def path(tree: DataFrame, goals: DataFrame) -> DataFrame:
-    """(k, goal, seq, i, e) from the seed to goals (k, goal)."""
-    own = tree.select("k", F.col("i").alias("goal"), F.col("i").alias("anc")).union(ancestors(tree).select("k", F.col("i").alias("goal"), "anc"))
-    nodes = own.join(goals.select("k", "goal"), ["k", "goal"]).join(tree.select("k", F.col("i").alias("anc"), "e", "depth"), ["k", "anc"])
-    return nodes.select("k", "goal", F.col("depth").cast("int").alias("seq"), F.col("anc").alias("i"), "e")
+    """(k, goal, seq, i, e) from the seed to goals (k, goal). Only goals' ways are followed: each round adds to what is
+    known of them as much again."""
+    up, n = _ways_up(tree), 1
+    known = written(goals.select("k", "goal", F.col("goal").alias("i")).distinct().join(tree.select("k", "i"), ["k", "i"], "left_semi").select("k", "goal", "i"), "ways")
+    while True:
+        exact = up.where(F.col("hops") == n).select("k", "i", "anc")
+        more = written(known.join(exact, ["k", "i"]).select("k", "goal", F.col("anc").alias("i")), "more")
+        if more.limit(1).count() == 0:
+            break
+        known, up, n = written(known.union(more), "ways"), _doubled(up), 2 * n
+    nodes = known.join(tree.select("k", "i", "e", "depth"), ["k", "i"])
+    return nodes.select("k", "goal", F.col("depth").cast("int").alias("seq"), "i", "e")
 
 
 def path_length(route: DataFrame, cols: int, dx: float, dy: float) -> DataFrame:
