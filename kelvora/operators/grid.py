@@ -24,14 +24,16 @@ def passable(cells: DataFrame) -> DataFrame:
     return cells.where("m").select("i", "r", "c", F.col("h").cast("double").alias("h"))
 
 
-def neighbours(cells: DataFrame, grid: Grid, moves: Sequence[Move]) -> DataFrame:
-    """(u, v, k, dist, hu, hv): moves are literals in one explode, and the only shuffle is the join on the target cell."""
+def neighbours(cells: DataFrame, grid: Grid, moves: Sequence[Move], targets: DataFrame | None = None) -> DataFrame:
+    """(u, v, k, dist, hu, hv): moves are literals in one explode, and the only shuffle is the join on the target cell, which
+    is one of cells, or of targets where they are named."""
     own = passable(cells)
     steps = F.array(*[F.struct(F.lit(m.k).alias("k"), F.lit(m.dr).alias("dr"), F.lit(m.dc).alias("dc"), F.lit(m.dist).alias("dist")) for m in moves])
     out = own.select(F.col("i").alias("u"), "r", "c", F.col("h").alias("hu"), F.explode(steps).alias("x"))
     tr, tc = F.col("r") + F.col("x.dr"), F.col("c") + F.col("x.dc")
     inside = out.where((tr >= 0) & (tr < grid.rows) & (tc >= 0) & (tc < grid.cols)).select("u", "hu", F.col("x.k").alias("k"), F.col("x.dist").alias("dist"), (tr.cast("long") * grid.cols + tc).alias("v"))
-    return inside.join(own.select(F.col("i").alias("v"), F.col("h").alias("hv")), "v").select("u", "v", "k", "dist", "hu", "hv")
+    ends = own if targets is None else passable(targets)
+    return inside.join(ends.select(F.col("i").alias("v"), F.col("h").alias("hv")), "v").select("u", "v", "k", "dist", "hu", "hv")
 
 
 def unit_edges(cells: DataFrame, grid: Grid, cost: Cost, moves: Sequence[Move]) -> DataFrame:
@@ -59,6 +61,17 @@ def long_edges(cells: DataFrame, grid: Grid, cost: Cost, moves: Sequence[Move])
     return profile.select("u", "v", "k", total.alias("w"), F.lit(True).alias("is_long"))
 
 
+def seed_edges(cells: DataFrame, passable_cells: DataFrame, grid: Grid, cost: Cost, moves: Sequence[Move], seeds: DataFrame) -> DataFrame:
+    """Edges between seeds (.., i) that aren't passable themselves and the passable cells around them, both ways: a search
+    from a masked cell begins there, and no other search passes it. Unit moves only."""
+    closed = cells.join(seeds.select("i").distinct(), "i", "left_semi").join(passable_cells.where("m").select("i"), "i", "left_anti").withColumn("m", F.lit(True))
+    unit = [m for m in moves if not m.is_long]
+    out = neighbours(closed.select("i", "r", "c", "h", "m"), grid, unit, passable_cells)
+    there = out.select("u", "v", "k", edge_cost(F.col("dist"), F.col("hv") - F.col("hu"), cost).alias("w"), F.lit(False).alias("is_long"))
+    back = out.select(F.col("v").alias("u"), F.col("u").alias("v"), "k", edge_cost(F.col("dist"), F.col("hu") - F.col("hv"), cost).alias("w"), F.lit(False).alias("is_long"))
+    return there.union(back)
+
+
 def portal_edges(portals: DataFrame, cells: DataFrame, cost: Cost) -> DataFrame:
     """Deck shortcuts (u, v, len_m, hu, hv) in both directions; an end without its own height has its cell's."""
     own = passable(cells)

@@ -215,6 +215,93 @@ def edge_passes(costs: DataFrame, tree: DataFrame) -> DataFrame:
     return keyed.join(used, ["x", "y"]).select("k", "a", "b", "passes")
 
 
+def legs(half: DataFrame, costs: DataFrame, seeds: DataFrame, leg: str, e_max: float = 0.0, total: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(field (k, i, e), passes (k, a, b, passes)) of one direction or of a round trip, whose edges carry both legs' subtrees
+    of nodes that both legs reach and the total allows."""
+    from kelvora.operators import search, tree
+    from kelvora.operators.grid import reversed_edges
+
+    one = lambda e: search.written(search.tree(e, seeds, e_max), "tree")
+    if leg != "round":
+        own = one(half if leg == "from" else reversed_edges(half))
+        return own.select("k", "i", "e"), edge_passes(costs, own)
+    there, back = one(half), one(reversed_edges(half))
+    both = written(search.round_trip(there.select("k", "i", "e"), back.select("k", "i", "e"), e_max if total else 0.0), "round")
+    flows = [edge_passes(costs, tree.passes(x.select("k", "i", "e", "parent"), both)) for x in (there, back)]
+    return both, flows[0].union(flows[1]).groupBy("k", "a", "b").agg(F.sum("passes").alias("passes"))
+
+
+def _steps(path: DataFrame, costs: DataFrame, half: DataFrame) -> DataFrame:
+    """(seq, a, b, len_m, w) of the edges of a path (seq, i) in the order of its search."""
+    step = path.select("seq", F.col("i").alias("u")).join(path.select((F.col("seq") - 1).alias("seq"), F.col("i").alias("v")), "seq")
+    keyed = costs.select("a", "b", "len_m", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return step.join(half.select("u", "v", "w"), ["u", "v"]).withColumn("x", F.least("u", "v")).withColumn("y", F.greatest("u", "v")).join(keyed, ["x", "y"]).select("seq", "a", "b", "len_m", "w")
+
+
+def top_routes(half: DataFrame, costs: DataFrame, seed: int, goal: int, n: int, penalty: float, cost: Cost, e_max: float = 0.0) -> DataFrame:
+    """(route, seq, i, energy, length_m, shared_edges): up to n routes, each sought with the edges of those before it dearer
+    by (penalty**used - 1) times their flat cost. Energies are without penalties; shared_edges are the route's edges that
+    any other route has, before or after it. half is the direction of the search, so routes to the seed are sought over
+    reversed edges. The loop is over routes, at most a few."""
+    from kelvora.operators import search, tree
+
+    spark, penalty = half.sparkSession, max(1.0, penalty)
+    seeds, goals = spark.createDataFrame([(0, seed)], "k bigint, i bigint"), spark.createDataFrame([(0, goal)], "k bigint, goal bigint")
+    length = costs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "len_m")
+    base = written(half.withColumn("x", F.least("u", "v")).withColumn("y", F.greatest("u", "v")).join(length, ["x", "y"]), "route-edges")
+    used, rows = None, []
+    for k in range(max(1, n)):
+        now = base if used is None else base.join(used.groupBy("x", "y").agg(F.count("*").alias("times")), ["x", "y"], "left").withColumn("w", F.col("w") + (F.pow(F.lit(penalty), F.coalesce("times", F.lit(0))) - 1) * F.lit(cost.a_roll + cost.a_aero) * F.col("len_m"))
+        path = written(tree.path(written(search.tree(now.select("u", "v", "w"), seeds, e_max), "route-tree"), goals), "route")
+        steps = written(_steps(path, costs, half).withColumn("route", F.lit(k + 1)), "route-steps")
+        if steps.limit(1).count() == 0:
+            break
+        rows.append((path.select(F.lit(k + 1).alias("route"), "seq", "i"), steps))
+        own = steps.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "route")
+        used = own if used is None else used.union(own)
+    if not rows:
+        return spark.createDataFrame([], "route int, seq int, i bigint, energy double, length_m double, shared_edges bigint")
+    nodes, steps = rows[0]
+    for p, q in rows[1:]:
+        nodes, steps = nodes.union(p), steps.union(q)
+    many = used.groupBy("x", "y").agg(F.count("*").alias("times")).where("times > 1")
+    shared = used.join(many, ["x", "y"]).groupBy("route").agg(F.count("*").alias("shared_edges"))
+    sums = steps.groupBy("route").agg(F.sum("w").alias("energy"), F.sum("len_m").alias("length_m")).join(shared, "route", "left")
+    return nodes.join(sums, "route").select("route", "seq", "i", "energy", "length_m", F.coalesce("shared_edges", F.lit(0)).alias("shared_edges"))
+
+
+def best_path(half: DataFrame, costs: DataFrame, seed: int, goal: int, e_max: float = 0.0, told: DataFrame | None = None) -> DataFrame:
+    """(seq, i, energy, length_m) from the seed to the goal; energy is the goal's in told (k, i, e) where that is given, as a
+    round trip's is more than that of its outward way."""
+    from kelvora.operators import search, tree
+
+    spark = half.sparkSession
+    grown = written(search.tree(half, spark.createDataFrame([(0, seed)], "k bigint, i bigint"), e_max), "path-tree")
+    path = written(tree.path(grown, spark.createDataFrame([(0, goal)], "k bigint, goal bigint")), "path")
+    sums = _steps(path, costs, half).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("energy"), F.coalesce(F.sum("len_m"), F.lit(0.0)).alias("length_m")).withColumn("goal", F.lit(goal))
+    if told is not None:
+        sums = sums.drop("energy").join(told.where(F.col("i") == goal).select(F.col("i").alias("goal"), F.col("e").alias("energy")), "goal", "left")
+    return path.join(sums, "goal").select("seq", "i", "energy", "length_m")
+
+
+def burned(lines: DataFrame, cells: DataFrame, width: float) -> DataFrame:
+    """(i) of the cells whose centre lies within half a width, in cells, of a polyline (line, seq, r, c), or that one passes."""
+    seg, half_width = segments(lines), F.lit(width / 2)
+    low, high = lambda a, b: F.floor(F.least(a, b) - half_width - 1), lambda a, b: F.floor(F.greatest(a, b) + half_width + 1)
+    near = seg.select("r1", "c1", "r2", "c2", F.explode(F.sequence(low("r1", "r2"), high("r1", "r2"))).alias("r")).select("*", F.explode(F.sequence(low("c1", "c2"), high("c1", "c2"))).alias("c"))
+    pr, pc, dr, dc = F.col("r") + 0.5, F.col("c") + 0.5, F.col("r2") - F.col("r1"), F.col("c2") - F.col("c1")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((pr - F.col("r1")) * dr + (pc - F.col("c1")) * dc) / (dr * dr + dc * dc)))
+    qr, qc = F.col("r1") + dr * t - pr, F.col("c1") + dc * t - pc
+    wide = near.where(qr * qr + qc * qc <= half_width * half_width).select("r", "c")
+    passed = seg.select(F.explode(_covered()).alias("x")).select("x.r", "x.c")
+    return cells.join(wide.union(passed).distinct(), ["r", "c"], "left_semi").select("i")
+
+
+def snapped(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(p, i): the network cell whose centre is nearest to points (p, r, c), ties to the smaller cell."""
+    return nearest(points, cells.where("m").select(F.col("i").alias("n"), (F.col("r") + 0.5).alias("r"), (F.col("c") + 0.5).alias("c"))).select("p", F.col("n").alias("i"))
+
+
 def nearest(points: DataFrame, nodes: DataFrame, cell: float = 4.0) -> DataFrame:
     """(p, n, d2): the nearest node of points (p, r, c), ties to the smaller node. Buckets around a point are searched first;
     points that find nothing there, or nothing nearer than the buckets reach, widen their search until they do. Points whose

@@ -218,6 +218,48 @@ def tree(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0) -> DataFrame:
     return tree_of(held, frontier(held, seeds, e_max), seeds)
 
 
+def best_route(edge: DataFrame, bound: DataFrame, seed: int, goal: int) -> DataFrame:
+    """(seq, i, e) of one cheapest route. bound (i, left) never overstates what is left from a node to the goal, and only nodes
+    that can lie on a cheapest route by it are gone on with. Many edges are searched without it, for the same route."""
+    from kelvora.operators import tree as trees
+
+    spark, held = edge.sparkSession, written(edge.select("u", "v", "w"), "edges")
+    goals = spark.createDataFrame([(0, goal)], "k bigint, goal bigint")
+    if not fits_kernel(held):
+        seeds = spark.createDataFrame([(0, seed)], "k bigint, i bigint")
+        return trees.path(written(tree(held, seeds), "tree"), goals).select("seq", "i", "e")
+    net = spark.sparkContext.broadcast((arrays(held), bound.select("i", "left").toArrow()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays_, left = net.value
+        at, end = arrays_.number(seed), arrays_.number(goal)
+        lower = np.zeros(len(arrays_.ids))
+        place = np.searchsorted(arrays_.ids, left.column("i").to_numpy())
+        fine = (place < len(arrays_.ids)) & (arrays_.ids[np.minimum(place, len(arrays_.ids) - 1)] == left.column("i").to_numpy())
+        lower[place[fine]] = left.column("left").to_numpy()[fine]
+        for _ in batches:
+            if at is None or end is None:
+                continue
+            nodes, e = arrays_.distances(at, 0.0, lower, end)
+            up, way, cost = dict(zip(nodes.tolist(), arrays_.parents(nodes, e, at).tolist(), strict=True)), [end], dict(zip(nodes.tolist(), e.tolist(), strict=True))
+            while way[-1] in up and up[way[-1]] >= 0:
+                way.append(up[way[-1]])
+            if way[-1] == at and end in up:
+                way = way[::-1]
+                yield pd.DataFrame({"seq": np.arange(len(way), dtype=np.int32), "i": arrays_.ids[way], "e": [cost[x] for x in way]})
+
+    return spark.range(1).repartition(1).mapInPandas(run, "seq int, i bigint, e double")
+
+
+def explored(edge: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """(k, explored, reached): how many nodes a search from each seed settles before it is stopped at ``most``, and the cost of
+    the last; what a pre-flight estimate is scaled by."""
+    from pyspark.sql import Window
+
+    ranked = field(edge, seeds).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("e", "i"))).where(F.col("n") <= most)
+    return ranked.groupBy("k").agg(F.count("*").alias("explored"), F.max("e").alias("reached"))
+
+
 def round_trip(there: DataFrame, back: DataFrame, cap: float = 0.0) -> DataFrame:
     out = there.select("k", "i", F.col("e").alias("f")).join(back.select("k", "i", F.col("e").alias("b")), ["k", "i"]).select("k", "i", (F.col("f") + F.col("b")).alias("e"))
     return out.where(F.col("e") <= cap) if cap > 0 else out

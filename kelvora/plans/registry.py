@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvora.functions.cost import DEFAULT, max_edge_cost
-from kelvora.operators import density, grid, network, profile, raster, routes, sampling, search, tree
+from kelvora.operators import density, grid, network, profile, raster, routes, runs, sampling, search, tree
 from kelvora.plans import views as V
 from kelvora.sources import geo
 from kelvora.streaming import lifecycle
@@ -202,6 +202,23 @@ def explored_stats(spark, d):
     return search.field(edge, V.first_seed(cells)).groupBy("k").agg(F.count("*").alias("explored"), F.count(F.when(F.col("e") <= 6.0, 1)).alias("budget_reached"), r6(F.max("e"), "far"))
 
 
+@query(V.with_(V.CELL, "sd AS (SELECT 0::BIGINT AS k, min(i) AS i FROM cell WHERE NOT m)", V.edges_sql(), f"""both_e AS MATERIALIZED (
+  SELECT u, v, w FROM edge UNION ALL
+  SELECT a.i, b.i, {V.cost_sql('mv.dist', 'b.h - a.h')} FROM cell a JOIN sd USING (i), (VALUES {V.move_rows()}) mv(k, dr, dc, dist), cell b WHERE b.r = a.r + mv.dr AND b.c = a.c + mv.dc AND b.m
+)""", V.field_sql("f", "sd", "both_e")) + "SELECT n AS i, round(dist, 6) AS e FROM f")
+def field_soft_seed(spark, d):
+    """A search from a masked cell."""
+    cells, g = V.terrain(spark, d)
+    seed = cells.where("not m").agg(F.min("i").alias("i")).select(F.lit(0).cast("long").alias("k"), "i")
+    return runs.raster(runs.Run(), cells, g, DEFAULT, seed)["field"].select("i", r6("e", "e"))
+
+
+@query(V.with_(V.CELL, V.REF, V.edges_sql(), V.field_sql("f", "ref")) + "SELECT k, count(*) AS explored, round(max(dist), 6) AS reached FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dist, n) AS j FROM f) WHERE j <= 300 GROUP BY k")
+def probe(spark, d):
+    cells, g, edge = _edges(spark, d)
+    return search.explored(edge, V.refs(spark, d, cells, g), 300).select("k", "explored", r6("reached", "reached"))
+
+
 # --- trees -------------------------------------------------------------------------------------------------------------
 
 _TREE = V.with_(*_BASE, V.field_sql("f", "seed"), V.tree_sql("t", "f", "seed"))
@@ -302,6 +319,18 @@ def density_passes(spark, d):
     return density.density(search.tree(edge, refs, 20.0), n).select("i", F.round(F.col("density") * n * n).cast("long").alias("passes"), F.round("density", 9).alias("density"))
 
 
+@query(
+    V.with_(V.CELL, V.REF, V.edges_sql(), V.field_sql("f", "ref", e_max=E_TOTAL), V.field_sql("b", "ref", e_max=E_TOTAL, flip=True), V.tree_sql("t", "f", "ref"), V.tree_sql("s", "b", "ref", flip=True))
+    + f""", ok AS MATERIALIZED (SELECT f.k, f.n AS i, f.dist + b.dist AS e FROM f JOIN b ON b.k = f.k AND b.n = f.n WHERE f.dist + b.dist <= {V.lit(E_TOTAL)}),
+ps AS (SELECT anc AS i, count(*)::DOUBLE AS p FROM (SELECT u.anc FROM t_up u JOIN ok ON ok.k = u.k AND ok.i = u.i UNION ALL SELECT u.anc FROM s_up u JOIN ok ON ok.k = u.k AND ok.i = u.i) GROUP BY anc)
+SELECT i, round(avg(e), 6) AS mean_e, count(*) AS n_reached, any_value(p)::BIGINT AS passes FROM ok JOIN ps USING (i) GROUP BY i"""
+)
+def density_round(spark, d):
+    _, g, edge, refs = _multi(spark, d)
+    n = g.rows * g.cols
+    return runs.round_density(edge, refs, n, E_TOTAL, total=True).select("i", r6("mean_e", "mean_e"), "n_reached", F.round(F.col("density") * n * n).cast("long").alias("passes"))
+
+
 _MATRIX = V.with_(*_MULTI, f"ids AS (SELECT s_suppkey AS k, (s_suppkey * 17) % (SELECT n FROM dim) AS i FROM supplier)", "mx AS (SELECT a.k AS src, b.k AS dst, f.dist AS e FROM ids a CROSS JOIN ids b LEFT JOIN f ON f.k = a.k AND f.n = b.i)")
 
 
@@ -363,6 +392,20 @@ def max_cost_upto_l(spark, d):
     return routes.dearest_walks(search.written(edge, "edges"), V.first_seed(cells), 8, up_to=True).select("i", r6("e", "e"))
 
 
+@query(_walk_sql(12, False).split("SELECT i, round(max(e)")[0].replace("SELECT v AS i, max(e + w) AS e", "SELECT v AS i, max(e + w) AS e, arg_max(u, (e + w, -u)) AS before") + ", w12 AS (SELECT * FROM l12 ORDER BY e DESC, i LIMIT 1), " + ", ".join(f"w{t} AS (SELECT l{t}.* FROM l{t} JOIN w{t + 1} ON l{t}.i = w{t + 1}.before)" for t in range(11, -1, -1)) + " " + " UNION ALL ".join(f"SELECT {t} AS seq, i, round(e, 6) AS e FROM w{t}" for t in range(13)))
+def max_cost_walk(spark, d):
+    """The walk itself, to wherever it is dearest."""
+    cells, _, edge = _edges(spark, d)
+    return routes.dearest_walk(edge, V.first_seed(cells).first()["i"], 12)[0].select("seq", "i", r6("e", "e"))
+
+
+@query(_TREE + ", goal AS (SELECT min(i) AS i FROM cell WHERE m AND r = (SELECT h - 1 FROM dim)) SELECT p.depth::INT AS seq, u.anc AS i, round(f.dist, 6) AS e FROM t_up u JOIN goal ON u.i = goal.i JOIN t_pass p ON p.i = u.anc JOIN f ON f.n = u.anc")
+def best_route(spark, d):
+    cells, g, edge = _edges(spark, d)
+    goal = cells.where(F.col("m") & (F.col("r") == g.rows - 1)).agg(F.min("i")).first()[0]
+    return search.best_route(edge, routes.least_left(cells, g, DEFAULT, goal), V.first_seed(cells).first()["i"], goal).select("seq", "i", r6("e", "e"))
+
+
 def _routes(spark, d, mode: str, n: int = 3):
     cells, g, edge = _edges(spark, d)
     seed = V.first_seed(cells).first()["i"]
@@ -375,6 +418,11 @@ def top_n_routes(spark, d):
     return _routes(spark, d, "per-cell")[2].withColumn("energy", F.round("energy", 6))
 
 
+@query()
+def top_n_routes_linear(spark, d):
+    return _routes(spark, d, "linear", 2)[2].withColumn("energy", F.round("energy", 6))
+
+
 @query()
 def top_n_routes_square(spark, d):
     return _routes(spark, d, "square", 2)[2].withColumn("energy", F.round("energy", 6))
@@ -521,6 +569,22 @@ def sea_flood(spark, d):
     return raster.sea_flood(coast, g).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
 
 
+@query(V.with_(V.CELL) + "SELECT i, round(h + coalesce(rise, 0), 6) AS h, m OR rise IS NOT NULL AS m FROM cell LEFT JOIN (SELECT i AS j, max(greatest(-5e0, least(15e0, i % 31 - 8e0)) * (1 - abs(2 * (i % 17 / 16e0) - 1))) AS rise FROM cell WHERE r % 4 = 1 GROUP BY i) ON j = i")
+def carve(spark, d):
+    cells, _ = V.terrain(spark, d)
+    i = F.col("i")
+    corridor = cells.where("r % 4 = 1").select("i", (F.pmod(i, F.lit(17)) / 16.0).alias("t"), (F.pmod(i, F.lit(31)) - 8.0).alias("offset"))
+    return raster.carve(cells, corridor).select("i", r6(F.col("h").cast("double"), "h"), "m")
+
+
+@query(V.with_(V.CELL, V.pairs_sql(4)) + """, s AS (SELECT u AS i, max(CASE WHEN k = 0 THEN (hv - hu) / dist END) AS n, max(CASE WHEN k = 1 THEN (hv - hu) / dist END) AS w, max(CASE WHEN k = 2 THEN (hv - hu) / dist END) AS e, max(CASE WHEN k = 3 THEN (hv - hu) / dist END) AS s FROM nb GROUP BY u
+), g AS (SELECT i, (coalesce(e, 0) - coalesce(w, 0)) / 2 AS x, (coalesce(s, 0) - coalesce(n, 0)) / 2 AS y FROM s)
+SELECT i, round(greatest(0e0, cos(pi() / 4) * cos(atan(sqrt(x * x + y * y))) + sin(pi() / 4) * sin(atan(sqrt(x * x + y * y))) * cos(radians(135) - atan2(y, -x))), 6) AS shade FROM g""")
+def hillshade(spark, d):
+    cells, g = V.terrain(spark, d)
+    return raster.hillshade(grid.neighbours(cells, g, V.moves(4))).select("i", r6("shade", "shade"))
+
+
 @query()
 def supercover(spark, d):
     _, g = V.terrain(spark, d)
@@ -649,6 +713,58 @@ def nearest_node(spark, d):
     return network.nearest(points, network.valid_nodes(nodes, cells, g)).select("p", "n")
 
 
+@query(V.with_(*_GRAPH, V.field_sql("f", "nseed", "nhe"), V.field_sql("b", "nseed", "nhe", flip=True)) + "SELECT f.n AS i, round(f.dist + b.dist, 4) AS e FROM f JOIN b ON b.n = f.n")
+def graph_round(spark, d):
+    *_, costs, half, seed = _costs(spark, d)
+    return network.legs(half, costs, seed, "round")[0].select("i", F.round("e", 4).alias("e"))
+
+
+_NREF = """nref AS MATERIALIZED (SELECT p AS k, arg_min(n, ((nod.r - pt.r) * (nod.r - pt.r) + (nod.c - pt.c) * (nod.c - pt.c), n)) AS i
+  FROM (SELECT s_suppkey AS p, (s_suppkey * 13) % 10 * 0.37e0 AS r, (s_suppkey * 29) % 50 + 0.21e0 AS c FROM supplier) pt, nod WHERE n IN (SELECT n FROM nok) GROUP BY p)"""
+
+
+@query(
+    V.with_(*_GRAPH, _NREF, V.field_sql("f", "nref", "nhe", e_max=0.5), V.tree_sql("t", "f", "nref", "nhe"))
+    + """, up AS (SELECT least(t.i, t.parent) AS x, greatest(t.i, t.parent) AS y, sum(p.passes) AS passes FROM t JOIN t_pass p ON p.k = t.k AND p.i = t.i WHERE t.parent IS NOT NULL GROUP BY 1, 2)
+SELECT nct.a, nct.b, passes FROM nct JOIN up ON up.x = least(nct.a, nct.b) AND up.y = greatest(nct.a, nct.b)"""
+)
+def graph_density_passes(spark, d):
+    """Edge passes of all suppliers' nodes."""
+    cells, g, nodes, costs, half, _ = _costs(spark, d)
+    s = F.col("s_suppkey")
+    points = V.table(spark, d, "supplier").select(s.alias("p"), (F.pmod(s * 13, F.lit(10)) * 0.37).alias("r"), (F.pmod(s * 29, F.lit(50)) + 0.21).alias("c"))
+    valid = network.valid_nodes(nodes, cells, g)
+    refs = search.written(network.nearest(points, valid).select(F.col("p").alias("k"), F.col("n").alias("i")), "refs")
+    return runs.graph(runs.Run(mode="density", e_max=0.5), costs, valid, DEFAULT, refs)["edge_passes"]
+
+
+@query()
+def graph_top_routes(spark, d):
+    cells, g, nodes, costs, half, seed = _costs(spark, d)
+    goal = search.field(half, seed).orderBy(F.col("e").desc(), "i").first()["i"]
+    out = network.top_routes(half, costs, seed.first()["i"], goal, 3, 2.0, DEFAULT)
+    return out.select("route", "seq", "i", F.round("energy", 4).alias("energy"), F.round("length_m", 4).alias("length_m"), "shared_edges")
+
+
+@query(V.with_(V.CELL, V.LINES, _SEG[2], "bnd AS (SELECT *, unnest(range(floor(least(r1, r2) - 1.75e0)::BIGINT, floor(greatest(r1, r2) + 1.75e0)::BIGINT + 1)) AS band FROM seg)") + """SELECT DISTINCT i FROM (
+  SELECT cell.i, (cell.r + 0.5e0 - (r1 + (r2 - r1) * t)) AS y, (cell.c + 0.5e0 - (c1 + (c2 - c1) * t)) AS x FROM (
+    SELECT bnd.*, cell.i, greatest(0e0, least(1e0, ((cell.r + 0.5e0 - r1) * (r2 - r1) + (cell.c + 0.5e0 - c1) * (c2 - c1)) / ((r2 - r1) * (r2 - r1) + (c2 - c1) * (c2 - c1)))) AS t
+    FROM bnd JOIN cell ON cell.r = band AND cell.c BETWEEN least(c1, c2) - 1.75e0 AND greatest(c1, c2) + 1.75e0) b JOIN cell USING (i)
+) WHERE x * x + y * y <= 0.5625e0""")
+def network_burn(spark, d):
+    """Cells within 0.75 of a line; a line passes no cell whose centre is farther than that."""
+    cells, g = V.terrain(spark, d)
+    return network.burned(V.lines(spark, d, g), cells, 1.5)
+
+
+@query(f"WITH {V.CELL}, pt AS (SELECT s_suppkey AS p, (s_suppkey * 13) % 40 * 0.37e0 AS r, (s_suppkey * 29) % 70 * 1e0 + 0.21e0 AS c FROM supplier) SELECT p, arg_min(i, ((cell.r + 0.5e0 - pt.r) * (cell.r + 0.5e0 - pt.r) + (cell.c + 0.5e0 - pt.c) * (cell.c + 0.5e0 - pt.c), i)) AS i FROM pt, cell WHERE m AND i % 5 = 0 GROUP BY p")
+def snap_to_network(spark, d):
+    cells, _ = V.terrain(spark, d)
+    s = F.col("s_suppkey")
+    points = V.table(spark, d, "supplier").select(s.alias("p"), (F.pmod(s * 13, F.lit(40)) * 0.37).alias("r"), (F.pmod(s * 29, F.lit(70)) * 1.0 + 0.21).alias("c"))
+    return network.snapped(points, cells.where("i % 5 = 0"))
+
+
 # --- sampling and joins by place ---------------------------------------------------------------------------------------
 
 
@@ -731,11 +847,24 @@ def points_to_refs(spark, d):
     return sampling.points_to_refs(points, cells, g)
 
 
-@query(f"WITH {V.CELL}, {V.LINES}, st AS (SELECT line, seq, c AS x, r AS y, lead(c) OVER w AS x2, lead(r) OVER w AS y2 FROM vert WINDOW w AS (PARTITION BY line ORDER BY seq)), q AS (SELECT line, seq, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS d FROM st WHERE x2 IS NOT NULL) SELECT line, round(sum(d), 6) AS length FROM q GROUP BY line")
+@query(
+    f"WITH {V.CELL}, {V.LINES}, "
+    + """st AS (SELECT line, seq, c AS x, r AS y, lead(c) OVER w AS x2, lead(r) OVER w AS y2 FROM vert WINDOW w AS (PARTITION BY line ORDER BY seq)),
+q AS (SELECT *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS d FROM st WHERE x2 IS NOT NULL),
+u AS (SELECT *, sum(d) OVER (PARTITION BY line ORDER BY seq) AS upto, sum(d) OVER (PARTITION BY line) AS whole FROM q),
+h AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY seq) AS j FROM u WHERE upto >= whole / 2)
+SELECT line, round(x + CASE WHEN d > 0 THEN 1 - (upto - whole / 2) / d ELSE 0 END * (x2 - x), 6) AS x, round(y + CASE WHEN d > 0 THEN 1 - (upto - whole / 2) / d ELSE 0 END * (y2 - y), 6) AS y, round(whole, 6) AS length FROM h WHERE j = 1"""
+)
 def arc_centres(spark, d):
     _, g = V.terrain(spark, d)
     v = V.lines(spark, d, g).select("line", "seq", F.col("c").alias("x"), F.col("r").alias("y"))
-    return sampling.arc_centre(v).select("line", r6("length", "length"))
+    return sampling.arc_centre(v).select("line", r6("x", "x"), r6("y", "y"), r6("length", "length"))
+
+
+@query()
+def spread_sources(spark, d):
+    cells, g = V.terrain(spark, d)
+    return sampling.spread(cells, g, 6)
 
 
 # --- profiles ----------------------------------------------------------------------------------------------------------

@@ -96,8 +96,12 @@ def cost_sql(dist: str, dh: str, cost: Cost = DEFAULT) -> str:
     return f"(CASE WHEN ({dh}) >= 0 THEN {up} ELSE greatest(0e0, {down}) END)"
 
 
+def move_rows(n: int = 8) -> str:
+    return ", ".join(f"({m.k}, {m.dr}, {m.dc}, {lit(m.dist)})" for m in moves(n) if not m.is_long)
+
+
 def pairs_sql(n: int = 8, name: str = "nb") -> str:
-    rows = ", ".join(f"({m.k}, {m.dr}, {m.dc}, {lit(m.dist)})" for m in moves(n) if not m.is_long)
+    rows = move_rows(n)
     return f"""{name} AS MATERIALIZED (
   SELECT a.i AS u, b.i AS v, mv.k, mv.dist, a.h AS hu, b.h AS hv
   FROM cell a, (VALUES {rows}) mv(k, dr, dc, dist), cell b WHERE b.r = a.r + mv.dr AND b.c = a.c + mv.dc AND a.m AND b.m
