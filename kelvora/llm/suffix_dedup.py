@@ -27,6 +27,7 @@ share; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelvora.llm.common import materialise, table
+from kelvora.llm.common import materialise, shared_dir, table
 from kelvora.llm.shingles import _BYTE, mix64, powers, slices, trimmed
 
 LENGTH, GRAM = 400, 96
@@ -102,7 +103,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(keyed: DataFrame) -> DataFrame:
+    """Anchors of (doc_id, h, text)."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in slices(batch.column(2)):
@@ -114,7 +117,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                         ["doc_id", "h", "pos", "begin", "stop", "gram", "hull", "q0", "q1", "q2", "q3"],
                     )
 
-    return _keyed(docs).mapInArrow(trimmed(find), "doc_id bigint, h bigint, pos int, begin int, stop int, gram bigint, hull bigint, q0 int, q1 int, q2 int, q3 int")
+    return keyed.mapInArrow(trimmed(find), "doc_id bigint, h bigint, pos int, begin int, stop int, gram bigint, hull bigint, q0 int, q1 int, q2 int, q3 int")
 
 
 class Level:
@@ -277,8 +280,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _marked(family)
 
 
-def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(gram, hull, left reversed, right) of one anchor of each hull."""
+def _contexts(keyed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(gram, hull, left reversed, right, hot) of one anchor of each hull."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +300,7 @@ def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 )
 
     by_doc = reps.groupBy(F.col("rep.doc_id").alias("doc_"), F.col("rep.h").alias("h_")).agg(F.collect_list(F.struct("gram", "hull", F.col("rep.pos").alias("pos"), F.col("rep.begin").alias("begin"), F.col("rep.stop").alias("stop"), "hot")).alias("places"))
-    joined = _keyed(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("h") == F.col("h_")))
+    joined = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("h") == F.col("h_")))
     return joined.select("text", "places").mapInArrow(trimmed(_joined(cut)), "gram bigint, hull bigint, left binary, right binary, hot boolean")
 
 
@@ -366,15 +369,24 @@ def _candidates(edges: DataFrame) -> DataFrame:
     return materialise(edges.join(fine, ["gram", "hull"]).select("gram", "hull", "rep", (F.col("hulls") > HOT).alias("hot")), "edges")
 
 
+#: A gram that many hulls share is met in so many parts.
+SALTS = 32
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, h, ranges array<struct<a, b>>): bytes to remove, per row of docs that has any; ranges may overlap."""
-    found = anchors(docs)
+    keyed = _keyed(docs)
+    return _repeated(anchors(keyed), keyed)
+
+
+def _repeated(found: DataFrame, keyed: DataFrame) -> DataFrame:
     hulls = found.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos", "begin", "stop", "q0", "q1", "q2", "q3")).alias("rep"))
-    grams = hulls.groupBy("gram").agg(F.count("*").alias("hulls"))
-    groups = materialise(hulls.join(grams, "gram").where("n > 1 or hulls > 1"), "hulls")
+    grams = hulls.groupBy("gram").agg(F.count("*").alias("hulls")).where("hulls > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = hulls.withColumn("salt", F.pmod("hull", F.lit(SALTS)).cast("int")).join(grams, ["gram", "salt"], "left").select("gram", "hull", "n", "rep", F.coalesce("hulls", F.lit(1)).alias("hulls"))
+    groups = materialise(told.where("n > 1 or hulls > 1"), "hulls")
     edges = _candidates(groups.where("hulls > 1"))
     hot = edges.where("hot").limit(1).count() > 0
-    contexts = _contexts(docs, edges)
+    contexts = _contexts(keyed, edges)
     contexts = materialise(contexts, "contexts") if hot else contexts
     ranges = contexts.where("not hot").select("gram", "hull", "left", "right").repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_index), _RANGE)
     if hot:
@@ -388,6 +400,52 @@ def repeated(docs: DataFrame) -> DataFrame:
     return at.select("doc_id", "h", F.explode(F.coalesce(whole, part)).alias("r")).groupBy("doc_id", "h").agg(F.collect_list("r").alias("ranges"))
 
 
+class Index:
+    """Long strings of documents that come in batches: a logarithmic family of written levels.
+
+    A level is two tables in the shared folder, the batch's texts and its anchors in the order of their grams. ``add`` meets
+    a new batch's anchors with those of every level that have one of its grams, finds what repeats among them, and writes
+    the batch as a level; two levels of one size class are then merged into one of the next, so that n anchors stand in
+    about log2(n / LEVEL_ROWS) levels and each is rewritten as often at most. ``levels`` is all that has to be kept to go
+    on with an index in another session."""
+
+    LEVEL_ROWS = 1 << 20
+
+    def __init__(self, spark, levels: dict[int, tuple[str, str]] | None = None):
+        self.spark, self.levels = spark, dict(levels or {})
+
+    def _read(self, level: int) -> tuple[DataFrame, DataFrame]:
+        return tuple(self.spark.read.parquet(x) for x in self.levels[level])
+
+    def _write(self, texts: DataFrame, found: DataFrame) -> tuple[str, str]:
+        folder = shared_dir(self.spark)
+        paths = tuple(f"{folder}/level-{name}-{uuid.uuid4().hex}" for name in ("texts", "anchors"))
+        texts.write.parquet(paths[0])
+        found.repartition("gram", "hull").sortWithinPartitions("gram").write.parquet(paths[1])
+        return paths
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, h, ranges) as of ``repeated``, for rows of docs and of earlier batches: what has to go because it stands
+        in docs and elsewhere. An earlier document's ranges are those that this batch adds."""
+        texts = materialise(_keyed(docs), "batch")
+        found = materialise(anchors(texts), "anchors")
+        grams = found.select("gram").distinct()
+        near, whole = found, texts
+        for level in sorted(self.levels):
+            old_texts, old = self._read(level)
+            near, whole = near.union(old.join(grams, "gram", "left_semi").select(*found.columns)), whole.union(old_texts)
+        out = materialise(_repeated(near, whole), "repeats")
+        size, new = found.count(), (texts, found)
+        at = max(0, (max(1, size) // self.LEVEL_ROWS).bit_length())
+        while at in self.levels:
+            old_texts, old = self._read(at)
+            new = (new[0].union(old_texts), new[1].union(old.select(*found.columns)))
+            del self.levels[at]
+            at += 1
+        self.levels[at] = self._write(*new)
+        return out
+
+
 def _spans(ranges: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):

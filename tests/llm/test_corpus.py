@@ -47,6 +47,32 @@ def test_long_repeats(spark, documents, odd, hot):
     assert got == sorted(brute.long_repeats([r[:2] for r in rows]))
 
 
+def test_index_of_batches(spark, documents, odd):
+    """What three batches say, together, is what all documents say at once."""
+    from collections import defaultdict
+
+    from kelvora.llm import suffix_dedup
+
+    rows = documents[:40] + odd
+    index, spans = suffix_dedup.Index(spark), defaultdict(list)
+    index.LEVEL_ROWS = 64
+    for k in range(3):
+        batch = rows[k::3]
+        df = spark.createDataFrame(batch, DOC)
+        hashes = {(r.doc_id, r.text): r.h for r in suffix_dedup._keyed(df).collect()}
+        for r in index.add(df).collect():
+            spans[r.doc_id, r.h] += [(x.a, x.b) for x in r.ranges]
+        so_far = [x for j in range(k + 1) for x in rows[j::3]]
+        hashes |= {(r.doc_id, r.text): r.h for r in suffix_dedup._keyed(spark.createDataFrame(so_far, DOC)).collect()}
+        want = brute.long_repeats([x[:2] for x in so_far])
+        for (d, t, *_), w in zip(so_far, want, strict=True):
+            own = suffix_dedup._spans(spans[d, hashes[d, t or ""]])
+            assert (sum(b - a for a, b in own), len(own)) == w[2:4], (k, d)
+    assert 0 < len(index.levels) <= 3
+    again = suffix_dedup.Index(spark, index.levels)
+    assert again.add(spark.createDataFrame([(1, "nothing of this is old", None, None, None)], DOC)).count() == 0
+
+
 def test_family_of_many_batches():
     import numpy as np
     from kelvora.llm import suffix_dedup as sd
