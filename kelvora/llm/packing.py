@@ -6,7 +6,8 @@ length take which place in which run of sequences. Pieces then take their slots
 Ranks are counted in hashed blocks of bounded size, so that a length which a third of all pieces share isn't one task.
 
 Defined results: a null text is empty and packs as its end token; rows that repeat are packed once each; pieces of one
-length are alike, so which takes which slot follows a hash of doc_id. Extra columns are ignored.
+length are alike, so which takes which slot follows a hash of doc_id; a document of any length is cut into as many pieces
+as it needs; a table without rows gives none; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvora.llm.common import materialise, table
+from kelvora.llm.shingles import trimmed
 from kelvora.llm.tokens import default_path, encoder
 
 SIZE = 2048
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, w
             if rows:
                 yield _batch(rows, names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(cut), schema)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -121,7 +123,7 @@ def slots(df: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(x, pa.int64()) for x in added.values()], [batch.schema.names[i] for i in kept] + list(added))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "rank")
-    return df.mapInArrow(take, f"{fields}, sequence_id bigint, offset bigint")
+    return df.mapInArrow(trimmed(take), f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

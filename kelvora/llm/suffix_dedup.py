@@ -21,7 +21,8 @@ The result is exact, up to collisions of 128-bit (hulls) and 64-bit (strings of
 
 Defined results: a null text is empty; texts below LENGTH bytes lose nothing unless a string of LENGTH repeats, which
 they can't hold; rows that repeat, with the same doc_id or not, are places of their own, so all of them lose what they
-share; extra columns are ignored.
+share; a text of any length is read whole; a table without rows gives none; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -3,13 +3,15 @@
 A shard holds the ids of consecutive documents, in ascending doc_id order, as one bit-plane per bit of an id, highest
 first. Each plane is ordered by the bits above it (zeros first), with the number of ones before every block, so that
 access, counting and occurrence lookup take one step per plane and never decode the shard. The planes are compressed
-each for itself: a lookup opens a shard and the planes it walks, from that one file. Shards are rows of a Parquet
-table that Spark writes and reads, so they live in whatever store the cluster shares.
+each for itself: a lookup opens a shard and the planes it walks, from that one file. A shard file is a cell of a Parquet
+table that Spark writes and reads, so it lives in whatever store the cluster shares. ``access``, ``counts`` and
+``occurrences`` answer for the whole table by global place: where an id stands among those of all documents.
 
 File: magic ``WVM1``, then little-endian: n (u64), bits (u32), and per plane its zeros (u64) and the sizes of its two
 zstd frames (u32, u32: packed bits, least significant first; ones before each 512-bit block as u32); then the frames.
 
-Defined results: a null text is only its end id; null doc_ids come first; rows that repeat are stored each.
+Defined results: a null text is only its end id; null doc_ids come first; rows that repeat are stored each; a document of
+any length is in one shard; a table without rows gives none; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvora.llm.common import materialise, table
+from kelvora.llm.shingles import trimmed
 from kelvora.llm.tokens import default_path, encoder
 
 END_ID = 2
@@ -130,6 +133,21 @@ class Shard:
         own = np.unpackbits(plane[block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(own == bit)[j - int(before[block])])
 
+    def places(self, token: int) -> np.ndarray:
+        """All places of a token, ascending: down for the run of the token, and the run back up plane by plane."""
+        a, b = 0, self.n
+        if token >> self.bits:
+            return np.zeros(0, np.int64)
+        for k, (zeros, _, _) in enumerate(self.heads):
+            oa, ob = self._ones(k, a), self._ones(k, b)
+            a, b = (zeros + oa, zeros + ob) if token >> (self.bits - 1 - k) & 1 else (a - oa, b - ob)
+        at = np.arange(a, b)
+        for k in range(self.bits - 1, -1, -1) if len(at) else ():
+            zeros, bit = self.heads[k][0], token >> (self.bits - 1 - k) & 1
+            own = np.flatnonzero(np.unpackbits(self.plane(k)[0], count=self.n, bitorder="little") == bit)
+            at = own[at - zeros if bit else at]
+        return at
+
     @cached_property
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
@@ -175,7 +193,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHA
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = max(1, own.rdd.getNumPartitions())
     ordered = own.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialise(ordered.mapInArrow(shards, schema), "tokens")
+    return materialise(ordered.mapInArrow(trimmed(shards), schema), "tokens")
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -195,10 +213,67 @@ def read(shards: DataFrame) -> DataFrame:
                     ["part", "shard", "doc_id", "own", "n_tokens", "ids_crc32"],
                 )
 
-    # A row per shard (a million ids) is all that the running sum sees; texts and planes stay where they are.
-    starts = shards.select("part", "shard", (F.sum("total").over(Window.orderBy("part", "shard")) - F.col("total")).alias("before"))
-    told = shards.select("part", "shard", "doc_ids", "n_tokens", "data").mapInArrow(rows, schema)
-    return told.join(starts, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    told = shards.select("part", "shard", "doc_ids", "n_tokens", "data").mapInArrow(trimmed(rows), schema)
+    return told.join(starts(shards), ["part", "shard"]).select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def starts(shards: DataFrame) -> DataFrame:
+    """(part, shard, before): ids of all shards before one. Shards are summed within the part of the writer that made them;
+    only a row per part, as many as the writer had tasks, meets in one task."""
+    parts = shards.groupBy("part").agg(F.sum("total").alias("whole")).select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("first"))
+    within = shards.select("part", "shard", (F.sum("total").over(Window.partitionBy("part").orderBy("shard")) - F.col("total")).alias("own"))
+    return within.join(parts, "part").select("part", "shard", (F.col("first") + F.col("own")).alias("before"))
+
+
+#: Places that one call of a shard answers.
+ASKED = 1 << 16
+
+
+def access(shards: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, token) of global places (place); places that no id has are left out. A shard that is asked very often answers
+    in several tasks."""
+    span = 1 << 20
+    held = shards.select("part", "shard", "total").join(starts(shards), ["part", "shard"]).where("total > 0")
+    held = held.select("part", "shard", "before", "total", F.explode(F.sequence(F.floor(F.col("before") / span), F.floor((F.col("before") + F.col("total") - 1) / span))).alias("span"))
+    asked = places.select(F.col("place").cast("bigint").alias("place")).where("place >= 0").distinct().withColumn("span", F.floor(F.col("place") / span))
+    own = asked.join(held, "span").where("place >= before and place < before + total").select("part", "shard", "place", (F.col("place") - F.col("before")).cast("int").alias("at"))
+    sizes = own.groupBy("part", "shard").agg(F.ceil(F.count("*") / ASKED).alias("calls"))
+    dealt = own.join(sizes, ["part", "shard"]).withColumn("call", F.pmod(F.xxhash64("place"), F.col("calls")))
+    calls = dealt.groupBy("part", "shard", "call").agg(F.collect_list(F.struct("place", "at")).alias("asked"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, asked in zip(*batch.columns, strict=True):
+                shard = Shard(data.as_buffer().to_pybytes())
+                tokens = [shard.access(i) for i in asked.values.field("at").to_pylist()]
+                yield pa.RecordBatch.from_arrays([asked.values.field("place"), pa.array(tokens, pa.int64())], ["place", "token"])
+
+    return calls.join(shards.select("part", "shard", "data"), ["part", "shard"]).select("data", "asked").mapInArrow(trimmed(answer), "place bigint, token bigint")
+
+
+def counts(shards: DataFrame, tokens: DataFrame, most_bits: int = 32) -> DataFrame:
+    """(token, n) of tokens (token): how often each stands in all shards. Different tokens are at most the vocabulary."""
+    asked = [r[0] for r in tokens.select(F.col("token").cast("bigint")).where(F.col("token").between(0, (1 << most_bits) - 1)).distinct().collect()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                shard = Shard(data.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([shard.count(t) for t in asked], pa.int64())], ["token", "n"])
+
+    return shards.select("data").mapInArrow(trimmed(count), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """(place): every global place of a token."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for before, data in zip(*batch.columns, strict=True):
+                at = Shard(data.as_buffer().to_pybytes()).places(token)
+                yield pa.RecordBatch.from_arrays([pa.array(at + before.as_py(), pa.int64())], ["place"])
+
+    return shards.join(starts(shards), ["part", "shard"]).select("before", "data").mapInArrow(trimmed(find), "place bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ rerun draws the same. Without labels to train on, pages' own rules label the url
 depth, digit ratio, entropy, parameter counts and how often urls with the same suffixes were blocked.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the trees
-like any text; rows that repeat are judged alike; without any label the trees allow all; extra columns are ignored.
+like any text; rows that repeat are judged alike; without any label the trees allow all; a url of any length is read whole;
+a table without rows gives none; extra columns are ignored, whatever their names. Labels can come from any table
+(``labelled``: url, blocked).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from kelvora.llm.common import table
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 TRAIN_ROWS = 20_000
-TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
+TREES, DEPTH, RATE, BINS, FOLDS = 40, 3, 0.2, 32, 5
 FEATURES = ("length", "host_length", "path_length", "depth", "digits", "entropy", "parameters", "query_length", "hyphens", "fragment", "labels", "host_digits", "tld_blocked", "domain_blocked", "first_blocked", "last_blocked")
 
 
@@ -93,8 +95,20 @@ class UrlTrees:
             for own, k in zip(sums, _lexical(url)[1], strict=True):
                 own[k][0] += label
                 own[k][1] += 1
-        self.rates = [{k: (s + 10 * self.mean) / (n + 10) for k, (s, n) in own.items()} for own in sums]  # drawn to the mean
+        drawn = lambda s, n: (s + 10 * self.mean) / (n + 10)  # noqa: E731  to the mean
+        self.rates = [{k: drawn(*x) for k, x in own.items()} for own in sums]
         x = self.features(urls)
+        # A url learns from rates of the other folds only, or its own label would be among its features.
+        fold = np.arange(len(y)) % FOLDS
+        for f in range(FOLDS):
+            inside: list[dict] = [defaultdict(lambda: [0.0, 0]) for _ in range(4)]
+            for i in np.flatnonzero(fold == f):
+                for own, k in zip(inside, _lexical(urls[i])[1], strict=True):
+                    own[k][0] += y[i]
+                    own[k][1] += 1
+            for i in np.flatnonzero(fold == f):
+                for j, k in enumerate(_lexical(urls[i])[1]):
+                    x[i, len(FEATURES) - 4 + j] = drawn(sums[j][k][0] - inside[j][k][0], sums[j][k][1] - inside[j][k][1])
         self.edges = np.quantile(x, np.arange(1, BINS) / BINS, axis=0).T
         binned = self._bins(x)
         self.base = math.log(self.mean / (1 - self.mean))
