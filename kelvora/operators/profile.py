@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvora.functions.cost import Cost
+from kelvora.operators.order import quantiles
 
 CELL_M = 30.0
 
@@ -20,13 +22,21 @@ def lists(seg: DataFrame) -> DataFrame:
 
 
 def deadband(tracks: DataFrame, tau: float = 2.0) -> DataFrame:
-    """tracks (track, x, h) with hs: heights that follow h only when it leaves a band of tau around them."""
+    """tracks (track, x, h) with hs: heights that follow h only when it leaves a band of tau around them. Each height hangs on
+    the one before, so a track is walked once, in Arrow batches of tracks."""
 
-    def follow(acc, h):
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.when(h > last + tau, h - tau).when(h < last - tau, h + tau).otherwise(last)))
+    @F.pandas_udf("array<double>")
+    def follow(h: pd.Series) -> pd.Series:
+        def one(own):
+            out = list(own[:1])
+            for x in own[1:]:
+                last = out[-1]
+                out.append(x - tau if x > last + tau else x + tau if x < last - tau else last)
+            return out
 
-    return tracks.withColumn("hs", F.aggregate(F.slice("h", 2, F.size("h")), F.slice("h", 1, 1), follow))
+        return h.map(one)
+
+    return tracks.withColumn("hs", follow("h"))
 
 
 def recovery(tracks: DataFrame, cost: Cost) -> DataFrame:
@@ -61,9 +71,16 @@ def ascent(seg: DataFrame) -> DataFrame:
 
 
 def ratio_stats(values: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, mean, p50, p90, max): a quantile is the sorted value at floor(p n), held below n."""
-    at = lambda p: F.get("v", F.least(F.size("v") - 1, F.floor(F.lit(p) * F.size("v")).cast("int")))
-    return values.groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("v"), F.avg(value).alias("mean"), F.max(value).alias("max")).select(by, F.size("v").alias("n"), "mean", at(0.5).alias("p50"), at(0.9).alias("p90"), "max")
+    """(by, n, mean, p50, p90, max): a quantile is the sorted value at floor(p n), held below n. No group is gathered."""
+    found = quantiles(values, by, value, {"p50": 0.5, "p90": 0.9})
+    sums = values.groupBy(by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return found.join(sums, by).select(by, F.col("n").cast("int").alias("n"), "mean", "p50", "p90", "max")
+
+
+def median_ratios(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, n, ratio): the median of y / x of each group, as ratio_stats takes it."""
+    ratios = pairs.where("x != 0").select(by, (F.col("y") / F.col("x")).alias("ratio_"))
+    return quantiles(ratios, by, "ratio_", {"ratio": 0.5})
 
 
 def heading_buckets(field: DataFrame, cols: int, seed: int, dx: float, dy: float, degrees: int = 5) -> DataFrame:

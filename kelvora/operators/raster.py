@@ -224,24 +224,32 @@ def assemble_rings(ways: DataFrame, tol: float = 1e-7) -> DataFrame:
     import pandas as pd
 
     def stitch(key, group: pd.DataFrame) -> pd.DataFrame:
-        end = lambda p: (round(p[0] / tol), round(p[1] / tol))
+        near = lambda p, q: abs(p[0] - q[0]) <= tol and abs(p[1] - q[1]) <= tol
+        slot = lambda p: (int(p[0] // (2 * tol)), int(p[1] // (2 * tol)))
         left = {w: list(zip(own["x"], own["y"], strict=True)) for w, own in group.sort_values("seq").groupby("way")}
         at: dict = {}
         for w, own in left.items():
             for p in (own[0], own[-1]):
-                at.setdefault(end(p), []).append(w)
+                at.setdefault(slot(p), []).append(w)
+
+        def follow(p):
+            """The smallest way left that has an end within tol, on whichever side of a slot's edge it lies."""
+            a, b = slot(p)
+            around = {w for i in (a - 1, a, a + 1) for j in (b - 1, b, b + 1) for w in at.get((i, j), ()) if w in left}
+            return min((w for w in around if near(left[w][0], p) or near(left[w][-1], p)), default=None)
+
         rows, ring = [], 0
         for w in sorted(left):
             if w not in left:
                 continue
             chain = left.pop(w)
-            while end(chain[0]) != end(chain[-1]):
-                follow = next((x for x in at[end(chain[-1])] if x in left), None)
-                if follow is None:
+            while not near(chain[0], chain[-1]) or len(chain) < 3:
+                nxt = follow(chain[-1])
+                if nxt is None:
                     break
-                own = left.pop(follow)
-                chain += own[1:] if end(own[0]) == end(chain[-1]) else own[-2::-1]
-            if len(chain) >= 3 and end(chain[0]) == end(chain[-1]):
+                own = left.pop(nxt)
+                chain += own[1:] if near(own[0], chain[-1]) else own[-2::-1]
+            if len(chain) >= 3 and near(chain[0], chain[-1]):
                 rows += [(key[0], ring, j, x, y) for j, (x, y) in enumerate(chain)]
                 ring += 1
         return pd.DataFrame(rows, columns=["rel", "ring", "seq", "x", "y"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvora.operators.grid import Grid
+from kelvora.operators.order import running_sum
 
 TWO32 = float(2**32)
 
@@ -73,9 +74,9 @@ def clip(ring: str, x0: float, y0: float, x1: float, y1: float) -> Column:
 def cdf_selection(weights: DataFrame, draws: DataFrame) -> DataFrame:
     """(d, cd): the sector whose share of the running sum of weights holds a draw u, from below and excluding its upper end.
     Draws and bounds meet in hashed slices of the unit interval, so no draw is compared with every sector."""
-    by = Window.orderBy("cd")
-    run = weights.select("cd", "w", F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("w").over(Window.partitionBy()).alias("total"))
-    bounds = run.select("cd", F.lag("upto", 1, 0.0).over(by).alias("a"), "upto", "total").select("cd", (F.col("a") / F.col("total")).alias("low"), (F.col("upto") / F.col("total")).alias("high")).where("high > low")
+    total = weights.agg(F.sum("w").alias("total"), F.lit(1).alias("one"))
+    run = running_sum(weights.select("cd", "w"), ["cd"], "w", "upto").withColumn("one", F.lit(1)).join(total, "one")
+    bounds = run.select("cd", ((F.col("upto") - F.col("w")) / F.col("total")).alias("low"), (F.col("upto") / F.col("total")).alias("high")).where("high > low")
     n = 1024
     sliced = bounds.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") * n).cast("int"), F.least(F.lit(n - 1), F.floor(F.col("high") * n).cast("int")))))
     return draws.withColumn("slice", F.least(F.lit(n - 1), F.floor(F.col("u") * n).cast("int"))).join(sliced, "slice").where("u >= low and u < high").select("d", "cd")

@@ -928,6 +928,12 @@ def correction_fit(spark, d):
     return profile.correction_fit(pairs, "line").select("line", F.round("slope", 2).alias("slope"), F.round("intercept", 2).alias("intercept"), r6("r2", "r2"))
 
 
+@query("WITH p AS (SELECT l_linenumber::BIGINT AS line, list(l_extendedprice / l_quantity ORDER BY l_extendedprice / l_quantity) AS v FROM lineitem WHERE l_quantity <> 0 GROUP BY 1) SELECT line, len(v) AS n, round(v[least(len(v) - 1, floor(0.5e0 * len(v))::BIGINT) + 1], 6) AS ratio FROM p")
+def source_medians(spark, d):
+    pairs = V.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return profile.median_ratios(pairs, "line").select("line", "n", r6("ratio", "ratio"))
+
+
 # --- sessions ----------------------------------------------------------------------------------------------------------
 
 _LEASE = """ls AS MATERIALIZED (

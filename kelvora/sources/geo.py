@@ -15,32 +15,92 @@ from pyspark.sql import functions as F
 _KINDS = {(1, 8): "u1", (2, 8): "i1", (1, 16): "u2", (2, 16): "i2", (1, 32): "u4", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 _SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 #: TIFF tags: fixed values of the format.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, ROWS_PER_STRIP, STRIP_BYTES, FORMAT, SCALE, TIE, NODATA = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 42113
+WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT, SCALE, TIE, NODATA = 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 323, 324, 325, 339, 33550, 33922, 42113
+NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
+
+
+def _unlzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, highest bit first, wider one entry early; 256 clears, 257 ends."""
+    out, table, width, held, have, last = [], [], 9, 0, 0, None
+    for byte in data:
+        held, have = held << 8 | byte, have + 8
+        if have < width:
+            continue
+        have -= width
+        code, held = held >> have, held & (1 << have) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, None
+            continue
+        own = table[code] if code < len(table) else last + last[:1]
+        if last is not None:
+            table.append(last + own[:1])
+        out.append(own)
+        last = own
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
+def _ifd(data: bytes) -> tuple[str, dict]:
+    """(byte order, tags) of the first image, of classic or big files."""
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    magic = struct.unpack_from(order + "H", data, 2)[0]
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF")
+    big = magic == 43
+    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
+    count, entry, inline, long_ = ("Q", 20, 8, "Q") if big else ("H", 12, 4, "I")
+    n, first, tags = struct.unpack_from(order + count, data, at)[0], at + struct.calcsize(count), {}
+    for k in range(n):
+        here = first + entry * k
+        tag, kind, many = struct.unpack_from(order + "HH" + long_, data, here)
+        if kind not in _SIZES:
+            continue
+        code, size = _SIZES[kind]
+        value = here + 4 + struct.calcsize(long_)
+        place = value if size * many <= inline else struct.unpack_from(order + long_, data, value)[0]
+        tags[tag] = data[place : place + many] if kind == 2 else struct.unpack_from(f"{order}{many * len(code)}{code[0]}", data, place)
+    return order, tags
 
 
-def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """(values, {origin_x, origin_y, dx, dy, nodata}) of an uncompressed or deflated single-band strip TIFF."""
+def _block(raw: bytes, packed: int, predictor: int, kind: str, order: str, h: int, w: int) -> np.ndarray:
     import zlib
 
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    magic, at = struct.unpack_from(order + "HI", data, 2)
-    if magic != 42:
-        raise ValueError("not a TIFF")
-    tags = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n, _ = struct.unpack_from(order + "HHII", data, at + 2 + 12 * k)
-        code, size = _SIZES[kind]
-        place = at + 10 + 12 * k if size * n <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-        tags[tag] = data[place : place + n] if kind == 2 else struct.unpack_from(f"{order}{n * len(code)}{code[0]}", data, place)
-    w, h, packed = tags[WIDTH][0], tags[HEIGHT][0], tags.get(COMPRESSION, (1,))[0]
-    if packed not in (1, 8, 32946):
-        raise ValueError(f"compression {packed} isn't read")
-    parts = [data[a : a + n] for a, n in zip(tags[STRIPS], tags[STRIP_BYTES], strict=True)]
-    raw = b"".join(p if packed == 1 else zlib.decompress(p) for p in parts)
-    values = np.frombuffer(raw, order + _KINDS[tags.get(FORMAT, (1,))[0], tags[BITS][0]])[: w * h].reshape(h, w)
+    raw = raw if packed == NONE else _unlzw(raw) if packed == LZW else zlib.decompress(raw)
+    size = np.dtype(kind).itemsize
+    h = min(h, len(raw) // (w * size))
+    if predictor == 3:  # bytes of a row, highest first plane by plane, each less the one before
+        rows = np.cumsum(np.frombuffer(raw, np.uint8)[: h * w * size].reshape(h, w * size), axis=1, dtype=np.uint8)
+        return rows.reshape(h, size, w).transpose(0, 2, 1).copy().view(">" + kind).reshape(h, w)
+    values = np.frombuffer(raw, order + kind)[: h * w].reshape(h, w)
+    if predictor == 2:
+        whole = f"u{size}"
+        values = np.cumsum(values.astype(kind).view(whole), axis=1, dtype=whole).view(kind)
+    return values
+
+
+def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
+    """(values, {origin_x, origin_y, dx, dy, nodata}) of a single-band TIFF in strips or tiles: plain, deflated or LZW, with
+    either predictor or none. What else a file may hold raises."""
+    order, tags = _ifd(data)
+    w, h, packed, predictor = tags[WIDTH][0], tags[HEIGHT][0], tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
+    kind = _KINDS.get((tags.get(FORMAT, (1,))[0], tags[BITS][0]))
+    if packed not in (NONE, LZW, DEFLATE, OLD_DEFLATE) or predictor not in (1, 2, 3) or kind is None or tags.get(SAMPLES, (1,))[0] != 1:
+        raise ValueError(f"compression {packed}, predictor {predictor}, {tags.get(SAMPLES, (1,))[0]} bands of {tags[BITS]} bits aren't read")
+    out = np.zeros((h, w), kind)
+    if TILES in tags:
+        tw, th, at, n = tags[TILE_W][0], tags[TILE_H][0], tags[TILES], tags[TILE_BYTES]
+    else:
+        tw, th, at, n = w, tags.get(ROWS_PER_STRIP, (h,))[0], tags[STRIPS], tags[STRIP_BYTES]
+    across = -(-w // tw)
+    for k, (a, size) in enumerate(zip(at, n, strict=True)):
+        r, c = k // across * th, k % across * tw
+        own = _block(data[a : a + size], packed, predictor, kind, order, th if TILES in tags else min(th, h - r), tw)[: h - r, : w - c]
+        out[r : r + own.shape[0], c : c + own.shape[1]] = own
     tie, scale = tags.get(TIE, (0.0,) * 6), tags.get(SCALE, (1.0, 1.0, 0.0))
     nodata = float(tags[NODATA].rstrip(b"\0 ").decode()) if NODATA in tags else None
-    return values, {"origin_x": tie[3] - tie[0] * scale[0], "origin_y": tie[4] + tie[1] * scale[1], "dx": scale[0], "dy": scale[1], "nodata": nodata}
+    return out, {"origin_x": tie[3] - tie[0] * scale[0], "origin_y": tie[4] + tie[1] * scale[1], "dx": scale[0], "dy": scale[1], "nodata": nodata}
 
 
 def encode_tiff(values: np.ndarray, origin_x: float, origin_y: float, dx: float, dy: float, nodata: float | None = None) -> bytes:

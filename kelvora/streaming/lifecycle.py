@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelvora.operators.order import running_sum
+
 LEASE_S, IDLE_S, UP_S, RECENT_S, NEWEST, DELETE_DAYS = 180, 900, 7200, 7200, 8, 30
 
 
@@ -27,12 +29,13 @@ def lease_stream(beats: DataFrame, late: str = "10 minutes", seconds: int = LEAS
 
 
 def other_active(stops: DataFrame, lease: DataFrame) -> DataFrame:
-    """(id, blocked): whether a different client's lease holds at each stop (id, client, ts). Leases are dealt to the hours
-    that they touch, so stops meet those of their hour only."""
-    hour = lambda x: F.floor(F.unix_timestamp(x) / 3600)
-    own = lease.select(F.col("client").alias("other"), "begin", "end").withColumn("hour", F.explode(F.sequence(hour("begin"), hour("end"))))
-    hit = stops.withColumn("hour", hour("ts")).join(own, "hour").where("other != client and begin <= ts and ts < end").select("id").distinct().withColumn("hit", F.lit(True))
-    return stops.join(hit, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("blocked"))
+    """(id, blocked): whether a different client's lease holds at each stop (id, client, ts). Leases that have begun less
+    those that have ended hold at a stop; the client's own is taken off. Stops and leases are never paired."""
+    change = lambda at, n: lease.select(F.lit(None).cast("bigint").alias("id"), "client", F.col(at).alias("at"), F.lit(0).alias("kind"), F.lit(n).alias("n"))
+    asked = stops.select("id", "client", F.col("ts").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("n"))
+    whole = running_sum(change("begin", 1).union(change("end", -1)).union(asked), ["at", "kind"], "n", "all")
+    own = F.sum("n").over(Window.partitionBy("client").orderBy("at", "kind"))
+    return whole.withColumn("own", own).where("kind = 1").select("id", (F.col("all") > F.col("own")).alias("blocked"))
 
 
 def newest_clients(beats: DataFrame, now: Column, keep: int = NEWEST, age_s: int = RECENT_S) -> DataFrame:
@@ -63,10 +66,16 @@ def eta_s(state: Column) -> Column:
     return F.when(state == "ABSENT", 240).when(state == "STOPPED", 60).when(state == "STARTING", 30).when(state == "RUNNING", 0)
 
 
+#: Half of a correction is kept at a run, so that what is left of one this many runs ago is below a double's last digit.
+EMA_RUNS = 64
+
+
 def ema(runs: DataFrame) -> DataFrame:
-    """(client, corr): half the old correction and half the held ratio of actual to predicted time, in order of seq."""
+    """(client, corr): half the old correction and half the held ratio of actual to predicted time, in order of seq. Only a
+    client's last EMA_RUNS runs bear on a double, so no more of them are gathered."""
     hold = lambda x: F.greatest(F.lit(0.2), F.least(F.lit(5.0), x))
-    rows = runs.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("seq", "actual", "predicted"))).alias("r"))
+    last = runs.withColumn("back", F.row_number().over(Window.partitionBy("client").orderBy(F.col("seq").desc()))).where(F.col("back") <= EMA_RUNS)
+    rows = last.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("seq", "actual", "predicted"))).alias("r"))
     return rows.select("client", F.aggregate("r", F.lit(1.0), lambda acc, x: hold(0.5 * acc + 0.5 * hold(x["actual"] / x["predicted"]))).alias("corr"))
 
 
