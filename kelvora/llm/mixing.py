@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelvora.llm.common import table, unused, words_of
+from kelvora.llm.common import materialise, table, unused, words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -55,14 +55,16 @@ NAMES = ("size", "source_size", "target", "copies")
 def plan(docs: DataFrame, names: Sequence[str] = NAMES, **how) -> DataFrame:
     """docs with size, source_size, target and copies, under these names."""
     size, whole, target, copies = names
-    sized = docs.select("*", F.size(words_of("text")).cast("long").alias(size))
+    # The draw is made before the join, so that a caller who asks for no text moves none.
+    drawn = unused(docs, "mixed_draw")
+    sized = docs.select("*", F.size(words_of("text")).cast("long").alias(size), uniform(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).alias(drawn))
     source = unused(sized, "mixed_source")
     told = targets(sized.select("source", F.col(size).alias("size")), **how).select(F.col("source").alias(source), F.col("source_size").alias(whole), F.col("target").alias(target))
-    # A row per source, but hosts have no proven bound: Spark decides on its own whether to broadcast.
-    joined = sized.join(told, F.col("source").eqNullSafe(F.col(source)))
+    # A row per source, but hosts have no proven bound: it is written, so that Spark knows its size and broadcasts it only
+    # below its own limit, without moving a document first.
+    joined = sized.join(materialise(told, "targets"), F.col("source").eqNullSafe(F.col(source)))
     rate = F.when(F.col(whole) > 0, F.col(target) / F.col(whole)).otherwise(F.lit(0.0))
-    drawn = uniform(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    return joined.withColumn(copies, (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")).drop(source)
+    return joined.withColumn(copies, (F.floor(rate) + F.when(F.col(drawn) < rate - F.floor(rate), 1).otherwise(0)).cast("long")).drop(source, drawn)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
