@@ -115,6 +115,30 @@ def mask_coverage(cells: DataFrame, n: int, least: float = 0.5) -> DataFrame:
     return cells.groupBy(F.floor(F.col("r") / n).alias("r"), F.floor(F.col("c") / n).alias("c")).agg((F.avg(F.when(F.col("m"), 0.0).otherwise(1.0)) < least).alias("passable"))
 
 
+def mask_footprint(cells: DataFrame, fine: Grid, rows: int, cols: int, r0: float, c0: float, scale: float, samples: int = 4, least: float = 0.5) -> DataFrame:
+    """(r, c, passable) of a coarse grid of rows x cols cells, each ``scale`` fine cells wide, whose corner lies at (r0, c0) of
+    the fine grid. A cell is closed if at least that share of samples x samples points of its footprint lies on closed
+    cells; points outside the fine grid are open."""
+    spark = cells.sparkSession
+    at = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    coarse = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("r"), F.pmod("id", F.lit(cols)).alias("c"))
+    points = coarse.select("r", "c", at.alias("a")).select("*", at.alias("b"))
+    fr = F.floor(r0 + (F.col("r") + (F.col("a") + 0.5) / samples) * scale)
+    fc = F.floor(c0 + (F.col("c") + (F.col("b") + 0.5) / samples) * scale)
+    inside = (fr >= 0) & (fr < fine.rows) & (fc >= 0) & (fc < fine.cols)
+    held = points.select("r", "c", F.when(inside, fr * fine.cols + fc).alias("i")).join(cells.select("i", "m"), "i", "left")
+    return held.groupBy("r", "c").agg((F.avg(F.when(F.col("m"), 0.0).when(F.col("i").isNotNull() & ~F.coalesce("m", F.lit(False)), 1.0).otherwise(0.0)) < least).alias("passable"))
+
+
+#: Heights are smoothed by so many metres where cells are no larger; an export that says so isn't smoothed again.
+AUTO_SIGMA_M = 10.0
+
+
+def auto_sigma(dx: float, dy: float, tags: dict[str, str] | None = None) -> float:
+    """Metres to smooth heights by, 0 for none."""
+    return 0.0 if "smoothed" in (tags or {}) or max(dx, dy) > AUTO_SIGMA_M else AUTO_SIGMA_M
+
+
 def local_grade(pairs: DataFrame, threshold: float) -> DataFrame:
     """(i, grade, steep) from grid.neighbours."""
     return pairs.groupBy(F.col("u").alias("i")).agg(F.max(F.abs(F.col("hv") - F.col("hu")) / F.col("dist")).alias("grade")).withColumn("steep", F.col("grade") >= threshold)

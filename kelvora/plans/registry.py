@@ -511,6 +511,22 @@ def mask_coverage(spark, d):
     return raster.mask_coverage(cells.withColumn("m", F.col("m") & (F.col("i") % 3 != 0)), 2)
 
 
+@query(V.with_(V.CELL) + """SELECT r, c, avg(shut) < 0.5e0 AS passable FROM (
+  SELECT y.r, x.c, CASE WHEN cell.i IS NOT NULL AND NOT (m AND cell.i % 3 <> 0) THEN 1e0 ELSE 0e0 END AS shut
+  FROM (SELECT unnest(range(0, 20)) AS r) y, (SELECT unnest(range(0, 24)) AS c) x, (SELECT unnest(range(0, 4)) AS a) p, (SELECT unnest(range(0, 4)) AS b) q
+  LEFT JOIN cell ON cell.r = floor(-0.75e0 + (y.r + (a + 0.5e0) / 4) * 2.25e0) AND cell.c = floor(0.5e0 + (x.c + (b + 0.5e0) / 4) * 2.25e0)
+) GROUP BY r, c""")
+def mask_footprint(spark, d):
+    cells, g = V.terrain(spark, d)
+    return raster.mask_footprint(cells.withColumn("m", F.col("m") & (F.col("i") % 3 != 0)), g, 20, 24, -0.75, 0.5, 2.25)
+
+
+@query(_TREE + "SELECT i, round(passes / (SELECT n FROM dim) / (SELECT n FROM dim), 9) AS passes FROM t_pass")
+def passes_displayed(spark, d):
+    cells, g, edge = _edges(spark, d)
+    return density.displayed(search.tree(edge, V.first_seed(cells)).select("i", "passes"), g.rows * g.cols).select("i", F.round("passes", 9).alias("passes"))
+
+
 @query(
     V.with_(V.CELL, "pt AS (SELECT s_suppkey AS p, (s_suppkey * 37) % 41 * 0.125e0 AS r, (s_suppkey * 11) % 390 * 0.125e0 AS c FROM supplier)", "q AS (SELECT p, greatest(0e0, least((SELECT h - 1 FROM dim), r - 0.5e0)) AS r, greatest(0e0, least(49e0, c - 0.5e0)) AS c FROM pt)", "z AS (SELECT p, floor(r)::BIGINT AS r0, floor(c)::BIGINT AS c0, r - floor(r) AS fr, c - floor(c) AS fc FROM q)")
     + """, x AS (SELECT p, q, least(r0 + q // 2, (SELECT h - 1 FROM dim)) * 50 + least(c0 + q % 2, 49) AS i, (CASE WHEN q // 2 = 1 THEN fr ELSE 1 - fr END) * (CASE WHEN q % 2 = 1 THEN fc ELSE 1 - fc END) AS w FROM z, (SELECT unnest([0, 1, 2, 3]) AS q))

@@ -114,6 +114,17 @@ def test_files(spark, tmp_path):
     assert geo.metric(-46.0, -23.0, 0.0003, 0.0003, 0)[1] == pytest.approx(33.1722) and geo.metric(3e5, 7e6, 30.0, 30.0, 9) == (30.0, 30.0)
 
 
+def test_physics_folds_to_coefficients():
+    from kelvora.functions.cost import GRAVITY, derive, flat_speed
+
+    v = flat_speed(100, 80, 0.006, 0.4, 1.2, 0.95)
+    assert (0.006 * 80 * GRAVITY + 0.6 * 0.4 * v * v) * v == pytest.approx(95)
+    plain, smooth = derive(mass=80, crr=0.006, cda=0.4, rho=1.2, keff=0.95, p_flat=100), derive(mass=80, crr=0.006, cda=0.4, rho=1.2, keff=0.95, p_flat=100, k_smooth=0.5)
+    assert (plain.a_roll + plain.a_aero) * 1000 * v == pytest.approx(100)  # on the flat, what is spent is what is held
+    assert smooth.beta == plain.beta / 2 and smooth.ab_ratio == plain.ab_ratio == pytest.approx((plain.a_roll + plain.a_aero) / plain.beta)
+    assert raster.auto_sigma(5, 5) == 10 and raster.auto_sigma(30, 30) == raster.auto_sigma(5, 5, {"smoothed": "10"}) == 0
+
+
 def test_orders(spark):
     rng = random.Random(1)
     rows = [(rng.randint(0, 4), rng.randint(0, 30), rng.randint(1, 9)) for _ in range(500)]
