@@ -54,3 +54,30 @@ def near_components(rows, share=(75, 100)):
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), d), d)
     return [(d, len(sets[i]), least[root(i)], d == least[root(i)]) for i, (d, _) in enumerate(rows)]
+
+
+def quality(rows, docs_least=20, share=0.05, docs_most=1000, left=0.3):
+    """{(doc_id, text, host): (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, text left)} of
+    [(doc_id, text, host)]."""
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    lines = lambda t: [x for x in (t or "").split("\n") if WORD.search(x)]
+    hosts, standing = defaultdict(set), defaultdict(set)
+    for d, t, h in rows:
+        hosts[h].add(d)
+        for x in lines(t):
+            standing[h, norm(x)].add(d)
+    most = {h: max(docs_least, min(docs_most, share * len(own))) for h, own in hosts.items()}
+    out = {}
+    for d, t, h in rows:
+        w, own = WORD.findall(t or ""), lines(t)
+        at = defaultdict(list)
+        for i in range(len(w) - 2):
+            at[tuple(w[i : i + 3])].append(i)
+        repeat = {i + j for x in at.values() if len(x) > 1 for i in x for j in range(3)}
+        failed = len(w) < 50 or 100 * len(repeat) > 50 * len(w)
+        gone = [x for x in own if len(standing[h, norm(x)]) > most[h]]
+        whole = sum(map(len, own))
+        kept = not failed and (not whole or 1 - sum(map(len, gone)) / whole >= left)
+        stays = t if not gone else "\n".join(x for x in t.split("\n") if not (WORD.search(x) and len(standing[h, norm(x)]) > most[h]))
+        out[d, t, h] = (len(w), len("".join(w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(own) - len(set(own)), len(repeat), failed, kept, stays)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import brute_pii
 import duckdb
 import pytest
 
@@ -135,6 +136,15 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 150)}
 
 
+def test_quality_rules_are_the_plain_ones(spark, documents, odd):
+    from kelvora.llm import quality_rules
+
+    rows = documents + odd
+    want = brute.quality([(d, t, s) for d, t, _, s, _ in rows])
+    got = quality_rules.judge(spark.createDataFrame(rows, DOC)).drop("text_hash", "n_lines_removed", "share_left", "frequent", "host").collect()
+    assert sorted(tuple(r) for r in got) == sorted((d, *want[d, t, s][:7]) for d, t, _, s, _ in rows)
+
+
 def test_quality_rules_handle_odd_rows(spark, odd):
     from kelvora.llm import quality_rules
 
@@ -168,7 +178,11 @@ def test_mixing_handles_odd_rows(spark, odd):
 
 
 def test_pipeline(spark, documents):
+    from collections import Counter
+
     import corpus_pipeline
+    from kelvora.llm import mixing
+    from kelvora.llm.tokens import default_path, encoder
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "pii", "mixing", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -178,13 +192,22 @@ def test_pipeline(spark, documents):
         if name != "packing":
             assert out.columns == docs.columns
             seen[name] = out.collect()
+    told = brute.quality([(d, t, s) for d, t, _, s, _ in documents])
+    assert sorted((r.doc_id, r.text) for r in seen["quality_rules"]) == sorted((k[0], v[7]) for k, v in told.items() if v[6])
     rows = [tuple(r)[:2] for r in seen["quality_rules"]]
     want = [x[0] for x in brute.near_components(rows) if x[3]]
     assert sorted(r.doc_id for r in seen["near_duplicates"]) == sorted(want)
-    assert sorted(r.doc_id for r in seen["pii"]) == sorted(want)
+    assert sorted((r.doc_id, r.text) for r in seen["pii"]) == sorted((r.doc_id, brute_pii.pseudonyms(r.text)) for r in seen["near_duplicates"])
     assert {r.doc_id for r in seen["mixing"]} <= set(want)
     pieces = out.collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in seen["mixing"]}
+    encode, copies, held = encoder(default_path()), Counter((r.doc_id, r.text) for r in seen["mixing"]), Counter()
+    size = {k: len(brute.WORD.findall(k[1] or "")) for k in copies}
+    rates = {(r.doc_id, r.text): r for r in mixing.plan(docs.sparkSession.createDataFrame(seen["pii"], docs.schema)).collect()}
+    assert {k: r.copies for k, r in rates.items() if r.copies} == dict(copies) and all(rates[k].size == n for k, n in size.items())
+    for r in pieces:
+        held[r.doc_id] += r.length
+    assert held == sum((Counter({d: k * (len(encode(t)) // 4 + 1)}) for (d, t), k in copies.items()), Counter())
     assert len(corpus_pipeline.run(spark, SF).collect()) == len(pieces)
 
 
