@@ -168,8 +168,15 @@ class UrlTrees:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlTrees:
-    """From (url, blocked 0/1): at most ``rows`` of them, by hash."""
-    sample = labelled.where(F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("int").alias("blocked")).orderBy(F.xxhash64("url"), "url", "blocked").limit(rows).collect()
+    """From (url, blocked 0/1): at most ``rows`` of them, those with the smallest hashes. Hashes that can't be among the
+    smallest are left where they are read, so that what tasks send grows with the sample and not with the table."""
+    own = labelled.where(F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("int").alias("blocked"), F.xxhash64("url").alias("hash"))
+    least = lambda df: df.orderBy("hash", "url", "blocked").limit(rows).collect()
+    n = own.count()
+    near = 2 * rows / max(1, n)
+    sample = least(own.where(F.col("hash") < int(-(2**63) + 2**64 * near))) if near < 1 else least(own)
+    if len(sample) < min(rows, n):  # urls that repeat very often have large hashes
+        sample = least(own)
     return UrlTrees().fit([r["url"] for r in sample], [r["blocked"] for r in sample])
 
 
