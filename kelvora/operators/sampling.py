@@ -111,17 +111,21 @@ def points_to_refs(points: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame
     return held.select("k", "i", F.when(F.col("i").isNull(), "outside").when(F.coalesce("m", F.lit(False)), "kept").otherwise("masked").alias("state"))
 
 
+#: Fixed values of the spread: golden step, edge left free and share used, steps to a passable cell, how many, least spacing.
+GOLDEN, EDGE, MIDDLE, STEP_R, STEP_C, STEPS, SPACING = 0.6180339887, 0.2, 0.6, 7, 13, 400, 1 / 8
+
+
 def spread(cells: DataFrame, grid: Grid, n: int, most: int = 200) -> DataFrame:
-    """(k, i): n places over the middle of the grid by golden-ratio steps, moved to a passable cell by steps of (7, 13), and
-    no two nearer than an eighth of the grid's shorter side. Candidates are a few hundred, whatever the grid's size."""
-    golden, tries = 0.6180339887, 400
-    spots = [(k, t, (int(grid.rows * (0.2 + 0.6 * (k * golden % 1))) + 7 * t) % grid.rows, (int(grid.cols * (0.2 + 0.6 * (k * golden * golden % 1))) + 13 * t) % grid.cols) for k in range(most) for t in range(tries)]
+    """(k, i): n places over the middle of the grid by golden-ratio steps, moved to a passable cell by steps of a few rows and
+    columns, and no two nearer than an eighth of the grid's shorter side. Candidates are a few, whatever the grid's size."""
+    begin = lambda size, share: int(size * (EDGE + MIDDLE * (share % 1)))
+    spots = [(k, t, (begin(grid.rows, k * GOLDEN) + STEP_R * t) % grid.rows, (begin(grid.cols, k * GOLDEN * GOLDEN) + STEP_C * t) % grid.cols) for k in range(most) for t in range(STEPS)]
     spark = cells.sparkSession
     asked = spark.createDataFrame([(k, t, r * grid.cols + c) for k, t, r, c in spots], "k int, t int, i bigint")
     open_ = asked.join(cells.where("m").select("i"), "i", "left_semi").groupBy("k").agg(F.min(F.struct("t", "i"))["i"].alias("i")).orderBy("k").collect()
     kept: list[tuple[int, int]] = []
     for row in open_:
-        if len(kept) < n and all(math.hypot(x // grid.cols - row["i"] // grid.cols, x % grid.cols - row["i"] % grid.cols) >= min(grid.rows, grid.cols) / 8 for _, x in kept):
+        if len(kept) < n and all(math.hypot(x // grid.cols - row["i"] // grid.cols, x % grid.cols - row["i"] % grid.cols) >= min(grid.rows, grid.cols) * SPACING for _, x in kept):
             kept.append((len(kept), row["i"]))
     return spark.createDataFrame(kept, "k bigint, i bigint")
 

@@ -57,7 +57,9 @@ def _settled(df: DataFrame, label: str, *keys: str) -> DataFrame:
     spark, name = df.sparkSession, f"kelvora_{label}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{_shared(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name; the files stay
+    return out
 
 
 def frontier(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0) -> DataFrame:
