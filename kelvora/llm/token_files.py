@@ -37,7 +37,7 @@ END_ID = 2
 SHARD_IDS = 1 << 20
 BLOCK = 512
 #: Token parts that a worker keeps, some 150 bytes each.
-PARTS = 800_000
+PARTS = 1_200_000
 _HEAD, _PLANE = struct.Struct("<4sQI"), struct.Struct("<QII")
 
 

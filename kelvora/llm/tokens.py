@@ -9,9 +9,11 @@ the cache has room.
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
 
-#: Parts kept per worker; the older half of the uses is dropped beyond that. Longer parts aren't kept.
+#: Parts kept per worker, in two generations: a part that is used again moves to the younger, and when that is half of all,
+#: the elder goes. Longer parts aren't kept.
 CACHE_PARTS = 200_000
 LONGEST_PART = 24
 MARKS = frozenset(".,;:!?")
@@ -30,37 +32,51 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Parts(dict):
     """Little-endian 32-bit ids of prefix + part, as bytes."""
 
     def __init__(self, tokenizer, prefix: str, most: int):
         super().__init__()
-        self.most = most
-        self.tokenizer, self.model, self.prefix, self.marks = tokenizer, tokenizer.model, prefix, {}
+        self.half, self.elder = max(1, most // 2), {}
+        self.tokenizer, self.model, self.prefix = tokenizer, tokenizer.model, prefix
+        self.marks = {c: self.ids(c) for c in (*MARKS, "\n")}
 
     def __missing__(self, part: str) -> bytes:
-        if part[-1:] in MARKS and part[-2:-1].isalpha():
-            return self[part[:-1]] + self.mark(part[-1])
-        out = self.ids(self.prefix + part)
+        mark = self.marks.get(part[-1:])
+        if mark is not None and part[-2:-1].isalpha():
+            known = self.get(part[:-1])
+            if known is None:  # a word that is new with its mark is kept without it
+                return self[part[:-1]] + mark
+            out = known + mark
+        else:
+            out = self.elder.get(part)
+            if out is None:
+                out = self.ids(self.prefix + part)
         if len(part) <= LONGEST_PART:
-            if len(self) >= self.most:
-                for key in list(self)[: self.most // 2]:
-                    del self[key]
+            if len(self) >= self.half:
+                self.elder = dict(self)
+                self.clear()
             self[part] = out
         return out
 
     def ids(self, text: str) -> bytes:
         """Letters alone, with a space before them or not, are one pre-token: the library's model takes it as it is."""
-        if text[text[:1] == " " :].isalpha():
-            found = [t.id for t in self.model.tokenize("".join([_AS_CHAR[b] for b in text.encode()]))]
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def mark(self, char: str) -> bytes:
-        if char not in self.marks:
-            self.marks[char] = self.ids(char)
-        return self.marks[char]
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha():
+            if body.isascii():
+                own = body if body is text else _AS_CHAR[32] + body
+            else:
+                own = "".join([_AS_CHAR[b] for b in text.encode()])
+            return _packed([t.id for t in self.model.tokenize(own)])
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 class Encoder:
@@ -78,7 +94,7 @@ class Encoder:
             return b""
         if _SPACED.search(text):
             return b"".join(map(self.first.__getitem__, _CUT.split(text)))
-        out, feed, first, later = [], self.first.mark("\n"), self.first, self.later.__getitem__
+        out, feed, first, later = [], self.first.marks["\n"], self.first, self.later.__getitem__
         for line in text.split("\n"):
             head, *rest = line.split(" ")
             out.append((first[head] if head else b"") + b"".join(map(later, rest)))
