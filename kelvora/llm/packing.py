@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from kelvora.llm.common import materialise, table
 from kelvora.llm.shingles import trimmed
-from kelvora.llm.tokens import default_path, encoder
+from kelvora.llm.tokens import CACHE_PARTS, default_path, encoder
 
 SIZE = 2048
 END_ID = 0
 BLOCK_ROWS = 4096
+#: Token parts that a worker keeps where it does nothing else, some 150 bytes each.
+PARTS = 600_000
 
 
 def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -70,13 +72,25 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
     return plan
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): whole texts, encoded where they are read."""
+def narrow(ids: bytes) -> bytes:
+    """Little-endian 32-bit ids as 16-bit ones where all of them fit: half of what is written and moved."""
+    own = np.frombuffer(ids, "<u4")
+    return own.astype("<u2").tobytes() if len(own) and int(own.max()) < 1 << 16 else ids
+
+
+def wide(ids: pa.Array, lengths: np.ndarray) -> pa.Array:
+    """What narrow was given."""
+    return pa.array([b if len(b) == 4 * n else np.frombuffer(b, "<u2").astype("<u4").tobytes() for b, n in zip(ids.to_pylist(), lengths.tolist(), strict=True)], pa.binary())
+
+
+def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False, parts: int = CACHE_PARTS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): whole texts, encoded where they are read. ids are as ``narrow`` has
+    them, which is what is stored and moved; ``slots`` gives them back as 32-bit numbers."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, parts), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -85,7 +99,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, w
                 at = [0, *range(n % size or size, n, size), n]
                 for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                     own = ids[4 * a : 4 * b]
-                    rows.append((doc_id.as_py(), k, a, b - a, zlib.crc32(own), own)[: len(names)])
+                    rows.append((doc_id.as_py(), k, a, b - a, zlib.crc32(own), narrow(own) if with_ids else None)[: len(names)])
                 if len(rows) >= 20_000:
                     yield _batch(rows, names)
                     rows = []
@@ -110,7 +124,8 @@ def ranked(cut: DataFrame, n_rows: int) -> DataFrame:
 
 
 def slots(df: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """df (with length and rank) and its sequence_id and offset. The plan's size hangs on ``size``, not on the data."""
+    """df (with length and rank, and ids if it has them) and its sequence_id and offset. The plan's size hangs on ``size``,
+    not on the data."""
     lines = np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,18 +135,22 @@ def slots(df: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFram
             k = np.searchsorted(keys, length << 44 | rank, side="right") - 1
             added = {"sequence_id": lines[k, 3] + rank - lines[k, 1], "offset": lines[k, 4]}
             kept = [i for i, x in enumerate(batch.schema.names) if x != "rank"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(x, pa.int64()) for x in added.values()], [batch.schema.names[i] for i in kept] + list(added))
+            for at in range(0, batch.num_rows, 2000):
+                part = slice(at, at + 2000)
+                own = [batch.column(i).slice(at, 2000) for i in kept]
+                own = [wide(x, length[part]) if batch.schema.names[i] == "ids" else x for i, x in zip(kept, own, strict=True)]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(x[part], pa.int64()) for x in added.values()], [batch.schema.names[i] for i in kept] + list(added))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "rank")
     return df.mapInArrow(trimmed(take), f"{fields}, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False, parts: int = CACHE_PARTS) -> DataFrame:
     """A row per piece with its sequence and place; with_ids also carries its ids."""
-    cut = materialise(pieces(docs, path or default_path(), size, end_id, with_ids), "pieces")
+    cut = materialise(pieces(docs, path or default_path(), size, end_id, with_ids, parts), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     return slots(ranked(cut, sum(counts.values())), best_fit(counts, size))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(table(spark, sf_dir, "documents"), parts=PARTS).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
