@@ -481,16 +481,16 @@ def _smooth_sql(sigma: float) -> tuple[str, ...]:
     return ("g0 AS (SELECT i, r, c, h FROM cell WHERE m)", _gauss_sql(sigma, "g0", "g1", "c", "r", 30.0), _gauss_sql(sigma, "g1", "g2", "r", "c", 30.0))
 
 
-@query(V.with_(V.CELL, *_smooth_sql(25.0)) + "SELECT i, round(h, 2) AS h FROM g2")
+@query(V.with_(V.CELL, *_smooth_sql(25.0)) + "SELECT i, round(h, 6) AS h FROM g2")
 def gaussian_smooth(spark, d):
     cells, g = V.terrain(spark, d)
-    return raster.gaussian_smooth(cells, g, 25.0).select("i", F.round(F.col("h").cast("double"), 2).alias("h"))
+    return raster.gaussian_smooth(cells, g, 25.0).select("i", F.round(F.col("h").cast("double"), 6).alias("h"))
 
 
-@query(V.with_(V.CELL, *_smooth_sql(30.0)) + "SELECT i, round(h, 2) AS h FROM g2 WHERE r % 2 = 0 AND c % 2 = 0")
+@query(V.with_(V.CELL, *_smooth_sql(30.0)) + "SELECT i, round(h, 6) AS h FROM g2 WHERE r % 2 = 0 AND c % 2 = 0")
 def decimate(spark, d):
     cells, g = V.terrain(spark, d)
-    return raster.decimate(cells, g, 2).select("i", F.round(F.col("h").cast("double"), 2).alias("h"))
+    return raster.decimate(cells, g, 2).select("i", F.round(F.col("h").cast("double"), 6).alias("h"))
 
 
 @query(V.with_(V.CELL) + "SELECT r // 3 AS r, c // 3 AS c, round(avg(h), 6) AS h, count(*) AS n FROM cell WHERE m GROUP BY 1, 2")
@@ -698,15 +698,15 @@ def graph_edges(spark, d):
 _GRAPH = (*_SEG, _CROSS, _TEE, _PLANAR, _NETPROF)
 
 
-@query(V.with_(*_GRAPH) + "SELECT a, b, round(len_m, 4) AS len_m, round(ab, 4) AS ab, round(ba, 4) AS ba FROM nct")
+@query(V.with_(*_GRAPH) + "SELECT a, b, round(len_m, 6) AS len_m, round(ab, 6) AS ab, round(ba, 6) AS ba FROM nct")
 def directed_edge_costs(spark, d):
-    return _costs(spark, d)[3].select("a", "b", *[F.round(c, 4).alias(c) for c in ("len_m", "ab", "ba")])
+    return _costs(spark, d)[3].select("a", "b", *[F.round(c, 6).alias(c) for c in ("len_m", "ab", "ba")])
 
 
-@query(V.with_(*_GRAPH, V.field_sql("f", "nseed", "nhe")) + "SELECT n AS i, round(dist, 4) AS e FROM f")
+@query(V.with_(*_GRAPH, V.field_sql("f", "nseed", "nhe")) + "SELECT n AS i, round(dist, 6) AS e FROM f")
 def graph_field(spark, d):
     *_, half, seed = _costs(spark, d)
-    return search.field(half, seed).select("i", F.round("e", 4).alias("e"))
+    return search.field(half, seed).select("i", F.round("e", 6).alias("e"))
 
 
 @query(V.with_(*_GRAPH, V.field_sql("f", "nseed", "nhe")) + "SELECT nct.a, nct.b, round(coalesce((x.dist + y.dist) / 2, x.dist, y.dist), 4) AS e FROM nct LEFT JOIN f x ON x.n = nct.a LEFT JOIN f y ON y.n = nct.b WHERE x.n IS NOT NULL OR y.n IS NOT NULL")
