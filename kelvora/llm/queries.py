@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelvora.llm import mixing, near_dup, packing, pii, quality_rules, suffix_dedup, token_files, topk, url_filter, warc
+from kelvora.llm import fill_middle, html_text, importance, mixing, near_dup, packing, pii, quality_rules, suffix_dedup, token_files, topk, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.query,
         "op9_near_dup": near_dup.query,
         "op10_warc": warc.query,
+        "op11_html_text": html_text.query,
+        "op12_fill_middle": fill_middle.query,
+        "op13_importance": importance.query,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_topk": topk.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
         "op10_warc": warc.ORACLE,
+        "op12_fill_middle": fill_middle.ORACLE,
+        "op13_importance": importance.ORACLE,
     }
