@@ -53,7 +53,9 @@ PATTERN = "|".join(
         r"(?<![\w\-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?![\w\-])",
     )
 )
-_CALENDAR_DAYS = 73_049  # 1900-01-01 to 2099-12-31, 319 * 229
+#: The days from 1900-01-01 to 2099-12-31 are the product of these, so that a day moves to one of them.
+_DATE_FACTORS = (17, 4297)
+_CALENDAR_DAYS = 73_049
 
 
 def _moved(own: Column, other: Column, m: int, i: Column, tweak: str, key: str) -> Column:
@@ -183,7 +185,7 @@ def date(m: Column, key: str) -> Column:
     for like, form in DATES:
         parsed = F.try_to_timestamp(m, F.lit(form)).cast("date")
         number = F.date_diff(parsed, F.lit("1900-01-01").cast("date")).cast("long")
-        moved = F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), feistel(number, 319, 229, "date", key).cast("int")), form)
+        moved = F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), feistel(number, *_DATE_FACTORS, "date", key).cast("int")), form)
         out = F.when(m.rlike(like), F.when(parsed.isNull() | (number < 0) | (number >= _CALENDAR_DAYS), m).otherwise(moved)).otherwise(out)
     return out
 

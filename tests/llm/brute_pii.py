@@ -103,8 +103,8 @@ def day(m: str) -> str:
         n = (date(y, mo, d) - date(1900, 1, 1)).days
     except ValueError:
         return m
-    x, z = feistel(n // 229, n % 229, 319, 229, "date")
-    return (date(1900, 1, 1) + timedelta(days=x * 229 + z)).strftime(form)
+    x, z = feistel(n // 4297, n % 4297, 17, 4297, "date")
+    return (date(1900, 1, 1) + timedelta(days=x * 4297 + z)).strftime(form)
 
 
 def iban(m: str) -> str:

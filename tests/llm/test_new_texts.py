@@ -295,3 +295,25 @@ def test_importance_of_no_rows_and_samples(spark):
     assert told.count() == docs.count() and drawn == n // 10
     sampled = importance.sample(docs, target, percent=50)
     assert sampled.columns == docs.columns and sampled.count() == importance.resample(docs, target, percent=50).where("rank is not null").count()
+
+
+# ---- mended cases
+
+def test_every_day_moves_to_a_day(spark):
+    """Of the calendar itself: the pseudonyms of all days from 1900 to 2099 are all these days."""
+    from datetime import date, timedelta
+
+    from kelvora.llm import pii
+
+    days = [(date(1900, 1, 1) + timedelta(days=k)).isoformat() for k in range((date(2100, 1, 1) - date(1900, 1, 1)).days)]
+    got = [r.x for r in spark.createDataFrame([(d,) for d in days], "d string").select(pii.date(F.col("d"), "key").alias("x")).collect()]
+    assert sorted(got) == days and got != days
+
+
+def test_scores_of_weights_beyond_64_bits(spark):
+    from kelvora.llm import topk
+
+    rows = [(100, [1e16, 1e16, 0.0]), (1, [1e16, -1e16, 0.001]), (2, [1e16, -1e16, -0.001]), (3, [1e-3, 1e-3, 5.0]), (4, [1e306, 0.0, 0.0]), (5, [-1e30, 1e30, 7.0])]
+    whole = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r.vec_id: r.score for r in topk.search(whole.where("vec_id = 100"), whole).collect()}
+    assert got == {1: 0, 2: 0, 3: 2**63 - 1 if 2 * int(1.024e19) > 2**63 - 1 else 2 * int(1.024e19), 5: 0}
