@@ -1,12 +1,13 @@
 """Least-cost fields from many seeds.
 
-Two strategies give the same numbers: weights are not negative and float addition is monotone, so either returns the
+Three strategies give the same numbers: weights are not negative and float addition is monotone, so either returns the
 least left-to-right sum over all paths.
 
 * ``frontier``: all seeds relax in one DataFrame. What is settled stays where it lies, by (seed, node); a round moves only
   the nodes that have changed and their edges. Needs no edge list in one place; its rounds are the longest chain of hops.
 * ``kernel``: seeds are dealt to tasks that each hold the edges as arrays, and relax them a front at a time. Taken only
   when counting shows at most ``KERNEL_EDGES`` edges, which bounds what is broadcast.
+* ``tiles.field``: beyond that, and where a tiling of the nodes is named; its rounds are the longest chain of tiles.
 """
 
 from __future__ import annotations
@@ -91,6 +92,14 @@ class Arrays:
         self.source, self.target, self.weight = a[order], b[order], w[order]
         self.head = np.searchsorted(self.source, np.arange(len(self.ids) + 1))
 
+    @classmethod
+    def of(cls, ids: np.ndarray, head: np.ndarray, target: np.ndarray, weight: np.ndarray) -> Arrays:
+        """As they were kept."""
+        out = cls.__new__(cls)
+        out.ids, out.head, out.target, out.weight = ids, head, target, weight
+        out.source = np.repeat(np.arange(len(ids)), np.diff(head))
+        return out
+
     def number(self, node: int) -> int | None:
         at = int(np.searchsorted(self.ids, node))
         return at if at < len(self.ids) and self.ids[at] == node else None
@@ -105,8 +114,13 @@ class Arrays:
         and a lower bound of what is left to it from each node, only nodes that can lie on a cheapest way are gone on with."""
         best = np.full(len(self.ids), np.inf)
         best[at] = 0.0
+        self.spread(best, np.array([at]), e_max, lower, goal)
+        nodes = np.flatnonzero(best < np.inf)
+        return nodes, best[nodes]
+
+    def spread(self, best: np.ndarray, front: np.ndarray, e_max: float = 0.0, lower: np.ndarray | None = None, goal: int | None = None) -> None:
+        """Costs (best, by number) made least by way of a front, in place."""
         width = float(np.mean(self.weight)) * 4 if len(self.weight) else 0.0
-        front = np.array([at])
         while len(front):
             e = best[front]
             if lower is not None:
@@ -125,8 +139,6 @@ class Arrays:
             target = target[fine]
             np.minimum.at(best, target, offer[fine])
             front = np.unique(np.concatenate([target, later]))
-        nodes = np.flatnonzero(best < np.inf)
-        return nodes, best[nodes]
 
     def parents(self, nodes: np.ndarray, e: np.ndarray, at: int) -> np.ndarray:
         """The node through which each is cheapest, by number, ties to the smaller id; -1 for the seed."""
@@ -204,20 +216,29 @@ def kernel(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0, with_tree: boo
     return seeds.select("k", "i").distinct().repartition(some, "k").mapInPandas(run, TREE if with_tree else FIELD)
 
 
-def field(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0) -> DataFrame:
-    """(k, i, e); absent rows are out of reach. Edges are made once, and counted in the table they are written to."""
+def _large(held: DataFrame, seeds: DataFrame, e_max: float, tiling) -> DataFrame:
+    if tiling is None:
+        return frontier(held, seeds, e_max)
+    from kelvora.operators import tiles
+
+    return tiles.field(held, seeds, tiling, e_max)
+
+
+def field(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0, tiling=None) -> DataFrame:
+    """(k, i, e); absent rows are out of reach. Edges are made once, and counted in the table they are written to. A tiling
+    (``tiles.Tiling``) tells which nodes lie together."""
     held = written(edge.select("u", "v", "w"), "edges")
-    return kernel(held, seeds, e_max) if fits_kernel(held) else frontier(held, seeds, e_max)
+    return kernel(held, seeds, e_max) if fits_kernel(held) else _large(held, seeds, e_max, tiling)
 
 
-def tree(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0) -> DataFrame:
+def tree(edge: DataFrame, seeds: DataFrame, e_max: float = 0.0, tiling=None) -> DataFrame:
     """TREE of each seed, by arrays or by joins."""
     held = written(edge.select("u", "v", "w"), "edges")
     if fits_kernel(held):
         return kernel(held, seeds, e_max, with_tree=True)
     from kelvora.operators.tree import tree_of
 
-    return tree_of(held, frontier(held, seeds, e_max), seeds)
+    return tree_of(held, written(_large(held, seeds, e_max, tiling), "field"), seeds)
 
 
 def best_route(edge: DataFrame, bound: DataFrame, seed: int, goal: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvora.functions.cost import DEFAULT, max_edge_cost
-from kelvora.operators import density, grid, network, profile, raster, routes, runs, sampling, search, tree
+from kelvora.operators import density, grid, network, profile, raster, routes, runs, sampling, search, tiles, tree
 from kelvora.plans import views as V
 from kelvora.sources import geo
 from kelvora.streaming import lifecycle
@@ -178,6 +178,20 @@ def field_frontier(spark, d):
     return search.frontier(edge, V.first_seed(cells), E_LEG).select("i", r6("e", "e"))
 
 
+@query(V.with_(*_BASE, V.field_sql("f", "seed")) + "SELECT n AS i, round(dist, 6) AS e FROM f")
+def field_tiled(spark, d):
+    """The plan for one very large grid, in tiles of 32 by 32."""
+    cells, g, edge = _edges(spark, d)
+    return tiles.field(edge, V.first_seed(cells), tiles.grid_tiling(g, 32)).select("i", r6("e", "e"))
+
+
+@query(V.with_(V.CELL, V.REF, V.edges_sql(16), V.field_sql("f", "ref", e_max=E_LEG)) + "SELECT k, n AS i, round(dist, 6) AS e FROM f")
+def field_tiled_many(spark, d):
+    """All references at once, under a budget and over long moves that cross more than a tile's rim."""
+    cells, g, edge = _edges(spark, d, 16)
+    return tiles.field(edge, V.refs(spark, d, cells, g), tiles.grid_tiling(g, 32), E_LEG).select("k", "i", r6("e", "e"))
+
+
 @query(V.with_(V.CELL, V.SEED, V.edges_sql(4), V.field_sql("f", "seed")) + "SELECT n AS i, round(dist, 6) AS e FROM f")
 def field_moves4(spark, d):
     cells, _, edge = _edges(spark, d, 4)
