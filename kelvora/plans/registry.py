@@ -1004,6 +1004,25 @@ def ema_correction(spark, d):
     return lifecycle.ema(runs).select("client", r6("corr", "corr"))
 
 
+@query("""WITH RECURSIVE ev AS MATERIALIZED (
+  SELECT user_id AS m, epoch_us(ts)::BIGINT AS at FROM events
+), gap AS (
+  SELECT m, at, CASE WHEN lead(at) OVER (PARTITION BY m ORDER BY at) <= at + 900000000 THEN NULL ELSE at END AS last FROM ev
+), se AS MATERIALIZED (
+  SELECT m, at, min(last) OVER (PARTITION BY m ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM gap
+), run(m, boot, ending, up) AS (
+  SELECT s.m, s.at, least(s.at + 7200000000, s.last + 900000000), s.at + 7200000000 <= s.last + 900000000 FROM se s JOIN (SELECT m, min(at) AS at FROM ev GROUP BY m) f ON f.m = s.m AND f.at = s.at
+  UNION
+  SELECT m, at, least(at + 7200000000, last + 900000000), at + 7200000000 <= last + 900000000 FROM (
+    SELECT s.m, min(s.at) AS at, min(s.last) AS last FROM run r JOIN se s ON s.m = r.m AND s.at > r.ending GROUP BY s.m, r.boot
+  )
+)
+SELECT m AS machine, boot AS boot_us, ending AS at_us, CASE WHEN up THEN 'stop-uptime' ELSE 'stop-idle' END AS action FROM run WHERE ending < (SELECT max(at) FROM ev)""")
+def watchdog_stops(spark, d):
+    beats = V.table(spark, d, "events").select(F.col("user_id").alias("machine"), F.col("ts").cast("timestamp").alias("ts"))
+    return lifecycle.watchdog_stops(beats, beats.agg(F.max(F.unix_micros("ts"))).first()[0])
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' THEN 'not-stopped' WHEN (epoch(TIMESTAMP '1998-08-01') - floor(epoch(o_orderdate))) / 86400 > 30 THEN 'delete' ELSE 'too-young' END AS state FROM orders")
 def reaper_state(spark, d):
     state = F.when(F.col("o_orderstatus") == "F", "STOPPED").otherwise("RUNNING")

@@ -56,6 +56,39 @@ def watchdog(idle_s: Column, up_s: Column) -> Column:
     return F.when(up_s > UP_S, "stop-uptime").when(idle_s.isNull(), "busy").when(idle_s > IDLE_S, "stop-idle").otherwise("keep")
 
 
+def run_end(boot: int, last: int) -> tuple[int, str]:
+    """When a machine is stopped, in microseconds, that runs since boot and was last heard at last: the ceiling of its uptime
+    comes first where both are due at once."""
+    up, idle = boot + UP_S * 1_000_000, last + IDLE_S * 1_000_000
+    return (up, "stop-uptime") if up <= idle else (idle, "stop-idle")
+
+
+def watchdog_stops(beats: DataFrame, until: int) -> DataFrame:
+    """(machine, boot_us, at_us, action): a machine's runs over keepalives (machine, ts), each from its first keepalive until
+    it was idle or up for too long, as far as time has gone past that (until, in microseconds). Keepalives are folded in order
+    as they stream through a task, so a machine with very many is held no more than one with few."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, own = None, None
+        for batch in batches:
+            out = []
+            for machine, at in zip(batch["machine"], batch["at"], strict=True):
+                if machine != own:
+                    if run is not None and run_end(*run)[0] < until:
+                        out.append((own, run[0], *run_end(*run)))
+                    run, own = None, machine
+                if run is not None and run_end(*run)[0] < at:
+                    out.append((own, run[0], *run_end(*run)))
+                    run = None
+                run = (at, at) if run is None else (run[0], at)
+            yield pd.DataFrame(out, columns=["machine", "boot_us", "at_us", "action"])
+        if run is not None and run_end(*run)[0] < until:
+            yield pd.DataFrame([(own, run[0], *run_end(*run))], columns=["machine", "boot_us", "at_us", "action"])
+
+    own = beats.select("machine", F.unix_micros("ts").alias("at")).where(F.col("at") <= until).repartition("machine").sortWithinPartitions("machine", "at")
+    return own.mapInPandas(fold, "machine bigint, boot_us bigint, at_us bigint, action string")
+
+
 def reaper(state: Column, stopped: Column, now: Column) -> Column:
     days = (F.unix_timestamp(now) - F.unix_timestamp(stopped)) / 86400
     return F.when(state != "STOPPED", "not-stopped").when(stopped.isNull(), "unknown-age").when(days > DELETE_DAYS, "delete").otherwise("too-young")
