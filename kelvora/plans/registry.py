@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from kelvora.functions.cost import DEFAULT, max_edge_cost
 from kelvora.operators import density, grid, network, profile, raster, routes, runs, sampling, search, tiles, tree
 from kelvora.plans import views as V
-from kelvora.sources import geo
+from kelvora.sources import geo, tiff
 from kelvora.streaming import lifecycle
 
 E_LEG, E_TOTAL = 6.0, 9.0
@@ -1005,24 +1006,32 @@ def ema_correction(spark, d):
 
 
 @query("""WITH RECURSIVE ev AS MATERIALIZED (
-  SELECT user_id AS m, epoch_us(ts)::BIGINT AS at FROM events
+  SELECT user_id AS m, epoch_us(ts)::BIGINT AS t FROM events
 ), gap AS (
-  SELECT m, at, CASE WHEN lead(at) OVER (PARTITION BY m ORDER BY at) <= at + 900000000 THEN NULL ELSE at END AS last FROM ev
+  SELECT m, t, CASE WHEN lead(t) OVER (PARTITION BY m ORDER BY t) <= t + 900000000 THEN NULL ELSE t END AS last FROM ev
 ), se AS MATERIALIZED (
-  SELECT m, at, min(last) OVER (PARTITION BY m ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM gap
+  SELECT m, t, min(last) OVER (PARTITION BY m ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM gap
 ), run(m, boot, ending, up) AS (
-  SELECT s.m, s.at, least(s.at + 7200000000, s.last + 900000000), s.at + 7200000000 <= s.last + 900000000 FROM se s JOIN (SELECT m, min(at) AS at FROM ev GROUP BY m) f ON f.m = s.m AND f.at = s.at
+  SELECT s.m, s.t, least(s.t + 7200000000, s.last + 900000000), s.t + 7200000000 <= s.last + 900000000 FROM se s JOIN (SELECT m, min(t) AS t FROM ev GROUP BY m) f ON f.m = s.m AND f.t = s.t
   UNION
-  SELECT m, at, least(at + 7200000000, last + 900000000), at + 7200000000 <= last + 900000000 FROM (
-    SELECT s.m, min(s.at) AS at, min(s.last) AS last FROM run r JOIN se s ON s.m = r.m AND s.at > r.ending GROUP BY s.m, r.boot
+  SELECT m, t, least(t + 7200000000, last + 900000000), t + 7200000000 <= last + 900000000 FROM (
+    SELECT s.m, min(s.t) AS t, min(s.last) AS last FROM run r JOIN se s ON s.m = r.m AND s.t > r.ending GROUP BY s.m, r.boot
   )
 )
-SELECT m AS machine, boot AS boot_us, ending AS at_us, CASE WHEN up THEN 'stop-uptime' ELSE 'stop-idle' END AS action FROM run WHERE ending < (SELECT max(at) FROM ev)""")
+SELECT m AS machine, boot AS boot_us, ending AS at_us, CASE WHEN up THEN 'stop-uptime' ELSE 'stop-idle' END AS action FROM run WHERE ending < (SELECT max(t) FROM ev)""")
 def watchdog_stops(spark, d):
     beats = V.table(spark, d, "events").select(F.col("user_id").alias("machine"), F.col("ts").cast("timestamp").alias("ts"))
     return lifecycle.watchdog_stops(beats, beats.agg(F.max(F.unix_micros("ts"))).first()[0])
 
 
+@query(V.with_(V.CELL) + "SELECT i, r::BIGINT AS r, c::BIGINT AS c, round(h, 6) AS h FROM cell WHERE m AND r >= 3 AND c >= 5 AND c < 41")
+def geotiff_box(spark, d):
+    """The terrain written as one tiled GeoTIFF, and a box of it read back: rows from 3 on, columns 5 to 40."""
+    cells, g = V.terrain(spark, d)
+    path = tiff.write(cells.where("m"), f"{search._shared(spark).removeprefix('file://')}/terrain-{uuid.uuid4().hex}.tif", g.rows, g.cols, nodata=-9999.0, tile=32)
+    return tiff.read(spark, path, (3, g.rows), (5, 41)).where("m").select("i", "r", "c", r6("h", "h"))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' THEN 'not-stopped' WHEN (epoch(TIMESTAMP '1998-08-01') - floor(epoch(o_orderdate))) / 86400 > 30 THEN 'delete' ELSE 'too-young' END AS state FROM orders")
 def reaper_state(spark, d):
     state = F.when(F.col("o_orderstatus") == "F", "STOPPED").otherwise("RUNNING")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -96,6 +95,9 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
     across = -(-w // tw)
     for k, (a, size) in enumerate(zip(at, n, strict=True)):
         r, c = k // across * th, k % across * tw
+        if not size:  # a tile that isn't there
+            out[r : r + th, c : c + tw] = float(tags[NODATA].rstrip(b"\0 ").decode()) if NODATA in tags else 0
+            continue
         own = _block(data[a : a + size], packed, predictor, kind, order, th if TILES in tags else min(th, h - r), tw)[: h - r, : w - c]
         out[r : r + own.shape[0], c : c + own.shape[1]] = own
     tie, scale = tags.get(TIE, (0.0,) * 6), tags.get(SCALE, (1.0, 1.0, 0.0))
@@ -228,11 +230,8 @@ def read_message(data: bytes) -> tuple[dict, list[np.ndarray]]:
 
 
 def raster_grid(cells: DataFrame, path: str, rows: int, cols: int, value: str, **geo: float) -> str:
-    """A field of at most one file's size as GeoTIFF, on the driver; beyond 2**28 cells use Parquet."""
-    if rows * cols > 1 << 28:
-        raise ValueError("too large for one file")
-    out = np.full(rows * cols, np.nan, np.float32)
-    for r in cells.select("i", value).toLocalIterator():
-        out[r[0]] = r[1]
-    Path(path).write_bytes(encode_tiff(out.reshape(rows, cols), **geo))
-    return path
+    """A field (i, value) as one GeoTIFF, written by tasks."""
+    from kelvora.sources import tiff
+
+    own = cells.select(F.floor(F.col("i") / cols).alias("r"), F.pmod("i", F.lit(cols)).alias("c"), value)
+    return tiff.write(own, path, rows, cols, value, **geo)
