@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kelvora.functions.cost import Cost, edge_cost
 from kelvora.operators import raster
+from kelvora.operators.components import components
 from kelvora.operators.grid import Grid
 from kelvora.operators.search import written
 
@@ -138,6 +139,8 @@ def planarize(vertices: DataFrame, rules: Rules = Rules(), meta: DataFrame | Non
     by = Window.partitionBy("s").orderBy("t", "r", "c")
     parts = at.select("s", "line", "t", "r", "c", "arc", *[F.lead(x).over(by).alias(f"{x}2") for x in ("t", "r", "c", "arc")]).where(F.col("t2").isNotNull() & (F.col("t2") - F.col("t") >= rules.eps))
     parts = parts.select("s", "line", "t", "r", "c", "arc", "r2", "c2", "arc2", node_key(F.col("r"), F.col("c"), rules.snap_tol).alias("a"), node_key(F.col("r2"), F.col("c2"), rules.snap_tol).alias("b"))
+    # Nodes and edges both come from the parts, so crossings and junctions are found once.
+    parts = written(parts, "parts")
     seen = parts.select(F.col("a").alias("n"), F.struct("s", "t", F.lit(0).alias("end"), "r", "c").alias("x")).union(parts.select(F.col("b").alias("n"), F.struct("s", "t", F.lit(1).alias("end"), F.col("r2").alias("r"), F.col("c2").alias("c"))))
     nodes = seen.groupBy("n").agg(F.min("x").alias("x")).select("n", F.col("x.r").alias("r"), F.col("x.c").alias("c"))
     first = parts.where("a != b").groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min(F.struct("s", "t", "a", "b", "arc", "arc2", "line")).alias("x"))
@@ -328,39 +331,38 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float = 4.0) -> DataFrame
 def chained_decks(vertices: DataFrame, meta: DataFrame, decks: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """deck_lines with simple chains of decks on one layer made one deck: (line, h0, h1, total).
 
-    Decks that share an end are linked; a group in which every end is shared by at most two and exactly two ends are free
-    is a chain. Its members are walked from its smaller free end, and each takes its part of the straight line."""
+    Decks that share an end are linked; a group of linked decks in which no end is shared by more than two and two are free is
+    a chain. Only chains are walked, each by itself, from the smaller free end; every deck takes its part of the straight
+    line. All other decks stay as they are, however many are linked."""
     ends = vertices.join(meta.where("deck").select("line", F.coalesce("layer", F.lit(0)).alias("layer")), "line").groupBy("line", "layer").agg(F.min(F.struct("seq", "r", "c")).alias("a"), F.max(F.struct("seq", "r", "c")).alias("b"))
-    own = ends.select("line", "layer", node_key(F.col("a.r"), F.col("a.c"), rules.snap_tol).alias("na"), node_key(F.col("b.r"), F.col("b.c"), rules.snap_tol).alias("nb")).join(decks, "line")
+    own = written(ends.select("line", "layer", node_key(F.col("a.r"), F.col("a.c"), rules.snap_tol).alias("na"), node_key(F.col("b.r"), F.col("b.c"), rules.snap_tol).alias("nb")).join(decks, "line"), "decks")
+    at = own.select("layer", F.explode(F.array("na", "nb")).alias("n"), "line")
+    ends_ = at.groupBy("layer", "n").agg(F.count("*").alias("shared"), F.min("line").alias("hub"))
+    # Every deck at an end is linked with the smallest there, so links are as many as ends.
+    label = components(at.join(ends_, ["layer", "n"]).select(F.col("line").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("n", "line").withColumnRenamed("label", "chain")
+    held = written(own.join(label, "line"), "linked")
+    shape = held.select("chain", "layer", F.explode(F.array("na", "nb")).alias("n")).join(ends_, ["layer", "n"]).groupBy("chain").agg(F.max("shared").alias("most"), F.sum((F.col("shared") == 1).cast("int")).alias("free"))
+    told = held.join(shape, "chain").withColumn("walked", (F.col("most") == 2) & (F.col("free") == 2))
 
     def walk(key, group):
         import pandas as pd
 
-        rows, at = group.to_dict("records"), {}
+        rows, at_ = group.to_dict("records"), {}
         for x in rows:
             for n in (x["na"], x["nb"]):
-                at.setdefault(n, []).append(x)
-        out, seen = {x["line"]: (x["h0"], x["h1"], x["total"]) for x in rows}, set()
-        for start in sorted(n for n, own_ in at.items() if len(own_) == 1):
-            chain, node, fine = [], start, True
-            while fine:
-                nxt = [x for x in at[node] if x["line"] not in seen and x not in [c for c, _ in chain]]
-                if len(at[node]) > 2:
-                    fine = False
-                if not nxt or not fine:
-                    break
-                x = nxt[0]
-                chain.append((x, x["na"] == node))
-                node = x["nb"] if x["na"] == node else x["na"]
-            seen |= {x["line"] for x, _ in chain}
-            if not fine or len(chain) < 2:
-                continue
-            (x, fwd), (y, last) = chain[0], chain[-1]
-            low, high, whole, arc = x["h0"] if fwd else x["h1"], y["h1"] if last else y["h0"], sum(c["total"] for c, _ in chain), 0.0
-            for c, f in chain:
-                p, q = low + (high - low) * arc / whole, low + (high - low) * (arc + c["total"]) / whole
-                out[c["line"]] = (p, q, c["total"]) if f else (q, p, c["total"])
-                arc += c["total"]
-        return pd.DataFrame([(k, *v) for k, v in out.items()], columns=["line", "h0", "h1", "total"])
-
-    return own.groupBy("layer").applyInPandas(walk, "line bigint, h0 double, h1 double, total double")
+                at_.setdefault(n, []).append(x)
+        node, before, chain = min(n for n, x in at_.items() if len(x) == 1), None, []
+        while len(chain) < len(rows):
+            x = next(x for x in at_[node] if x is not before)
+            chain.append((x, x["na"] == node))
+            node, before = x["nb"] if x["na"] == node else x["na"], x
+        (x, fwd), (y, last) = chain[0], chain[-1]
+        low, high, whole, arc, out = x["h0"] if fwd else x["h1"], y["h1"] if last else y["h0"], sum(c["total"] for c, _ in chain), 0.0, []
+        for c, f in chain:
+            p, q = low + (high - low) * arc / whole, low + (high - low) * (arc + c["total"]) / whole
+            out.append((c["line"], p, q, c["total"]) if f else (c["line"], q, p, c["total"]))
+            arc += c["total"]
+        return pd.DataFrame(out, columns=["line", "h0", "h1", "total"])
+
+    walked = told.where("walked").select("chain", "line", "na", "nb", "h0", "h1", "total").groupBy("chain").applyInPandas(walk, "line bigint, h0 double, h1 double, total double")
+    return walked.union(told.where("not walked").select("line", "h0", "h1", "total"))

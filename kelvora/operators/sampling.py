@@ -92,16 +92,43 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.pmod(F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)), F.lit(2)) == 1
 
 
+def interior_point(ring: Column) -> Column:
+    """A point (x, y) inside of a simple ring, however thin: between the two heights of corners that lie around the middle of
+    its box a line is drawn, which meets no corner, and the middle of its widest run inside is taken; of equal runs the
+    leftmost. Null for a ring without height."""
+    ys = F.sort_array(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    middle = (F.element_at(ys, 1) + F.element_at(ys, -1)) / 2
+    between = F.transform(F.sequence(F.lit(1), F.size(ys) - 1), lambda j: (F.element_at(ys, j) + F.element_at(ys, j + 1)) / 2)
+    line = F.array_min(F.transform(between, lambda m: F.struct(F.abs(m - middle).alias("off"), m.alias("y"))))["y"]
+    n = F.size(ring)
+
+    def crossing(y: Column) -> Column:
+        def at(j: Column) -> Column:
+            a, b = F.get(ring, j), F.get(ring, F.pmod(j + 1, n))
+            return F.when((a["y"] > y) != (b["y"] > y), a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"]))
+
+        return F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), n - 1), at), lambda x: x.isNotNull()))
+
+    def widest(s: Column) -> Column:
+        run = lambda j: F.struct((F.get(s["xs"], 2 * j) - F.get(s["xs"], 2 * j + 1)).alias("less"), F.get(s["xs"], 2 * j).alias("a"), F.get(s["xs"], 2 * j + 1).alias("b"))
+        best = F.array_min(F.transform(F.sequence(F.lit(0), (F.size(s["xs"]) / 2).cast("int") - 1), run))
+        return F.struct(((best["a"] + best["b"]) / 2).alias("x"), s["y"].alias("y"))
+
+    # One-element arrays name what is used more than once.
+    found = F.transform(F.transform(F.array(line), lambda y: F.struct(y.alias("y"), crossing(y).alias("xs"))), widest)
+    return F.when(F.size(ys) >= 2, found[0])
+
+
 def place_inside(picks: DataFrame, tries: int = 64) -> DataFrame:
     """(d, x, y) of picks (d, ring): the first of ``tries`` points of the ring's box, by a low-discrepancy draw from d * tries
-    on, that is inside; if none is, the mean of its corners."""
+    on, that is inside; if none is, as in slivers, its interior point, and the first corner of a ring without height."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     box = picks.select("d", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     each = box.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("i", F.col("d") * tries + F.col("t"))
     put = each.withColumn("x", F.col("x0") + sobol_1d(F.col("i")) * (F.col("x1") - F.col("x0"))).withColumn("y", F.col("y0") + sobol_2d(F.col("i")) * (F.col("y1") - F.col("y0")))
     hit = put.where(inside(F.col("x"), F.col("y"), F.col("ring"))).groupBy("d").agg(F.min(F.struct("t", "x", "y")).alias("p"))
-    mean = lambda a: F.aggregate(F.transform("ring", lambda p: p[a]), F.lit(0.0), lambda s, v: s + v) / F.size("ring")
-    return picks.join(hit, "d", "left").select("d", F.coalesce("p.x", mean("x")).alias("x"), F.coalesce("p.y", mean("y")).alias("y"))
+    held = picks.join(hit, "d", "left").withColumn("q", F.when(F.col("p").isNull(), interior_point(F.col("ring"))))
+    return held.select("d", *[F.coalesce(f"p.{a}", f"q.{a}", F.col("ring")[0][a]).alias(a) for a in ("x", "y")])
 
 
 def points_to_refs(points: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:

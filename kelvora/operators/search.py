@@ -18,6 +18,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -140,6 +141,23 @@ class Arrays:
             np.minimum.at(best, target, offer[fine])
             front = np.unique(np.concatenate([target, later]))
 
+    def settled(self, at: int, most: int) -> tuple[int, float, int]:
+        """(nodes settled, the last one's cost, edges looked at) of a search that stops at ``most`` nodes: nodes are settled
+        in order of cost, so no edge is looked at but those of settled nodes."""
+        best, heap, done, last, looked = {at: 0.0}, [(0.0, at)], set(), 0.0, 0
+        while heap and len(done) < most:
+            e, n = heappop(heap)
+            if n in done:
+                continue
+            done.add(n)
+            last, own = e, slice(self.head[n], self.head[n + 1])
+            looked += own.stop - own.start
+            for t, w in zip(self.target[own].tolist(), self.weight[own].tolist(), strict=True):
+                if e + w < best.get(t, np.inf):
+                    best[t] = e + w
+                    heappush(heap, (e + w, t))
+        return len(done), last, int(looked)
+
     def parents(self, nodes: np.ndarray, e: np.ndarray, at: int) -> np.ndarray:
         """The node through which each is cheapest, by number, ties to the smaller id; -1 for the seed."""
         best = np.full(len(self.ids), np.inf)
@@ -274,13 +292,47 @@ def best_route(edge: DataFrame, bound: DataFrame, seed: int, goal: int) -> DataF
     return spark.range(1).repartition(1).mapInPandas(run, "seq int, i bigint, e double")
 
 
-def explored(edge: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+def explored(edge: DataFrame, seeds: DataFrame, most: int, tiling=None) -> DataFrame:
     """(k, explored, reached): how many nodes a search from each seed settles before it is stopped at ``most``, and the cost of
-    the last; what a pre-flight estimate is scaled by."""
+    the last; what a pre-flight estimate is scaled by. Searches stop there: over arrays node by node, else by budgets that
+    grow until they reach so many nodes."""
+    held = written(edge.select("u", "v", "w"), "edges")
+    return _explored_kernel(held, seeds, most) if fits_kernel(held) else _explored_by_budget(held, seeds, most, tiling)
+
+
+def _explored_kernel(held: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    net = held.sparkSession.sparkContext.broadcast(arrays(held))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, seed in zip(batch["k"], batch["i"], strict=True):
+                at = net.value.number(int(seed))
+                rows.append((k, *((1, 0.0) if at is None else net.value.settled(at, most)[:2])))
+            yield pd.DataFrame(rows, columns=["k", "explored", "reached"])
+
+    return seeds.select("k", "i").distinct().repartition("k").mapInPandas(run, "k bigint, explored bigint, reached double")
+
+
+def _explored_by_budget(held: DataFrame, seeds: DataFrame, most: int, tiling) -> DataFrame:
     from pyspark.sql import Window
 
-    ranked = field(edge, seeds).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("e", "i"))).where(F.col("n") <= most)
-    return ranked.groupBy("k").agg(F.count("*").alias("explored"), F.max("e").alias("reached"))
+    budget, left, out = (held.agg(F.avg("w")).first()[0] or 1.0) * max(1.0, most**0.5) / 2 or 1.0, seeds.select("k", "i").distinct(), None
+    while True:
+        got = written(_large(held, left, budget, tiling), "explored")
+        n = got.groupBy("k").agg(F.count("*").alias("n"))
+        # A seed is done with at so many nodes, or where no edge leads beyond what it reaches.
+        few = got.join(n.where(F.col("n") < most).select("k"), "k", "left_semi")
+        ways = few.select(F.col("k").alias("way_k"), F.col("i").alias("u")).join(held, "u").select("way_k", F.col("v").alias("way_i"))
+        open_ = ways.join(few, (F.col("way_k") == F.col("k")) & (F.col("way_i") == F.col("i")), "left_anti").select("way_k").distinct()
+        more = written(left.join(open_, F.col("k") == F.col("way_k"), "left_semi"), "unexplored")
+        full = got.join(more.select("k"), "k", "left_anti")
+        ranked = full.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("e", "i"))).where(F.col("n") <= most)
+        told = ranked.groupBy("k").agg(F.count("*").alias("explored"), F.max("e").alias("reached"))
+        out = told if out is None else out.union(told)
+        if more.limit(1).count() == 0:
+            return out
+        left, budget = more, 2 * budget
 
 
 def round_trip(there: DataFrame, back: DataFrame, cap: float = 0.0) -> DataFrame:

@@ -349,25 +349,25 @@ def density_round(spark, d):
 _MATRIX = V.with_(*_MULTI, f"ids AS (SELECT s_suppkey AS k, (s_suppkey * 17) % (SELECT n FROM dim) AS i FROM supplier)", "mx AS (SELECT a.k AS src, b.k AS dst, f.dist AS e FROM ids a CROSS JOIN ids b LEFT JOIN f ON f.k = a.k AND f.n = b.i)")
 
 
-def _matrix(spark, d):
+def _reach(spark, d):
     cells, g, edge, refs = _multi(spark, d)
     ids = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.pmod(F.col("s_suppkey") * 17, F.lit(g.rows * g.cols)).alias("i"))
-    return density.matrix(search.field(edge, refs, 20.0), ids)
+    return search.field(edge, refs, 20.0), ids
 
 
 @query(_MATRIX + "SELECT src, dst, round(e, 6) AS e FROM mx")
 def accessibility_matrix(spark, d):
-    return _matrix(spark, d).select("src", "dst", r6("e", "e"))
+    return density.matrix(*_reach(spark, d)).select("src", "dst", r6("e", "e"))
 
 
 @query(_MATRIX + "SELECT round(avg(CASE WHEN n * 600e0 / k >= 300 THEN 1e0 ELSE 0e0 END), 6) AS share FROM (SELECT src, count(*) FILTER (WHERE e <= 5e0) AS n, count(*) AS k FROM mx GROUP BY src)")
 def kpi_people_within(spark, d):
-    return density.people_within(_matrix(spark, d), 600.0, 300.0, 5.0).select(r6("share", "share"))
+    return density.people_within(*_reach(spark, d), 600.0, 300.0, 5.0).select(r6("share", "share"))
 
 
 @query(_MATRIX + "SELECT round(avg(CASE WHEN got >= 0.5e0 THEN 1e0 ELSE 0e0 END), 6) AS share FROM (SELECT src, avg(CASE WHEN e <= 5e0 * 1.1e0 THEN 1e0 ELSE 0e0 END) AS got FROM mx GROUP BY src)")
 def kpi_share_within(spark, d):
-    return density.share_within(_matrix(spark, d), 0.5, 5.0, 1.1).select(r6("share", "share"))
+    return density.share_within(*_reach(spark, d), 0.5, 5.0, 1.1).select(r6("share", "share"))
 
 
 @query(V.with_(*_BASE, "cedge AS MATERIALIZED (SELECT * FROM edge WHERE u % 7 <> 3 AND v % 7 <> 3)", V.field_sql("f", "seed", "cedge"), V.field_sql("b", "seed")) + "SELECT coalesce(f.n, b.n) AS i, round(f.dist, 6) AS constrained, round(b.dist, 6) AS free, round(f.dist - b.dist, 6) + 0e0 AS delta FROM f FULL JOIN b ON f.n = b.n")
@@ -851,6 +851,34 @@ def in_polygon_placement(spark, d):
 _SURVEY = "ct AS (SELECT n_nationkey::BIGINT AS id, n_nationkey * 40e0 % 300 AS x, n_nationkey * 70e0 % 300 AS y FROM nation), sv AS (SELECT p_partkey % 307 * 1e0 AS x, p_partkey * 7 % 311 * 1e0 AS y, p_size * 1e0 AS alt FROM part)"
 
 
+def _ells(spark, d):
+    """(id, ring): a thin ell for every supplier, which its corners' mean lies outside of."""
+    s = F.col("s_suppkey")
+    far, high, thin = 10.0 + F.pmod(s, F.lit(7)), 8.0 + F.pmod(s, F.lit(5)), 1.0 / (2.0 + F.pmod(s, F.lit(62)))
+    point = lambda x, y: F.struct((s + x).cast("double").alias("x"), y.cast("double").alias("y"))
+    zero = F.lit(0.0)
+    return V.table(spark, d, "supplier").select(s.alias("id"), F.array(point(zero, zero), point(far, zero), point(far, thin), point(thin, thin), point(thin, high), point(zero, high)).alias("ring"))
+
+
+@query("""WITH s AS (
+  SELECT s_suppkey AS id, 10e0 + s_suppkey % 7 AS f, 8e0 + s_suppkey % 5 AS h, 1e0 / (2e0 + s_suppkey % 62) AS t FROM supplier
+), corner AS MATERIALIZED (
+  SELECT id, j, [id + 0e0, id + f, id + f, id + t, id + t, id + 0e0][j] AS x, [0e0, 0e0, t, t, h, h][j] AS y FROM s, range(1, 7) r(j)
+), ys AS (
+  SELECT id, y, lead(y) OVER (PARTITION BY id ORDER BY y) AS above FROM (SELECT DISTINCT id, y FROM corner)
+), line AS (
+  SELECT id, arg_min((y + above) / 2, (abs((y + above) / 2 - (low + high) / 2), (y + above) / 2)) AS y FROM ys JOIN (SELECT id, min(y) AS low, max(y) AS high FROM corner GROUP BY id) USING (id) WHERE above IS NOT NULL GROUP BY id
+), xs AS (
+  SELECT a.id, line.y, a.x + (line.y - a.y) * (b.x - a.x) / (b.y - a.y) AS x FROM corner a JOIN corner b ON b.id = a.id AND b.j = a.j % 6 + 1 JOIN line ON line.id = a.id WHERE (a.y > line.y) <> (b.y > line.y)
+), run AS (
+  SELECT id, y, x, lead(x) OVER (PARTITION BY id ORDER BY x) AS x2, row_number() OVER (PARTITION BY id ORDER BY x) AS j FROM xs
+)
+SELECT id, round(arg_min((x + x2) / 2, (x - x2, x)), 6) AS x, round(any_value(y), 6) AS y FROM run WHERE j % 2 = 1 GROUP BY id""")
+def interior_point(spark, d):
+    p = sampling.interior_point(F.col("ring"))
+    return _ells(spark, d).select("id", p.alias("p")).select("id", r6("p.x", "x"), r6("p.y", "y"))
+
+
 def _survey(spark, d):
     k, p = F.col("n_nationkey"), F.col("p_partkey")
     centres = V.table(spark, d, "nation").select(k.cast("long").alias("id"), F.pmod(k * 40.0, F.lit(300.0)).alias("x"), F.pmod(k * 70.0, F.lit(300.0)).alias("y"))
