@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kelvora.functions.cost import DEFAULT, max_edge_cost
 from kelvora.operators import density, grid, network, profile, raster, routes, runs, sampling, search, tiles, tree
 from kelvora.plans import views as V
-from kelvora.sources import geo, tiff
+from kelvora.sources import fgb, geo, tiff
 from kelvora.streaming import lifecycle
 
 E_LEG, E_TOTAL = 6.0, 9.0
@@ -879,6 +879,17 @@ def interior_point(spark, d):
     return _ells(spark, d).select("id", p.alias("p")).select("id", r6("p.x", "x"), r6("p.y", "y"))
 
 
+@query(V.with_(V.CELL, V.LINES) + """, box AS (SELECT line, min(c) AS x0, min(r) AS y0, max(c) AS x1, max(r) AS y1, count(*) AS n FROM vert GROUP BY line)
+SELECT line, n FROM box WHERE x0 <= 20e0 AND x1 >= 12e0 AND y0 <= 9e0 AND y1 >= 2e0""")
+def flatgeobuf_box(spark, d):
+    """All lines written as one FlatGeobuf, and those whose boxes meet one read back through its tree."""
+    g = V.terrain(spark, d)[1]
+    own = V.lines(spark, d, g).groupBy("line").agg(F.sort_array(F.collect_list(F.struct("seq", "c", "r"))).alias("p"))
+    parts = F.array(F.array(F.transform("p", lambda p: F.struct(p["c"].alias("x"), p["r"].alias("y")))))
+    path = fgb.write(own.select(F.lit("LineString").alias("kind"), parts.alias("parts"), "line"), f"{search._shared(spark).removeprefix('file://')}/lines-{uuid.uuid4().hex}.fgb")
+    return fgb.read(spark, path, (12.0, 2.0, 20.0, 9.0)).select(F.get_json_object("properties", "$.line").cast("long").alias("line"), F.size(F.col("parts")[0][0]).cast("long").alias("n"))
+
+
 def _survey(spark, d):
     k, p = F.col("n_nationkey"), F.col("p_partkey")
     centres = V.table(spark, d, "nation").select(k.cast("long").alias("id"), F.pmod(k * 40.0, F.lit(300.0)).alias("x"), F.pmod(k * 70.0, F.lit(300.0)).alias("y"))

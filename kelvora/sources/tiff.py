@@ -46,7 +46,11 @@ def ranges(path: str) -> tuple[Read, Callable[[], None]]:
 
 
 def listed(path: str) -> list[str]:
-    """A file, or the .tif and .tiff files of a folder."""
+    return listed_as(path, (".tif", ".tiff"))
+
+
+def listed_as(path: str, endings: tuple[str, ...]) -> list[str]:
+    """A file, or the files of a folder with such endings."""
     store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = store.get_file_info(inner)
@@ -54,7 +58,7 @@ def listed(path: str) -> list[str]:
         raise FileNotFoundError(path)
     if info.type == fs.FileType.File:
         return [path]
-    return [head + x.path for x in sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda x: x.path) if x.path.lower().endswith((".tif", ".tiff"))]
+    return [head + x.path for x in sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda x: x.path) if x.path.lower().endswith(endings)]
 
 
 class Head:
