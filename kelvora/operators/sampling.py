@@ -30,6 +30,21 @@ def sobol_2d(i: Column) -> Column:
     return out.cast("double") / F.lit(TWO32)
 
 
+def scrambled(u: Column, seed: str) -> Column:
+    """A sequence's fraction u of 32 bits, scrambled at random within each of its intervals: every bit is turned or not by a
+    digest of the seed and all bits above it. Points that share an interval go on sharing one, so the first 2**k points
+    stay one to an interval, whatever the seed."""
+    x = (u * F.lit(TWO32)).cast("long")
+
+    def bit(j: Column) -> Column:
+        above = F.call_function("shiftright", x, j + 1)
+        turn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), j.cast("string"), above.cast("string"))), 1, 1), 16, 10).cast("long")
+        own = F.call_function("shiftright", x, j).bitwiseXOR(turn).bitwiseAND(F.lit(1).cast("long"))
+        return F.call_function("shiftleft", own, j)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(31)), bit), F.lit(0).cast("long"), lambda a, b: a + b).cast("double") / F.lit(TWO32)
+
+
 def population_join(sectors: DataFrame, counts: DataFrame) -> DataFrame:
     """sectors (cd string, ...) with pop by the count's text code; what isn't a number is null."""
     return sectors.join(counts.select(F.col("cd").cast("string").alias("cd"), F.expr("try_cast(pop AS double)").alias("pop")), "cd", "left")

@@ -809,6 +809,16 @@ def sobol_points(spark, d):
     return V.table(spark, d, "supplier").select(i.alias("i"), sampling.sobol_1d(i).alias("u"), sampling.sobol_2d(i).alias("w"))
 
 
+def _turned_sql(x: str, seed: str) -> str:
+    return f"list_sum(list_transform(range(0, 32), lambda j: (xor({x} >> j, ('0x' || md5('{seed}:' || j || ':' || ({x} >> (j + 1)))[1:1])::BIGINT) & 1) << j))::DOUBLE / 4294967296e0"
+
+
+@query(f"SELECT i, {_turned_sql('x', 'u7')} AS u, {_turned_sql('y', 'w7')} AS w FROM (SELECT s_suppkey AS i, ({_bits_sql('s_suppkey')} * 4294967296e0)::BIGINT AS x, list_reduce(list_transform(range(0, 32), lambda j: CASE WHEN ((s_suppkey >> j) & 1) = 1 THEN v[j + 1] ELSE 0 END), lambda a, b: xor(a, b), 0)::BIGINT AS y FROM supplier, (SELECT [" + ", ".join(str(x) for x in (lambda out: [out.append(out[-1] ^ (out[-1] >> 1)) or out[-2] for _ in range(32)])([1 << 31])) + "]::BIGINT[] AS v))")
+def sobol_scrambled(spark, d):
+    i = F.col("s_suppkey")
+    return V.table(spark, d, "supplier").select(i.alias("i"), sampling.scrambled(sampling.sobol_1d(i), "u7").alias("u"), sampling.scrambled(sampling.sobol_2d(i), "w7").alias("w"))
+
+
 _SECTOR = "sec AS MATERIALIZED (SELECT lpad(n_nationkey::VARCHAR, 15, '0') AS cd, n_nationkey AS j, n_nationkey * 2e0 AS x0, n_nationkey % 4 * 1e0 AS y0, count(c_custkey)::DOUBLE AS pop FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)"
 
 

@@ -134,3 +134,14 @@ def test_indicators_make_no_pairs(spark, edge):
         assert density.people_within(field, ref, 600.0, 200.0, energy).first()[0] == pytest.approx(sum(x * 600 / 42 >= 200 for x in n) / 42)
         assert density.share_within(field, ref, 0.5, energy / 1.1, 1.1).first()[0] == pytest.approx(sum(x / 42 >= 0.5 for x in n) / 42)
     assert "CartesianProduct" not in (plan := density.people_within(field, ref, 1.0, 1.0, 1.0)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("seed", ["a", "b"])
+def test_scrambled_points_stay_one_to_an_interval(spark, seed):
+    i = F.col("id")
+    rows = spark.range(256).select(i, sampling.scrambled(sampling.sobol_1d(i), f"{seed}1").alias("u"), sampling.scrambled(sampling.sobol_2d(i), f"{seed}2").alias("w"), sampling.sobol_1d(i).alias("plain")).orderBy("id").collect()
+    for k in range(9):
+        own = rows[: 1 << k]
+        for a in range(k + 1):  # every box of 2**-a by 2**-(k - a)
+            assert len({(int(r.u * (1 << a)), int(r.w * (1 << (k - a)))) for r in own}) == 1 << k
+    assert sum(r.u != r.plain for r in rows) > 250 and all(0 <= r.u < 1 and 0 <= r.w < 1 for r in rows)
