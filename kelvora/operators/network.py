@@ -128,11 +128,12 @@ def t_junctions(vertices: DataFrame, seg: DataFrame, rules: Rules = Rules(), met
 
 def planarize(vertices: DataFrame, rules: Rules = Rules(), meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes (n, r, c), edges (a, b, s, arc_a, arc_b)): first-seen coordinates name a node, the first edge of a pair stays."""
-    seg = segments(vertices)
-    cuts = seg.select("s", F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("pr"), F.lit(None).cast("double").alias("pc")).union(seg.select("s", F.lit(1.0), F.lit(None), F.lit(None)))
+    seg = written(segments(vertices), "segments")
+    none = [F.lit(None).cast("double").alias(c) for c in ("pr", "pc")]
+    cuts = seg.select("s", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"), *none)
     if rules.crossings:
-        cross = crossings(seg, rules, meta)
-        cuts = cuts.union(cross.select(F.col("a").alias("s"), "t", F.lit(None), F.lit(None))).union(cross.select(F.col("b").alias("s"), F.col("u").alias("t"), F.lit(None), F.lit(None)))
+        sides = F.explode(F.array(F.struct(F.col("a").alias("s"), "t"), F.struct(F.col("b").alias("s"), F.col("u").alias("t"))))
+        cuts = cuts.union(crossings(seg, rules, meta).select(sides.alias("x")).select("x.s", "x.t", *none))
         cuts = cuts.union(t_junctions(vertices, seg, rules, meta).select("s", "t", "pr", "pc"))
     dr, dc = F.col("r2") - F.col("r1"), F.col("c2") - F.col("c1")
     at = cuts.join(seg, "s").select("s", "t", F.coalesce("pr", F.col("r1") + dr * F.col("t")).alias("r"), F.coalesce("pc", F.col("c1") + dc * F.col("t")).alias("c"), (F.col("arc") + F.col("t") * F.sqrt(dr * dr + dc * dc)).alias("arc"), F.col("line"))
