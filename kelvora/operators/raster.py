@@ -239,7 +239,21 @@ def hillshade(pairs: DataFrame, azimuth: float = 315.0, altitude: float = 45.0)
 
 
 def percentiles(cells: DataFrame, shares: Sequence[float] = (0.1, 0.9)) -> DataFrame:
-    return cells.where("m").agg(F.percentile_approx(F.col("h").cast("double"), list(shares), 10_000).alias("p"))
+    """(n, p10, p90 ...) of the open cells' heights: the sorted height at floor(share * n), exactly, by ``order.quantiles``."""
+    from kelvora.operators import order
+
+    held = cells.where("m").select(F.lit(0).alias("all"), F.col("h").cast("double").alias("h"))
+    return order.quantiles(held, "all", "h", {f"p{round(100 * s)}": s for s in shares}).drop("all")
+
+
+def mean_filter(cells: DataFrame, reach: int) -> DataFrame:
+    """(i, h): the mean height of the open cells at most reach rows and columns away, for every open cell. Sums of a row's
+    reach come first, and then sums of those, so that work doesn't grow with reach."""
+    near = lambda line, along: Window.partitionBy(line).orderBy(along).rangeBetween(-reach, reach)
+    known = F.when(F.col("m"), F.col("h").cast("double"))
+    row = cells.select("i", "r", "c", "m", F.sum(known).over(near("r", "c")).alias("s"), F.count(known).over(near("r", "c")).alias("n"))
+    block = row.select("i", "m", (F.sum("s").over(near("c", "r")) / F.sum("n").over(near("c", "r"))).alias("h"))
+    return block.where("m").select("i", "h")
 
 
 def assemble_rings(ways: DataFrame, tol: float = 1e-7) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvora.functions.cost import DEFAULT, max_edge_cost
-from kelvora.operators import density, grid, network, profile, raster, routes, runs, sampling, search, tiles, tree
+from kelvora.operators import density, grid, hexagonal, network, profile, raster, routes, runs, sampling, search, simplify, tiles, tree
 from kelvora.plans import views as V
 from kelvora.sources import fgb, geo, tiff
 from kelvora.streaming import lifecycle
@@ -1123,6 +1123,104 @@ def props_json(spark, d):
     return V.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 
+# --- other lattices, rasters for display, lines of fewer vertices ----------------------------------------------------------
+
+
+def _bilinear_sql(name: str, points: str, key: str) -> str:
+    """name(key columns, h) from points (key columns, fr, fc), in cells whose values stand at whole numbers."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT {key}, c0.h * (1 - tr) * (1 - tc) + c1.h * (1 - tr) * tc + c2.h * tr * (1 - tc) + c3.h * tr * tc AS h FROM (
+    SELECT *, b0 * {V.COLS} + b1 AS b, fr - b0 AS tr, fc - b1 AS tc FROM (
+      SELECT *, greatest(0, least((SELECT h FROM dim) - 2, floor(fr)::BIGINT)) AS b0, greatest(0, least({V.COLS - 2}, floor(fc)::BIGINT)) AS b1 FROM ({points}))
+  ) p JOIN cell c0 ON c0.i = p.b JOIN cell c1 ON c1.i = p.b + 1 JOIN cell c2 ON c2.i = p.b + {V.COLS} JOIN cell c3 ON c3.i = p.b + {V.COLS + 1}
+)"""
+
+
+def _hex_sql(twelve: bool) -> str:
+    at = hexagonal.lattice(grid.Grid(2, V.COLS, V.DX, V.DY))
+    a, row, half = V.lit(at.a), V.lit(at.row), V.lit(at.a * 3**0.5 / 2)
+    place = f"""SELECT * FROM (
+    SELECT *, {a} * (q + r / 2e0) AS x, r * {row} AS y, floor(r * {row} / {V.lit(V.DY)} + 0.5e0)::BIGINT * {V.COLS} + floor({a} * (q + r / 2e0) / {V.lit(V.DX)} + 0.5e0)::BIGINT AS cell, r * {row} / {V.lit(V.DY)} AS fr, {a} * (q + r / 2e0) / {V.lit(V.DX)} AS fc
+    FROM (SELECT n AS i, n // {at.cols} AS r, n % {at.cols} - n // {at.cols} // 2 AS q FROM range((SELECT ((floor((h - 1) * {V.lit(V.DY)} / {row}) + 1) * {at.cols})::BIGINT FROM dim)) t(n))
+  ) WHERE cell IN (SELECT i FROM cell WHERE m)"""
+    pairs = lambda steps: f"SELECT a.i AS u, b.i AS v, a.h AS hu, b.h AS hv, (a.y + b.y) / 2 / {V.lit(V.DY)} AS fr, (a.x + b.x) / 2 / {V.lit(V.DX)} AS fc FROM hnode a, (VALUES {', '.join(map(str, steps))}) s(dq, dr), hnode b WHERE b.q = a.q + s.dq AND b.r = a.r + s.dr"
+    every = lambda steps: [*steps, *((-q, -r) for q, r in steps)]
+    edge = f"SELECT u, v, {V.cost_sql(a, 'hv - hu')} AS w FROM ({pairs(every(hexagonal.NEAR))})"
+    parts = [V.CELL, _bilinear_sql("hnode", place, "p.i, p.q, p.r, p.x, p.y, p.cell")]
+    if twelve:
+        parts.append(_bilinear_sql("hmid", pairs(every(hexagonal.FAR)), "p.u, p.v, p.hu, p.hv"))
+        edge += f" UNION ALL SELECT u, v, {V.cost_sql(half, 'h - hu')} + {V.cost_sql(half, 'hv - h')} FROM hmid"
+    seed = f"hseed AS MATERIALIZED (SELECT 0::BIGINT AS k, arg_min(n.i, (pow(n.x - s.c * {V.lit(V.DX)}, 2) + pow(n.y - s.r * {V.lit(V.DY)}, 2), n.i)) AS i FROM hnode n, (SELECT r, c FROM cell WHERE m ORDER BY i LIMIT 1) s)"
+    return V.with_(*parts, f"hedge AS MATERIALIZED ({edge})", seed, V.field_sql("f", "hseed", "hedge")) + "SELECT f.n AS i, n.cell, round(f.dist, 6) AS e FROM f JOIN hnode n ON n.i = f.n"
+
+
+def _field_hex(spark, d, twelve: bool):
+    cells, g = V.terrain(spark, d)
+    found = search.written(hexagonal.nodes(cells, g), "hexagons")
+    edge = search.written(hexagonal.edges(found, cells, g, DEFAULT, twelve), "hexagon-edges")
+    return search.field(edge, hexagonal.nearest(found, V.first_seed(cells), g)).join(found.select("i", "cell"), "i").select("i", "cell", r6("e", "e"))
+
+
+@query(_hex_sql(False))
+def field_hex6(spark, d):
+    """The field on a lattice of hexagons, six moves."""
+    return _field_hex(spark, d, False)
+
+
+@query(_hex_sql(True))
+def field_hex12(spark, d):
+    """The same with six longer moves, costed in halves."""
+    return _field_hex(spark, d, True)
+
+
+@query(V.with_(V.CELL) + "SELECT count(*) AS n, round(list_sort(list(h))[1 + least(count(*) - 1, floor(0.1e0 * count(*)))::BIGINT], 6) AS p10, round(list_sort(list(h))[1 + least(count(*) - 1, floor(0.9e0 * count(*)))::BIGINT], 6) AS p90 FROM cell WHERE m")
+def height_percentiles(spark, d):
+    return raster.percentiles(V.terrain(spark, d)[0]).select("n", r6("p10", "p10"), r6("p90", "p90"))
+
+
+@query(V.with_(V.CELL) + "SELECT a.i, round(avg(b.h), 6) AS h FROM cell a JOIN cell b ON b.m AND b.r BETWEEN a.r - 3 AND a.r + 3 AND b.c BETWEEN a.c - 3 AND a.c + 3 WHERE a.m GROUP BY a.i")
+def mean_filter(spark, d):
+    return raster.mean_filter(V.terrain(spark, d)[0], 3).select("i", r6("h", "h"))
+
+
+SIMPLE_TOL = 0.375
+
+
+@query(
+    V.with_(
+        V.CELL,
+        V.LINES,
+        f"""span(line, a, b) AS (
+  SELECT line, min(seq), max(seq) FROM vert GROUP BY line
+  UNION ALL
+  SELECT line, CASE side WHEN 0 THEN a ELSE m END, CASE side WHEN 0 THEN m ELSE b END FROM (
+    SELECT line, a, b, arg_max(seq, (d, -abs(2 * seq - a - b), -seq)) AS m FROM (
+      SELECT line, a, b, seq, (r - (ar + t * (br - ar))) * (r - (ar + t * (br - ar))) + (c - (ac + t * (bc - ac))) * (c - (ac + t * (bc - ac))) AS d FROM (
+        SELECT s.line, s.a, s.b, v.seq, v.r, v.c, p.r AS ar, p.c AS ac, q.r AS br, q.c AS bc,
+          CASE WHEN p.r = q.r AND p.c = q.c THEN 0e0 ELSE greatest(0e0, least(1e0, ((v.r - p.r) * (q.r - p.r) + (v.c - p.c) * (q.c - p.c)) / ((q.r - p.r) * (q.r - p.r) + (q.c - p.c) * (q.c - p.c)))) END AS t
+        FROM span s JOIN vert p ON p.line = s.line AND p.seq = s.a JOIN vert q ON q.line = s.line AND q.seq = s.b JOIN vert v ON v.line = s.line AND v.seq > s.a AND v.seq < s.b
+      )
+    ) GROUP BY line, a, b HAVING max(d) > {V.lit(SIMPLE_TOL * SIMPLE_TOL)}
+  ), (VALUES (0), (1)) h(side)
+), stay AS MATERIALIZED (SELECT DISTINCT v.line, v.seq, v.r, v.c FROM span s JOIN vert v ON v.line = s.line AND (v.seq = s.a OR v.seq = s.b)),
+ring AS MATERIALIZED (SELECT line FROM stay GROUP BY line HAVING count(*) BETWEEN 2 AND 3 AND arg_min(r, seq) = arg_max(r, seq) AND arg_min(c, seq) = arg_max(c, seq))""",
+    )
+    + "SELECT line, seq, r, c FROM stay WHERE line NOT IN (SELECT line FROM ring) UNION ALL SELECT line, seq, r, c FROM vert WHERE line IN (SELECT line FROM ring)"
+)
+def simplified_lines(spark, d):
+    """Every order's line without the vertices that lie within a tolerance of it."""
+    return simplify.simplify(V.lines(spark, d, V.terrain(spark, d)[1]), SIMPLE_TOL)
+
+
+@query(V.with_(V.CELL, V.LINES) + "SELECT line, CASE WHEN count(*) = 1 THEN 'MULTIPOINT (' ELSE 'MULTILINESTRING (' END || '(' || string_agg(c::DOUBLE || ' ' || r::DOUBLE, ', ' ORDER BY seq) || '))' AS wkt FROM vert GROUP BY line")
+def multi_lines(spark, d):
+    """Every order's line, or point where it has one item, in its multiple form."""
+    places = F.transform(F.sort_array(F.collect_list(F.struct("seq", "c", "r"))), lambda x: F.concat_ws(" ", x["c"].cast("string"), x["r"].cast("string")))
+    own = V.lines(spark, d, V.terrain(spark, d)[1]).groupBy("line").agg(places.alias("p"))
+    wkt = F.concat(F.when(F.size("p") == 1, F.lit("point (")).otherwise(F.lit("LineString (")), F.array_join("p", ", "), F.lit(")"))
+    return own.select("line", simplify.promote_to_multi(wkt).alias("wkt"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
