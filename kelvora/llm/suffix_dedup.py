@@ -10,14 +10,16 @@ two in a window. An anchor's hull is all that the strings around it reach: up to
 2. The others whose gram repeats, at the edges of what is shared, are candidates: of the strings around an anchor, all that
    begin in one quarter of its reach have most of their bytes in common, and a hash of that part has to repeat too. They
    go with their hull's bytes to the index, dealt and sorted by gram. A gram's anchors go through a family of suffix
-   arrays: a batch that comes in is sorted by what follows its anchors and by what precedes them, merge-scanned against
-   every level for strings of LENGTH bytes that both sides hold, and then levels of equal size are merged, so that n
-   suffixes stand in about log(n) levels. Grams of few anchors share a batch.
-3. A gram with more than ``HOT`` hulls isn't put into one partition. Its strings are counted by hash, in segments: a
-   segment whose reach repeats is settled, one whose common part doesn't is dropped, and the strings of the others are
-   counted one by one.
+   arrays: a batch that comes in is sorted by what follows its anchors and by what precedes them, woven into every
+   level by search, scanned there for strings of LENGTH bytes that both sides hold, and then levels of equal size are
+   merged, so that n suffixes stand in about log(n) levels. Grams of few anchors share a batch.
+3. A gram that more than ``GROUP`` hulls share is too much for one task's family, so it is split by its next bytes: the
+   strings that begin in one piece of an anchor's reach have more bytes in common than the gram, and only anchors that
+   agree on them can share a string there. Pieces that agree on all that they reach are settled by counting, but for one
+   of each, as hulls are; pieces of at most GROUP anchors go through families of their own, and larger ones are split
+   again, down to single strings, of which counting leaves nothing. So what a task holds is bounded at every skew.
 
-The result is exact, up to collisions of 128-bit (hulls) and 64-bit (strings of hot grams) hashes.
+The result is exact, up to collisions of hashes: 128 bits for hulls, 64 within a gram for pieces.
 
 Defined results: a null text is empty; texts below LENGTH bytes lose nothing unless a string of LENGTH repeats, which
 they can't hold; rows that repeat, with the same doc_id or not, are places of their own, so all of them lose what they
@@ -41,10 +43,10 @@ from kelvora.llm.shingles import _BYTE, mix64, powers, slices, trimmed
 
 LENGTH, GRAM = 400, 96
 REACH = LENGTH - GRAM
-BATCH_ROWS = 16_384
-#: A group of so many hulls is some 50 MB in the index.
-HOT = 50_000
-SEGMENT = 16
+#: A batch of the index, and what one family of it takes at most: some 30 MB.
+BATCH_ROWS, GROUP = 4_096, 16_384
+#: How many begins of strings a piece holds, split by split.
+WIDTHS = (77, 20, 5, 1)
 #: A string begins 0 to REACH bytes before its anchor: those of each quarter have LENGTH - QUARTER bytes in common.
 QUARTER = REACH // 4
 
@@ -122,36 +124,52 @@ def anchors(keyed: DataFrame) -> DataFrame:
 
 
 class Level:
-    """A suffix array of anchors, and an array of what precedes them, both sorted; marks[i, d] says that the string
-    which begins d bytes before anchor i stands elsewhere."""
+    """A suffix array of anchors, and an array of what precedes them, both sorted, with what neighbours have in common;
+    marks[i, d] says that the string which begins d bytes before anchor i stands elsewhere."""
 
-    def __init__(self, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, names: np.ndarray, marks: np.ndarray, orders: tuple | None = None):
+    def __init__(self, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, names: np.ndarray, marks: np.ndarray, sorted_: tuple | None = None):
         self.right, self.left, self.n_right, self.n_left, self.names, self.marks = right, left, n_right, n_left, names, marks
-        self.suffixes, self.prefixes = orders or (_order(right, None), _order(left, None))
+        (self.suffixes, self.common_right), (self.prefixes, self.common_left) = sorted_ or (_sorted(right), _sorted(left))
 
     def __len__(self) -> int:
         return len(self.names)
 
-    def merged(self, other: Level) -> Level:
-        both = [np.concatenate(x) for x in zip((self.right, self.left, self.n_right, self.n_left, self.names, self.marks), (other.right, other.left, other.n_right, other.n_left, other.names, other.marks), strict=True)]
-        n = len(self)
-        runs = [np.concatenate([a, b + n]) for a, b in ((self.suffixes, other.suffixes), (self.prefixes, other.prefixes))]
-        return Level(*both, orders=(_order(both[0], runs[0]), _order(both[1], runs[1])))
+    def merged(self, new: Level) -> Level:
+        """This level's rows, and then those of new."""
+        both = [np.concatenate(x) for x in zip((self.right, self.left, self.n_right, self.n_left, self.names, self.marks), (new.right, new.left, new.n_right, new.n_left, new.names, new.marks), strict=True)]
+        return Level(*both, sorted_=(_woven(both[0], self.suffixes, self.common_right, new.suffixes), _woven(both[1], self.prefixes, self.common_left, new.prefixes)))
 
 
-def _order(rows: np.ndarray, runs: np.ndarray | None) -> np.ndarray:
-    """Rows in byte order; runs, two sorted ones, are merged by the stable sort in one pass."""
-    keys = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
-    return np.argsort(keys, kind="stable") if runs is None else runs[np.argsort(keys[runs], kind="stable")]
+def _bytes(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
-def _common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Length of the prefix that each row in order shares with the row before it; 0 for the first."""
-    out = np.zeros(len(order), np.int32)
-    for a in range(1, len(order), 4096):
-        b = min(len(order), a + 4096)
-        differ = rows[order[a:b]] != rows[order[a - 1 : b - 1]]
-        out[a:b] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in byte order, and what each has in common with the one before it."""
+    order = np.argsort(_bytes(rows), kind="stable")
+    return order, _common(rows, order, np.arange(len(order)))
+
+
+def _woven(rows: np.ndarray, old: np.ndarray, common: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_sorted of rows, of which the first are sorted in old and the others in new: each of new is searched in old, and only
+    rows that have another neighbour now are compared."""
+    keys, n = _bytes(rows), len(old)
+    at = np.searchsorted(keys[:n], keys[n:][new], side="right", sorter=old)
+    order, common = np.insert(old, at, new + n), np.insert(common, at, 0)
+    place = at + np.arange(len(new))
+    fresh = np.union1d(place, place + 1)
+    fresh = fresh[fresh < len(order)]
+    common[fresh] = _common(rows, order, fresh)
+    return order, common
+
+
+def _common(rows: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Length of the prefix that the rows at these places of order share with the row before them; 0 for the first."""
+    out = np.zeros(len(at), np.int32)
+    for a in range(0, len(at), 4096):
+        k = at[a : a + 4096]
+        differ = rows[order[k]] != rows[order[k - 1]]
+        out[a : a + 4096] = np.where(k == 0, 0, np.where(differ.any(1), differ.argmax(1), rows.shape[1]))
     return out
 
 
@@ -163,8 +181,7 @@ def scan(level: Level) -> None:
     if n < 2:
         return
     sides = []
-    for rows, order, have in ((level.right, level.suffixes, level.n_right), (level.left, level.prefixes, level.n_left)):
-        common = _common(rows, order)
+    for common, order, have in ((level.common_right, level.suffixes, level.n_right), (level.common_left, level.prefixes, level.n_left)):
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         near = np.maximum(common, np.append(common[1:], 0))[place]
@@ -197,11 +214,11 @@ class Family:
     def add(self, new: Level) -> None:
         if not self.levels:
             scan(new)
-        for size, old in self.levels.items():
-            both = new.merged(old)
+        for old in self.levels.values():
+            both = old.merged(new)
             scan(both)
-            new.marks |= both.marks[: len(new)]
-            self.levels[size].marks |= both.marks[len(new) :]
+            old.marks |= both.marks[: len(old)]
+            new.marks |= both.marks[len(old) :]
         size = 0
         while size in self.levels:
             new, size = self.levels.pop(size).merged(new), size + 1
@@ -235,9 +252,9 @@ def _ranges(gram, hull, first, last) -> pa.RecordBatch:
 
 def _level(rows: list[pa.RecordBatch]) -> Level:
     batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-    right, n_right = _matrix(batch.column(3), LENGTH)
-    left, n_left = _matrix(batch.column(2), REACH)
-    names = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+    right, n_right = _matrix(batch.column(4), LENGTH)
+    left, n_left = _matrix(batch.column(3), REACH)
+    names = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
     return Level(right, left, n_right, n_left, names, np.zeros((len(names), REACH + 1), bool))
 
 
@@ -248,37 +265,40 @@ def _marked(family: Family) -> Iterator[pa.RecordBatch]:
             yield _ranges(level.names[row, 0], level.names[row, 1], first, last)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in the order of their grams, and only anchors of one gram share strings. So whole grams go through a family
-    together up to BATCH_ROWS rows, and one that has more goes through a family of its own, batch by batch: work is as the
-    rows, and what is held is the largest gram's."""
-    family, held, n, first = Family(), [], 0, None
-
-    def put() -> None:
-        nonlocal held, n
-        if n:
-            family.add(_level(held))
-            held, n = [], 0
-
-    for batch in batches:
-        grams = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if first is not None and grams[a] != first and (n + b - a > BATCH_ROWS or family.levels):
-                put()
-                yield from _marked(family)
-                family = Family()
-            first = grams[a]
-            for c in range(a, b, BATCH_ROWS):
-                d = min(b, c + BATCH_ROWS)
-                if n and n + d - c > BATCH_ROWS:
+def _index(batch_rows: int):
+    """Rows come in the order of their keys, and only anchors of one key share strings. So whole keys go through a family
+    together up to batch_rows rows, and one that has more goes through a family of its own, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, held, n, first = Family(), [], 0, None
+
+        def put() -> None:
+            nonlocal held, n
+            if n:
+                family.add(_level(held))
+                held, n = [], 0
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if first is not None and keys[a] != first and (n + b - a > batch_rows or family.levels):
                     put()
-                held.append(batch.slice(c, d - c))
-                n += d - c
-    put()
-    yield from _marked(family)
+                    yield from _marked(family)
+                    family = Family()
+                first = keys[a]
+                for c in range(a, b, batch_rows):
+                    d = min(b, c + batch_rows)
+                    if n and n + d - c > batch_rows:
+                        put()
+                    held.append(batch.slice(c, d - c))
+                    n += d - c
+        put()
+        yield from _marked(family)
+
+    return run
 
 
 def _contexts(keyed: DataFrame, reps: DataFrame) -> DataFrame:
@@ -305,7 +325,7 @@ def _contexts(keyed: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("text", "places").mapInArrow(trimmed(_joined(cut)), "gram bigint, hull bigint, left binary, right binary, hot boolean")
 
 
-def _joined(make, rows: int = BATCH_ROWS):
+def _joined(make, rows: int = 16_384):
     """make, with its small batches put together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,77 +341,95 @@ def _joined(make, rows: int = BATCH_ROWS):
     return run
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For anchors of hot grams: hashes of each segment's reach, of what its strings have in common, and of each string."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            gram, hull, left, right = (batch.column(k)[i] for k in range(4))
-            before = bytes(left.as_buffer())[::-1]
-            data = np.frombuffer(before + bytes(right.as_buffer()), np.uint8)
-            pos, (sums, down) = len(before), _sums(data)
-            d = np.arange(max(0, LENGTH - (len(data) - pos)), min(pos, REACH) + 1)
-            if not len(d):
-                continue
-            strings = _hash(sums, down, pos - d, pos - d + LENGTH) ^ mix64(d.astype(np.uint64))
-            rows = []
-            for s in range(int(d[0]) // SEGMENT, int(d[-1]) // SEGMENT + 1):
-                own = np.flatnonzero(d // SEGMENT == s)
-                a, b = d[own[0]], d[own[-1]]
-                one = lambda x, y, t, s=s: int((_hash(sums, down, np.array([x]), np.array([y])) ^ mix64(np.array([t * 1000 + s], np.uint64))).view(np.int64)[0])  # noqa: E731, B023
-                # Its common part is taken as if the segment were whole, so that segments cut by a text's ends agree.
-                rows.append((gram.as_py(), hull.as_py(), int(a), int(b), one(pos - s * SEGMENT if a == s * SEGMENT else pos - a, pos - b + LENGTH, 1) if len(own) == SEGMENT else None, one(pos - b, pos - a + LENGTH, 2) if len(own) == SEGMENT else None, strings[own].view(np.int64).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["gram", "hull", "first", "last", "core", "whole", "strings"])
-
-
-def _hot_ranges(contexts: DataFrame) -> DataFrame:
-    """_RANGE of hot grams, by counts. A segment that a text's end cuts has no core and always goes to its strings."""
-    seg = contexts.mapInArrow(trimmed(_joined(_segments)), "gram bigint, hull bigint, first int, last int, core bigint, whole bigint, strings array<bigint>")
-    seg = materialise(seg, "segments")
-    cut = seg.where("core is null").select(F.explode("strings").alias("string")).distinct()
-    cores = seg.where("core is not null").groupBy("core").agg(F.count("*").alias("n"))
-    wholes = seg.where("whole is not null").groupBy("whole").agg(F.count("*").alias("n_whole")).where("n_whole > 1")
-    told = seg.join(cores, "core", "left").join(wholes, "whole", "left")
-    settled = told.where("n_whole > 1").select("gram", "hull", "first", "last")
-    single = told.where("n_whole is null").select("gram", "hull", "n", F.posexplode("strings").alias("i", "string"), "first")
-    # A string of a segment with a core of its own may still stand in a segment that an end has cut.
-    live = single.where("n is null or n > 1").select("gram", "hull", (F.col("first") + F.col("i")).alias("d"), "string")
-    live = live.union(single.where("n = 1").join(cut, "string", "left_semi").select("gram", "hull", (F.col("first") + F.col("i")).alias("d"), "string"))
-    # One of each settled reach stands for the strings that others may share with it.
-    known = told.where("n_whole > 1").dropDuplicates(["whole"]).select(F.explode("strings").alias("string"))
-    twice = live.select("string").union(known).groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    return settled.union(live.join(twice, "string").select("gram", "hull", "d", F.col("d").alias("d2")))
-
-
-def _candidates(edges: DataFrame) -> DataFrame:
+def _pieces(width: int):
+    """For anchors, of which the strings that begin low to high bytes before them are asked for: pieces of so many begins
+    (low, high), those that the text's ends leave (first, last), the hash of what a piece's strings have in common, and
+    the hash of all that they reach. Where there is a string, what they have in common is there too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for gram, hull, left, right, low, high in zip(*(batch.column(k) for k in range(6)), strict=True):
+                before = bytes(left.as_buffer())[::-1]
+                data = np.frombuffer(before + bytes(right.as_buffer()), np.uint8)
+                pos, (sums, down) = len(before), _sums(data)
+                a = np.arange(low.as_py(), high.as_py() + 1, width)
+                b = np.minimum(a + width - 1, high.as_py())
+                first, last = np.maximum(a, LENGTH - (len(data) - pos)), np.minimum(b, min(pos, REACH))
+                a, b, first, last = (x[first <= last] for x in (a, b, first, last))
+                core = _hash(sums, down, pos - a, pos - b + LENGTH) ^ mix64((a * LENGTH + b).astype(np.uint64))
+                whole = _hash(sums, down, pos - last, pos - first + LENGTH) ^ mix64((first * LENGTH + last).astype(np.uint64))
+                n = len(a)
+                out.append((np.full(n, gram.as_py()), np.full(n, hull.as_py()), a, b, first, last, core.view(np.int64), whole.view(np.int64)))
+            if out:
+                kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.int64()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gram", "hull", "low", "high", "first", "last", "core", "whole"])
+
+    return run
+
+
+#: What many hulls share is met in so many parts.
+SALTS = 32
+
+
+def _met(rows: DataFrame, told: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows, with what is told of their keys, which have a row each and may be hot."""
+    parts = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("hull", F.lit(SALTS)).cast("int")).join(parts, [*keys, "salt"], how).drop("salt")
+
+
+def _split(contexts: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows for the index (key, gram, hull, left, right) of grams that are too much for a family, in groups of at most group
+    rows, and _RANGE of what is settled on the way. There are at most as many rounds as WIDTHS."""
+    todo, rows, settled = contexts.withColumn("low", F.lit(0)).withColumn("high", F.lit(REACH)), [], []
+    for width in WIDTHS:
+        pieces = todo.select("gram", "hull", "left", "right", "low", "high").mapInArrow(trimmed(_pieces(width)), "gram bigint, hull bigint, low int, high int, first int, last int, core bigint, whole bigint")
+        pieces = materialise(pieces, "pieces")
+        units = materialise(pieces.groupBy("gram", "low", "high", "core", "whole").agg(F.count("*").alias("n"), F.min("hull").alias("hull")), "units")
+        settled.append(_met(pieces, units.where("n > 1").select("gram", "core", "whole", "low", "high"), ["gram", "core", "whole", "low", "high"]).select("gram", "hull", "first", "last"))
+        groups = units.groupBy("gram", "low", "high", "core").agg(F.count("*").alias("many")).where("many > 1")
+        alive = materialise(_met(units, groups, ["gram", "low", "high", "core"]).select("gram", "hull", "low", "high", F.xxhash64("gram", "core").alias("key"), "many"), "alive")
+        rows.append(alive.where(F.col("many") <= group).select("gram", "hull", "low", "high", "key"))
+        rest = alive.where(F.col("many") > group).select("gram", "hull", "low", "high")
+        if rest.isEmpty():
+            break
+        todo = contexts.join(rest, ["gram", "hull"])
+    few, done = rows[0], settled[0]
+    for r, s in zip(rows[1:], settled[1:], strict=True):
+        few, done = few.union(r), done.union(s)
+    cut = contexts.join(few, ["gram", "hull"]).select("key", "gram", "hull", F.expr("substring(left, 1, high)").alias("left"), F.expr(f"substring(right, 1, {LENGTH} - low)").alias("right"))
+    return cut, done
+
+
+def _candidates(edges: DataFrame, group: int) -> DataFrame:
     """Hulls one of whose quarters has its common part in another hull of the same gram, too."""
     cores = edges.select("gram", "hull", F.posexplode(F.array("rep.q0", "rep.q1", "rep.q2", "rep.q3")).alias("q", "core")).where("core != 0")
     twice = cores.groupBy("gram", "q", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "q", "core")
     fine = cores.join(twice, ["gram", "q", "core"]).select("gram", "hull").distinct()
-    return materialise(edges.join(fine, ["gram", "hull"]).select("gram", "hull", "rep", (F.col("hulls") > HOT).alias("hot")), "edges")
-
-
-#: A gram that many hulls share is met in so many parts.
-SALTS = 32
+    return materialise(edges.join(fine, ["gram", "hull"]).select("gram", "hull", "rep", (F.col("hulls") > group).alias("hot")), "edges")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, batch_rows: int = BATCH_ROWS, group: int = GROUP) -> DataFrame:
     """(doc_id, h, ranges array<struct<a, b>>): bytes to remove, per row of docs that has any; ranges may overlap."""
     keyed = _keyed(docs)
-    return _repeated(anchors(keyed), keyed)
+    return _repeated(anchors(keyed), keyed, batch_rows, group)
 
 
-def _repeated(found: DataFrame, keyed: DataFrame) -> DataFrame:
+def _repeated(found: DataFrame, keyed: DataFrame, batch_rows: int, group: int) -> DataFrame:
     hulls = found.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos", "begin", "stop", "q0", "q1", "q2", "q3")).alias("rep"))
-    grams = hulls.groupBy("gram").agg(F.count("*").alias("hulls")).where("hulls > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = hulls.withColumn("salt", F.pmod("hull", F.lit(SALTS)).cast("int")).join(grams, ["gram", "salt"], "left").select("gram", "hull", "n", "rep", F.coalesce("hulls", F.lit(1)).alias("hulls"))
+    grams = hulls.groupBy("gram").agg(F.count("*").alias("hulls")).where("hulls > 1")
+    told = _met(hulls, grams, ["gram"], "left").select("gram", "hull", "n", "rep", F.coalesce("hulls", F.lit(1)).alias("hulls"))
     groups = materialise(told.where("n > 1 or hulls > 1"), "hulls")
-    edges = _candidates(groups.where("hulls > 1"))
-    hot = edges.where("hot").limit(1).count() > 0
+    edges = _candidates(groups.where("hulls > 1"), group)
+    hot = not edges.where("hot").isEmpty()
     contexts = _contexts(keyed, edges)
     contexts = materialise(contexts, "contexts") if hot else contexts
-    ranges = contexts.where("not hot").select("gram", "hull", "left", "right").repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_index), _RANGE)
+    rows, settled = contexts.where("not hot").select(F.col("gram").alias("key"), "gram", "hull", "left", "right"), None
     if hot:
-        ranges = ranges.union(_hot_ranges(contexts.where("hot").select("gram", "hull", "left", "right")))
+        split, settled = _split(contexts.where("hot").select("gram", "hull", "left", "right"), group)
+        rows = rows.union(split)
+    ranges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_index(batch_rows)), _RANGE)
+    ranges = ranges.union(settled) if hot else ranges
     marks = ranges.groupBy("gram", "hull").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     full = groups.where("n > 1").select("gram", "hull", F.lit(True).alias("full"))
     settled = materialise(full.join(marks, ["gram", "hull"], "full"), "marks")
@@ -412,8 +450,8 @@ class Index:
 
     LEVEL_ROWS = 1 << 20
 
-    def __init__(self, spark, levels: dict[int, tuple[str, str]] | None = None):
-        self.spark, self.levels = spark, dict(levels or {})
+    def __init__(self, spark, levels: dict[int, tuple[str, str]] | None = None, batch_rows: int = BATCH_ROWS, group: int = GROUP):
+        self.spark, self.levels, self.batch_rows, self.group = spark, dict(levels or {}), batch_rows, group
 
     def _read(self, level: int) -> tuple[DataFrame, DataFrame]:
         return tuple(self.spark.read.parquet(x) for x in self.levels[level])
@@ -435,7 +473,7 @@ class Index:
         for level in sorted(self.levels):
             old_texts, old = self._read(level)
             near, whole = near.union(old.join(grams, "gram", "left_semi").select(*found.columns)), whole.union(old_texts)
-        out = materialise(_repeated(near, whole), "repeats")
+        out = materialise(_repeated(near, whole, self.batch_rows, self.group), "repeats")
         size, new = found.count(), (texts, found)
         at = max(0, (max(1, size) // self.LEVEL_ROWS).bit_length())
         while at in self.levels:
@@ -457,7 +495,7 @@ def _spans(ranges: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def apply(docs: DataFrame) -> DataFrame:
+def apply(docs: DataFrame, batch_rows: int = BATCH_ROWS, group: int = GROUP) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans, kept_sha256), a row per row of docs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +516,7 @@ def apply(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _out(rows)
 
-    told = repeated(docs).withColumnRenamed("doc_id", "doc_").withColumnRenamed("h", "h_")
+    told = repeated(docs, batch_rows, group).withColumnRenamed("doc_id", "doc_").withColumnRenamed("h", "h_")
     joined = _keyed(docs).join(told, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("h") == F.col("h_")), "left")
     return joined.select("doc_id", "text", "ranges").mapInArrow(trimmed(cut), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 

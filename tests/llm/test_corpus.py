@@ -36,18 +36,38 @@ def odd():
     return [*rows, rows[-1], rows[20]]
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_long_repeats(spark, documents, odd, hot):
+@pytest.mark.parametrize(("batch_rows", "group"), [(3, 1000), (2, 12), (32, 2)])
+def test_long_repeats(spark, documents, odd, batch_rows, group):
+    """Families of many levels, grams that are split, and splits down to single strings; workers see these sizes."""
     from kelvora.llm import suffix_dedup
 
     rows = documents[:60] + odd
-    suffix_dedup.HOT, was = hot, suffix_dedup.HOT
-    suffix_dedup.BATCH_ROWS, rows_was = 32, suffix_dedup.BATCH_ROWS
-    got = sorted(tuple(r) for r in suffix_dedup.apply(spark.createDataFrame(rows, DOC)).drop("kept").collect())
-    suffix_dedup.HOT, suffix_dedup.BATCH_ROWS = was, rows_was
+    got = sorted(tuple(r) for r in suffix_dedup.apply(spark.createDataFrame(rows, DOC), batch_rows, group).drop("kept").collect())
     assert got == sorted(brute.long_repeats([r[:2] for r in rows]))
 
 
+def test_split_of_a_hot_passage(spark, monkeypatch):
+    """One passage in every document, between words of their own: groups are split until none is above the bound, and what
+    the last split leaves is settled by counting."""
+    from kelvora.llm import suffix_dedup as sd
+
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, ends = say(520), [say(40) for _ in range(3)]
+    rows = [(i, say(rng.randint(0, 300)) + rng.choice(ends)[rng.randint(0, 40) :] + passage[rng.randint(0, 5) :] + say(rng.randint(0, 300))) for i in range(80)]
+    sizes, put = [], sd._split
+
+    def watched(contexts, group):
+        out, done = put(contexts, group)
+        sizes.extend(r["count"] for r in out.groupBy("key").count().collect())
+        return out, done
+
+    monkeypatch.setattr(sd, "_split", watched)
+    got = sorted(tuple(r) for r in sd.apply(spark.createDataFrame(rows, "doc_id long, text string"), 4, 8).drop("kept").collect())
+    assert got == sorted(brute.long_repeats(rows))
+    assert sizes and max(sizes) <= 8
+
+
 def test_index_of_batches(spark, documents, odd):
     """What three batches say, together, is what all documents say at once."""
     from collections import defaultdict
