@@ -27,14 +27,33 @@ def running_sum(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Da
     return own.join(before, "part").withColumn(name, F.col("of_earlier") + within).drop("part", "of_earlier")
 
 
-def quantiles(values: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """(by, n, a column per share): the sorted value at floor(share * n), held below n."""
+def _sorted_groups(values: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Values (group, value, part) in ranges of their order, and (group, part, held, before, n): where each range stands."""
     own = ranged(values.select(F.col(by).alias("group"), F.col(value).alias("value")).where("value is not null"), ["group", "value"])
     sizes = own.groupBy("group", "part").agg(F.count("*").alias("held"))
     group = Window.partitionBy("group")
-    placed = sizes.select("group", "part", "held", (F.sum("held").over(group.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(group).alias("n"))
-    asked = placed.withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))).alias("at")) for k, p in shares.items()])))
-    asked = asked.where("x.at >= before and x.at < before + held").select("group", "part", "n", F.col("x.name").alias("name"), (F.col("x.at") - F.col("before") + 1).alias("at"))
+    return own, sizes.select("group", "part", "held", (F.sum("held").over(group.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(group).alias("n"))
+
+
+def _at(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """(group, n, name, value) of places asked for (group, part, before, held, n, name, at), counted from 0 in their group."""
+    here = asked.where("at >= before and at < before + held").select("group", "part", "n", "name", (F.col("at") - F.col("before") + 1).alias("at"))
     ranked = own.withColumn("at", F.row_number().over(Window.partitionBy("group", "part").orderBy("value")))
-    hit = ranked.join(asked, ["group", "part", "at"])
+    return ranked.join(here, ["group", "part", "at"]).select("group", "n", "name", "value")
+
+
+def quantiles(values: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, a column per share): the sorted value at floor(share * n), held below n."""
+    own, placed = _sorted_groups(values, by, value)
+    asked = placed.withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))).alias("at")) for k, p in shares.items()])))
+    hit = _at(own, asked.select("group", "part", "before", "held", "n", "x.name", "x.at"))
     return hit.groupBy(F.col("group").alias(by)).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in shares])
+
+
+def at_places(values: DataFrame, by: str, value: str, places: DataFrame) -> DataFrame:
+    """(by, name, value): a group's sorted value at each of the places (by, name, at) that are asked of it, counted from 0 and
+    held below its size; places below 0 have none."""
+    own, placed = _sorted_groups(values, by, value)
+    asked = placed.join(places.where("at >= 0").select(F.col(by).alias("group"), "name", F.col("at").alias("wanted")), "group")
+    hit = _at(own, asked.withColumn("at", F.least(F.col("n") - 1, "wanted")))
+    return hit.select(F.col("group").alias(by), "name", "value")

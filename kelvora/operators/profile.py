@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvora.functions.cost import Cost
-from kelvora.operators.order import quantiles
+from kelvora.operators.order import at_places, quantiles
 
 CELL_M = 30.0
 
@@ -98,3 +98,36 @@ def reach_area(field: DataFrame, budgets: list[float], dx: float, dy: float) ->
 def correction_fit(pairs: DataFrame, by: str) -> DataFrame:
     """(by, slope, intercept, r2) of y on x."""
     return pairs.groupBy(by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
+
+
+#: A source's cells meet what is known of it in so many parts.
+SALTS = 32
+
+
+def reach_match(own: DataFrame, reference: DataFrame, by: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(by, share, budget, target, inflation): by how much a budget has to grow for energies own (by, e) to reach as many
+    cells as reference (by, e) reaches within it. Budgets are own's quantiles; target counts the reference's cells within;
+    inflation is null where that is none or the budget is 0. A source may hold most of all rows."""
+    names = {f"s{j}": p for j, p in enumerate(shares)}
+    budgets = quantiles(own, by, "e", names)
+    wide = budgets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = reference.select(by, F.col("e").alias("e")).where("e is not null").withColumn("salt", F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int"))
+    within = dealt.join(wide, [by, "salt"]).groupBy(by).agg(*[F.count(F.when(F.col("e") <= F.col(k), 1)).alias(f"t_{k}") for k in names])
+    told = budgets.join(within, by, "left").select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("share"), F.col(k).alias("budget"), F.coalesce(f"t_{k}", F.lit(0)).alias("target")) for k, p in names.items()])).alias("x")).select(by, "x.*")
+    found = at_places(own, by, "e", told.select(by, "name", (F.col("target") - 1).alias("at")))
+    return told.join(found, [by, "name"], "left").select(by, "share", "budget", "target", F.when(F.col("budget") != 0, F.col("value") / F.col("budget")).alias("inflation"))
+
+
+def correction_errors(pairs: DataFrame, by: str) -> DataFrame:
+    """(kind, n, p50, p90, p99, worst, under) of how far ratios y / x of pairs (by, x, y, d) are from what is told of them: raw
+    tells 1; shared tells the mean of the sources' medians; fitted tells a line in x / d, by least squares over all pairs.
+    under is the share of ratios that are below it. Pairs without a ratio or a distance take no part."""
+    ratios = pairs.where("x != 0 and d != 0 and y is not null").select(F.col(by), (F.col("y") / F.col("x")).alias("ratio"), (F.col("x") / F.col("d")).alias("hill"))
+    shared = quantiles(ratios, by, "ratio", {"p50": 0.5}).agg(F.avg("p50")).first()[0]
+    slope, intercept = ratios.agg(F.regr_slope("ratio", "hill"), F.regr_intercept("ratio", "hill")).first()
+    line = F.lit(intercept).cast("double") + F.lit(slope).cast("double") * F.col("hill")
+    told = {"raw": F.lit(1.0), "shared": F.lit(shared).cast("double"), "fitted": line}
+    each = ratios.select("ratio", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("told")) for k, v in told.items()])).alias("x")).select(F.col("x.kind").alias("kind"), "ratio", F.col("x.told").alias("told"))
+    errors = each.select("kind", F.abs(F.col("ratio") / F.col("told") - 1).alias("error"), (F.col("ratio") < F.col("told")).cast("double").alias("below")).where("error is not null")
+    spread = quantiles(errors, "kind", "error", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return spread.join(errors.groupBy("kind").agg(F.max("error").alias("worst"), F.avg("below").alias("under")), "kind")

@@ -194,6 +194,32 @@ def review_score(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("spread", spread_).withColumn("score", -(gap + spread_ + level)).orderBy("score", "id")
 
 
+def reviewed(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Scored candidates with the last decision (id, status, ele, source, dist, note, ts) on each; without one, or without a
+    status, a candidate is pending. Of decisions at the same time the greatest counts."""
+    last = decisions.groupBy("id").agg(F.max(F.struct("ts", "status", "ele", "source", "dist", "note")).alias("decision"))
+    return candidates.join(last, "id", "left").withColumn("status", F.coalesce("decision.status", F.lit("pending")))
+
+
+def shown(rows: DataFrame, which: str = "all") -> DataFrame:
+    """Reviewed candidates under a filter: all, flagged (the six nearest are more than 5 apart) or a status."""
+    if which == "all":
+        return rows
+    return rows.where(F.col("spread") > 5) if which == "flagged" else rows.where(F.col("status") == which)
+
+
+def validated(rows: DataFrame, survey: str = "survey") -> DataFrame:
+    """What is exported of the approved: elevations to a decimal, where they come from, and how far above the ground they are.
+    A manual elevation has no distance."""
+    manual = F.col("decision.source") == "manual"
+    dist = F.when(F.coalesce(manual, F.lit(False)), None).otherwise(F.col("decision.dist"))
+    ele = F.col("decision.ele")
+    return shown(rows, "approved").select(
+        F.col("id").alias("osm_id"), "name", "highway", "layer", F.round(ele, 1).alias("ele"), F.when(manual, "manual").otherwise(survey).alias("ele_source"), dist.alias("source_dist_m"),
+        F.col("terr").alias("terrain"), F.round(ele - F.col("terr"), 1).alias("terrain_gap"), F.col("y").alias("center_lat"), F.col("x").alias("center_lng"), F.coalesce("decision.note", F.lit("")).alias("note"),
+    )
+
+
 def arc_centre(vertices: DataFrame) -> DataFrame:
     """(line, x, y, length): the point at half of each line's length."""
     by = Window.partitionBy("line").orderBy("seq")

@@ -1014,6 +1014,58 @@ def source_medians(spark, d):
     return profile.median_ratios(pairs, "line").select("line", "n", r6("ratio", "ratio"))
 
 
+@query("""WITH p AS (SELECT l_linenumber::BIGINT AS k, l_extendedprice AS y, l_extendedprice * (1 - l_discount) AS x FROM lineitem), l AS (SELECT k, list(y ORDER BY y) AS v FROM p GROUP BY k),
+b AS (SELECT k, share, v, v[least(len(v) - 1, floor(share * len(v))::BIGINT) + 1] AS budget FROM l, (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS share)),
+t AS (SELECT b.k, share, count(*) FILTER (WHERE x <= budget) AS target FROM b JOIN p ON p.k = b.k GROUP BY b.k, share)
+SELECT b.k, b.share, budget, target, round(CASE WHEN target > 0 THEN v[least(len(v), target)] / budget END, 6) AS inflation FROM b JOIN t ON t.k = b.k AND t.share = b.share""")
+def reach_match(spark, d):
+    own = V.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("k"), F.col("l_extendedprice").alias("e"), "l_discount")
+    return profile.reach_match(own.select("k", "e"), own.select("k", (F.col("e") * (1 - F.col("l_discount"))).alias("e")), "k").select("k", "share", "budget", "target", r6("inflation", "inflation"))
+
+
+@query("""WITH p AS (SELECT l_linenumber AS k, 1 / (1 - l_discount) + l_tax * l_quantity / 50 AS ratio, l_extendedprice * (1 - l_discount) / l_quantity AS hill FROM lineitem),
+c AS (SELECT avg(m) AS c FROM (SELECT v[least(len(v) - 1, floor(0.5e0 * len(v))::BIGINT) + 1] AS m FROM (SELECT list(ratio ORDER BY ratio) AS v FROM p GROUP BY k))),
+f AS (SELECT regr_slope(ratio, hill) AS b, regr_intercept(ratio, hill) AS a FROM p),
+e AS (SELECT 'raw' AS kind, ratio, 1e0 AS told FROM p UNION ALL SELECT 'shared', ratio, c FROM p, c UNION ALL SELECT 'fitted', ratio, a + b * hill FROM p, f),
+l AS (SELECT kind, list(abs(ratio / told - 1) ORDER BY abs(ratio / told - 1)) AS v, avg((ratio < told)::INT) AS under FROM e GROUP BY kind)
+SELECT kind, len(v) AS n, round(v[floor(0.5e0 * len(v))::BIGINT + 1], 6) AS p50, round(v[floor(0.9e0 * len(v))::BIGINT + 1], 6) AS p90, round(v[floor(0.99e0 * len(v))::BIGINT + 1], 6) AS p99, round(v[len(v)], 6) AS worst, round(under, 3) AS under FROM l""")
+def correction_errors(spark, d):
+    q, x = F.col("l_quantity"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    ratio = 1 / (1 - F.col("l_discount")) + F.col("l_tax") * q / 50
+    pairs = V.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("k"), x.alias("x"), (x * ratio).alias("y"), q.alias("d"))
+    return profile.correction_errors(pairs, "k").select("kind", "n", *[r6(c, c) for c in ("p50", "p90", "p99", "worst")], F.round("under", 3).alias("under"))
+
+
+def _reviewed(spark, d):
+    s, i = F.col("s_suppkey"), F.col("id")
+    rows = _survey(spark, d).join(V.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), "id")
+    rows = rows.select("id", "picks", "name", F.when(F.pmod(i, F.lit(2)) == 0, "primary").alias("highway"), F.lit(25.0).alias("terr"), F.pmod(i, F.lit(3)).cast("int").alias("layer"), (i * 1.0).alias("x"), (i * 2.0).alias("y"))
+    status = F.when(F.pmod(s, F.lit(5)) < 3, "approved").when(F.pmod(s, F.lit(5)) == 3, "rejected")
+    said = V.table(spark, d, "supplier").select(F.pmod(s * 7, F.lit(20)).cast("long").alias("id"), status.alias("status"), (F.pmod(s * 37, F.lit(801)) / 16.0).alias("ele"), F.when(F.pmod(s, F.lit(2)) == 0, "manual").alias("source"), (F.pmod(s, F.lit(61)) * 1.0).alias("dist"), F.when(F.pmod(s, F.lit(3)) == 0, "checked").alias("note"), s.cast("long").alias("ts"))
+    return sampling.reviewed(sampling.review_score(rows), said)
+
+
+_DECIDED = f"""{_SURVEY}, f AS (SELECT id, alt, sqrt((sv.x - ct.x) * (sv.x - ct.x) + (sv.y - ct.y) * (sv.y - ct.y)) AS d, sv.x, sv.y FROM ct, sv), g AS (SELECT id, list(alt ORDER BY d, x, y, alt) AS a FROM f WHERE d <= 60 GROUP BY id HAVING min(d) <= 40),
+say AS (SELECT s_suppkey * 7 % 20 AS id, max(s_suppkey) AS s FROM supplier GROUP BY 1),
+rv AS (SELECT g.id, n_name AS name, CASE WHEN len(a) > 1 THEN list_max(a[1:6]) - list_min(a[1:6]) ELSE 0 END > 5 AS flagged, s, CASE WHEN s % 5 < 3 THEN 'approved' WHEN s % 5 = 3 THEN 'rejected' ELSE 'pending' END AS status FROM g JOIN nation ON n_nationkey = g.id LEFT JOIN say ON say.id = g.id)"""
+
+
+@query(f"WITH {_DECIDED} SELECT 'all' AS which, id FROM rv UNION ALL SELECT 'flagged', id FROM rv WHERE flagged UNION ALL SELECT status, id FROM rv")
+def review_filters(spark, d):
+    rows = _reviewed(spark, d)
+    one = [sampling.shown(rows, w).select(F.lit(w).alias("which"), "id") for w in ("all", "flagged", "approved", "rejected", "pending")]
+    out = one[0]
+    for more in one[1:]:
+        out = out.union(more)
+    return out
+
+
+@query(f"""WITH {_DECIDED} SELECT id AS osm_id, name, CASE WHEN id % 2 = 0 THEN 'primary' END AS highway, (id % 3)::INT AS layer, round((s * 37 % 801) / 16e0, 1) AS ele, CASE WHEN s % 2 = 0 THEN 'manual' ELSE 'survey' END AS ele_source,
+CASE WHEN s % 2 = 1 THEN (s % 61)::DOUBLE END AS source_dist_m, 25e0 AS terrain, round((s * 37 % 801) / 16e0 - 25e0, 1) AS terrain_gap, id * 2e0 AS center_lat, id * 1e0 AS center_lng, CASE WHEN s % 3 = 0 THEN 'checked' ELSE '' END AS note FROM rv WHERE s % 5 < 3""")
+def review_export(spark, d):
+    return sampling.validated(_reviewed(spark, d))
+
+
 # --- sessions ----------------------------------------------------------------------------------------------------------
 
 _LEASE = """ls AS MATERIALIZED (

@@ -176,6 +176,11 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode("x.features").alias("feature", "f")).select("feature", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Files with a header, written by tasks; a cell with a comma, a quote or a line's end is quoted, a null is empty."""
+    rows.write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def to_geojson(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(value): a feature a row, for newline-delimited files."""
     rest = [c for c in points.columns if c not in (x, y)]
