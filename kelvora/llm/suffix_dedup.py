@@ -402,11 +402,15 @@ def _split(contexts: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _candidates(edges: DataFrame, group: int) -> DataFrame:
-    """Hulls one of whose quarters has its common part in another hull of the same gram, too."""
-    cores = edges.select("gram", "hull", F.posexplode(F.array("rep.q0", "rep.q1", "rep.q2", "rep.q3")).alias("q", "core")).where("core != 0")
-    twice = cores.groupBy("gram", "q", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "q", "core")
-    fine = cores.join(twice, ["gram", "q", "core"]).select("gram", "hull").distinct()
-    return materialise(edges.join(fine, ["gram", "hull"]).select("gram", "hull", "rep", (F.col("hulls") > group).alias("hot")), "edges")
+    """Hulls one of whose quarters has its common part in another hull of the same gram, too. Grams of more than group hulls
+    are met in SALTS parts."""
+    hot = F.col("hulls") > group
+    cores = edges.select("gram", "hull", hot.alias("hot"), F.posexplode(F.array("rep.q0", "rep.q1", "rep.q2", "rep.q3")).alias("q", "core")).where("core != 0")
+    twice = cores.groupBy("gram", "hot", "q", "core").agg(F.count("*").alias("n")).where("n > 1")
+    twice = twice.select("gram", "q", "core", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))).alias("salt"))
+    own = cores.withColumn("salt", F.when(F.col("hot"), F.pmod("hull", F.lit(SALTS)).cast("int")).otherwise(0))
+    fine = own.join(twice, ["gram", "q", "core", "salt"]).select("gram", "hull").distinct()
+    return materialise(edges.join(fine, ["gram", "hull"]).select("gram", "hull", "rep", hot.alias("hot")), "edges")
 
 
 def repeated(docs: DataFrame, batch_rows: int = BATCH_ROWS, group: int = GROUP) -> DataFrame:
