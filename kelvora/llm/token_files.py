@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from kelvora.llm.common import materialise, table
 from kelvora.llm.shingles import trimmed
-from kelvora.llm.tokens import default_path, encoder
+from kelvora.llm.tokens import COLUMN_BYTES, column_encoder, default_path
 
 END_ID = 2
 #: A shard is closed at the first document that brings it to so many ids.
 SHARD_IDS = 1 << 20
 BLOCK = 512
-#: Token parts that a worker keeps, some 150 bytes each.
-PARTS = 1_200_000
+#: Token parts that a worker keeps, some 40 bytes each.
+PARTS = 1_500_000
 _HEAD, _PLANE = struct.Struct("<4sQI"), struct.Struct("<QII")
 
 
@@ -155,18 +155,33 @@ class Shard:
         for k in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.plane(k)[0], count=self.n, bitorder="little").view(bool)
             zeros, up = self.heads[k][0], np.empty_like(now)
-            up[~bit], up[bit] = now[:zeros], now[zeros:]
+            up[np.flatnonzero(~bit)], up[np.flatnonzero(bit)] = now[:zeros], now[zeros:]
             up |= bit.astype(now.dtype) << (self.bits - 1 - k)
             now = up
         return now.astype(np.uint32)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, as a look into the table of known parts costs the same for few texts as for many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.nbytes > COLUMN_BYTES and not held:
+            yield batch
+            continue
+        if held and sum(b.nbytes for b in held) + batch.nbytes > COLUMN_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, bits: int = 16) -> DataFrame:
     """The shards' table: (part, shard, doc_ids, n_tokens, total, data), written; part and shard are in doc_id order."""
     schema = "part int, shard int, doc_ids array<bigint>, n_tokens array<bigint>, total bigint, data binary"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part, k = encoder(path, PARTS), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        encode, end, part, k = column_encoder(path, PARTS), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         doc_ids, lengths, held, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -177,9 +192,9 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHA
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row.values(), kinds, strict=True)], list(row))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+        for batch in _gathered(batches):
+            for doc_id, own in zip(batch.column(0), encode(batch.column(1)), strict=True):
+                ids = own + end
                 doc_ids.append(doc_id.as_py())
                 lengths.append(len(ids) // 4)
                 held.append(ids)

@@ -245,3 +245,30 @@ def test_url_rules_and_trees(spark):
 
 def test_words_are_one_pattern():
     assert WORD.findall("a\x1cb c d\x0be") == ["a\x1cb c", "d", "e"]
+
+
+def test_column_encoder_looks_at_new_parts_only(documents, reference, monkeypatch):
+    import pyarrow as pa
+    from kelvora.llm import tokens
+
+    rng = random.Random(4)
+    made = ["".join(rng.choice([" ", " ", "\n", "\t", "a", "B", "é", "×", "ñ", "—", "1", "'s", ".", "$", "##", "!", "\xa0", " ", "<|endoftext|>"]) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    texts = [*ODD, *made, *(t for _, t, _ in documents), None, "é,é", ",", "\n", "ü"]
+    kept = []
+    for most, size in ((1_000_000, 1 << 24), (300, 5000)):
+        monkeypatch.setattr(tokens, "COLUMN_BYTES", size)
+        encode = tokens.ColumnEncoder(tokens.default_path(), most)
+        for part in (pa.array(texts), pa.array(texts[::-1]), pa.array(["x", *texts, "y"]).slice(1, len(texts))):
+            for text, ids in zip(part.to_pylist(), encode(part), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == reference(text), repr(text)[:80]
+        kept.append(len(encode.known))
+    assert kept[1] < kept[0] // 4
+    assert list(encode(pa.array([], pa.string()))) == []
+
+    encode, asked = tokens.ColumnEncoder(tokens.default_path()), []
+    one = encode.one.first.ids
+    monkeypatch.setattr(encode.one.first, "ids", lambda part: asked.append(part) or one(part))
+    list(encode(pa.array(["so it is, so it is", "it is\nso it is"] * 500)))
+    assert sorted(asked) == ["\n", " is", " it", " so", ",", "it", "so"]
+    list(encode(pa.array(["so it is, and so it is"])))
+    assert asked[7:] == [" and"]
