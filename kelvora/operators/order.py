@@ -37,9 +37,12 @@ def _sorted_groups(values: DataFrame, by: str, value: str) -> tuple[DataFrame, D
 
 def _at(own: DataFrame, asked: DataFrame) -> DataFrame:
     """(group, n, name, value) of places asked for (group, part, before, held, n, name, at), counted from 0 in their group."""
-    here = asked.where("at >= before and at < before + held").select("group", "part", "n", "name", (F.col("at") - F.col("before") + 1).alias("at"))
-    ranked = own.withColumn("at", F.row_number().over(Window.partitionBy("group", "part").orderBy("value")))
-    return ranked.join(here, ["group", "part", "at"]).select("group", "n", "name", "value")
+    here = asked.where("at >= before and at < before + held").select("group", "part", F.struct("n", "name", (F.col("at") - F.col("before") + 1).alias("at")).alias("x"))
+    # Sorted values are small files of many rows, which mustn't be broadcast; parts that nothing is asked of aren't ranked.
+    held = own.hint("merge").join(here.groupBy("group", "part").agg(F.collect_list("x").alias("asked")), ["group", "part"])
+    ranked = held.withColumn("at", F.row_number().over(Window.partitionBy("group", "part").orderBy("value")))
+    hit = ranked.withColumn("x", F.explode(F.filter("asked", lambda x: x["at"] == F.col("at"))))
+    return hit.select("group", "x.n", "x.name", "value")
 
 
 def quantiles(values: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
