@@ -139,10 +139,18 @@ def place_inside(picks: DataFrame, tries: int = 64) -> DataFrame:
     on, that is inside; if none is, as in slivers, its interior point, and the first corner of a ring without height."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     box = picks.select("d", "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    each = box.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("i", F.col("d") * tries + F.col("t"))
-    put = each.withColumn("x", F.col("x0") + sobol_1d(F.col("i")) * (F.col("x1") - F.col("x0"))).withColumn("y", F.col("y0") + sobol_2d(F.col("i")) * (F.col("y1") - F.col("y0")))
-    hit = put.where(inside(F.col("x"), F.col("y"), F.col("ring"))).groupBy("d").agg(F.min(F.struct("t", "x", "y")).alias("p"))
-    held = picks.join(hit, "d", "left").withColumn("q", F.when(F.col("p").isNull(), interior_point(F.col("ring"))))
+
+    def first(found: Column, t: Column) -> Column:
+        """What is found, or else the t-th point if that is inside: what comes after a hit isn't drawn."""
+        i = F.col("d") * tries + t
+        x, y = F.col("x0") + sobol_1d(i) * (F.col("x1") - F.col("x0")), F.col("y0") + sobol_2d(i) * (F.col("y1") - F.col("y0"))
+        # A one-element array names the point, so that it is drawn once.
+        put = F.filter(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda p: inside(p["x"], p["y"], F.col("ring")))
+        return F.when(F.size(found) > 0, found).otherwise(put)
+
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    hit = box.withColumn("p", F.get(F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), none, first), F.lit(0)))
+    held = hit.withColumn("q", F.when(F.col("p").isNull(), interior_point(F.col("ring"))))
     return held.select("d", *[F.coalesce(f"p.{a}", f"q.{a}", F.col("ring")[0][a]).alias(a) for a in ("x", "y")])
 
 
